@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+}
+
+
 def _struct(**kinds: str) -> T.StructType:
-    fields = []
-    for kind, names in kinds.items():
-        fields += [f"`{name}` {kind}" for name in names.split()]
-    return T.StructType.fromDDL(", ".join(fields))
+    return T.StructType(
+        [T.StructField(name, _KINDS[kind]) for kind, names in kinds.items() for name in names.split()]
+    )
 
 
 # Column names of the logs and stimulus tables.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parse_submissions(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
+def parse_submissions(df: DataFrame, json_col: str, schema: T.StructType | str) -> DataFrame:
     """Replace a JSON text column by the fields of a declared schema."""
     others = [name for name in df.columns if name != json_col]
     return df.select(*others, F.from_json(json_col, schema).alias("_s")).select(*others, "_s.*")
