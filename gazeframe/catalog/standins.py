@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazeframe.operators.relational import settle
+
 # Nouns the stand-in instructions end in.
 NOUNS = ("ring", "bolt", "plate", "rod", "gear", "gizmo", "anvil", "widget")
 _NOUNS = ", ".join(f"'{noun}'" for noun in NOUNS)
@@ -26,7 +28,7 @@ def _quadrant_numbers(q: str) -> str:
         CAST(CASE {q} WHEN 0 THEN 8 WHEN 1 THEN 7 WHEN 2 THEN 10 ELSE 9 END AS INT) AS competitor2"""
 
 
-_CENTS = "CAST(round({} * 100) AS BIGINT)"
+_CENTS = "CAST(floor({} * 100 + 0.5) AS BIGINT)"
 
 # One gaze sample per order line. {days} is the day number of the line.
 _GAZE_SAMPLES = f"""
@@ -199,7 +201,9 @@ def _derive(spark: SparkSession, sf: str, source: str, text: str) -> DataFrame:
     filled = text.replace("{" + source + "}", "{source_table}")
     for name, value in _SPARK.items():
         filled = filled.replace("{" + name + "}", value)
-    return spark.sql(filled, source_table=table(spark, sf, source))
+    derived = spark.sql(filled, source_table=table(spark, sf, source))
+    # A stored table would hold these columns, so filters must not redo them.
+    return settle(derived, {name: F.col(name) for name in derived.columns})
 
 
 def gaze_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +242,7 @@ def gaze_lists(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(F.lit("["), joined, F.lit("]"))
 
     e = F.col("embedding")
-    number = F.transform(e, lambda _, i: i * 16)
+    number = F.transform(e, lambda _, i: i * 64)
     vec, q = F.col("vec_id"), F.col("label") % 4
     return table(spark, sf, "embeddings").select(
         (vec % 20).alias("workerid"),
@@ -263,8 +267,8 @@ def gaze_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 _GAZE_LISTS_SQL = """
     SELECT vec_id % 20 AS workerid, vec_id AS slide_number,
-        list_transform(embedding, lambda v, i: (i - 1) * 16) AS times,
-        list_transform(embedding, lambda v, i: 1600000000000 + vec_id * 10000 + (i - 1) * 16) AS unixes,
+        list_transform(embedding, lambda v, i: (i - 1) * 64) AS times,
+        list_transform(embedding, lambda v, i: 1600000000000 + vec_id * 10000 + (i - 1) * 64) AS unixes,
         list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 3000) AS BIGINT) + 640) AS xs,
         list_transform(list_reverse(embedding),
             lambda v: CAST(floor(CAST(v AS DOUBLE) * 2000) AS BIGINT) + 375) AS ys,

@@ -30,14 +30,14 @@ def _generator(*parts: int) -> np.random.Generator:
 def binomial_intervals(
     counts: DataFrame,
     keys: Sequence[str],
-    hits: Mapping[str, str],
-    n: str = "n",
+    hits: Mapping[str, tuple[str, str]],
     resamples: int = RESAMPLES,
     seed: int = 1,
 ) -> DataFrame:
     """Add ``<name>_CILow`` and ``<name>_CIHigh`` for 0/1 columns given as counts.
 
-    ``hits`` maps a result name to the column with its number of ones. The
+    ``hits`` maps a result name to the columns with its number of ones and its
+    number of known flags. The
     resampled mean of a 0/1 group is Binomial(n, p)/n exactly. Rows are
     independent, so this adds no shuffle. The generator starts from the key,
     hence a recomputed row gives the same interval.
@@ -55,10 +55,12 @@ def binomial_intervals(
             for number, name in enumerate(names):
                 low = np.full(len(batch), np.nan)
                 high = np.full(len(batch), np.nan)
-                rows = zip(batch["_key"], batch[n], batch[hits[name]])
-                for i, (key, size, ones) in enumerate(rows):
+                ones_column, size_column = hits[name]
+                rows = zip(batch["_key"], batch[ones_column], batch[size_column])
+                for i, (key, ones, size) in enumerate(rows):
                     if pd.isna(ones) or size == 0:
                         continue
+                    size = int(size)
                     p = ones / size
                     means = _generator(seed, number, int(key)).binomial(size, p, resamples) / size
                     bounds = np.quantile(means, TAILS)

@@ -20,21 +20,25 @@ def region_counts(
     require: Sequence[str] | None = None,
     suffix: str = "_look",
 ) -> DataFrame:
-    """Rows ``n`` and hits ``k_<region>`` per key.
+    """Rows ``n`` per key, and per region known flags ``n_<region>`` and hits ``k_<region>``.
 
     ``require`` names the regions one of which a row has to look at; None keeps
     all rows. Rows are summed before the shuffle, so few rows per key travel.
     """
     kept = looks if require is None else with_any_look(looks, require, suffix)
-    hits = [F.sum(F.col(f"{r}{suffix}").cast("bigint")).alias(f"k_{r}") for r in regions]
-    seen = F.count(F.col(f"{regions[0]}{suffix}")).alias("n")
-    return kept.groupBy(*keys).agg(seen, *hits)
+    flags = {region: F.col(f"{region}{suffix}") for region in regions}
+    known = [F.count(flag).alias(f"n_{region}") for region, flag in flags.items()]
+    hits = [F.sum(flag.cast("bigint")).alias(f"k_{region}") for region, flag in flags.items()]
+    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *known, *hits)
 
 
 def add_proportions(
     counts: DataFrame, regions: Sequence[str] = REGIONS, out: str = "{}_prop"
 ) -> DataFrame:
-    return counts.withColumns({out.format(r): F.col(f"k_{r}") / F.col("n") for r in regions})
+    """Share of hits among the known flags, NULL where none is known."""
+    return counts.withColumns(
+        {out.format(r): F.try_divide(F.col(f"k_{r}"), F.col(f"n_{r}")) for r in regions}
+    )
 
 
 def look_proportions(
@@ -44,7 +48,7 @@ def look_proportions(
     require: Sequence[str] | None = None,
     suffix: str = "_look",
 ) -> DataFrame:
-    """``<region>_prop`` per key, with ``n`` and ``k_<region>`` kept for intervals."""
+    """``<region>_prop`` per key, with the counts kept for intervals."""
     return add_proportions(region_counts(looks, keys, regions, require, suffix), regions)
 
 
@@ -62,7 +66,8 @@ def proportions_by_sets(
     """
     every = list(dict.fromkeys(key for keys in key_sets for key in keys))
     cells = region_counts(looks, every, regions, require, suffix)
-    numbers = [F.sum(c).alias(c) for c in ("n", *[f"k_{r}" for r in regions])]
+    counted = ["n", *[f"{c}_{r}" for r in regions for c in ("n", "k")]]
+    numbers = [F.sum(c).alias(c) for c in counted]
     labels = F.lit(None).cast("string")
     for keys in key_sets:
         mask = sum(0 if key in keys else 1 << (len(every) - 1 - i) for i, key in enumerate(every))

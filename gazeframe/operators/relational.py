@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,18 @@ MIN_WINDOW = (1280, 750)
 CENTER_AOIS = ("AOI5", "AOI6")
 
 
+def settle(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns that later filters read instead of computing again.
+
+    A filter on a projected column is pushed below the projection with the whole
+    expression copied into it, once per use. Columns that come out of a one-row
+    generator stay columns.
+    """
+    fields = [column.alias(name) for name, column in columns.items()]
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*fields))))
+
+
 def distinct_rows(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 

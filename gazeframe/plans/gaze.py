@@ -16,7 +16,7 @@ from gazeframe.operators.alignment import (
     with_first_sample,
 )
 from gazeframe.operators.explode import explode_parallel
-from gazeframe.operators.relational import left_join_renamed
+from gazeframe.operators.relational import left_join_renamed, settle
 
 # List columns of a trial and their item types.
 SERIES = {"webgazer_time": "double", "unixtlist": "bigint", "x": "double", "y": "double"}
@@ -53,8 +53,8 @@ def classify(
     """Look, role and role flags of each sample; samples out of ``bounds`` go."""
     x, y = F.col("x"), F.col("y")
     kept = samples if bounds is None else samples.where(in_range(x, y, *bounds))
-    looks = kept.withColumn("look", layout.look(x, y, F.col(window[0]), F.col(window[1])))
-    return with_roles(looks, swap)
+    look = layout.look(x, y, F.col(window[0]), F.col(window[1]))
+    return with_roles(settle(kept, {"look": look}), swap)
 
 
 def with_roles(looks: DataFrame, swap: bool = False) -> DataFrame:
