@@ -12,12 +12,16 @@ from gazeframe.session import work_dir
 from gazeframe.streaming import gaze_stream as G
 
 
-def _stream(spark, sf, files: int = 4, per_batch: int | None = 1):
-    """The whole event table as a stream of several files, with UTC timestamps."""
+def _stream(spark, sf, batches: int = 4):
+    """The whole event table as a stream of files, with UTC timestamps.
+
+    There are as many files as the table has read tasks, and at least one per batch.
+    """
     events = S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    files = max(batches, events.rdd.getNumPartitions())
     folder = work_dir(spark, "sample-files")
     events.repartitionByRange(files, "event_id").write.parquet(folder)
-    return G.read_samples(spark, folder, events.schema, per_batch)
+    return G.read_samples(spark, folder, events.schema, files // batches)
 
 
 _EPOCH_MS = "epoch_us(ts) // 1000"

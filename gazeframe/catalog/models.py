@@ -278,7 +278,7 @@ def variance_inflation_of_design(spark, sf):
     sql(
         "aligned",
         f"""SELECT condition, {r('avg(slope)')} AS mean_slope, {r('stddev_samp(slope)')} AS sd_slope, count(slope) AS n_units
-        FROM (SELECT condition, workerid, regr_slope(target_look, td / 100) AS slope FROM ({_MODEL_SQL}) GROUP BY ALL) GROUP BY condition""",
+        FROM (SELECT condition, workerid, CASE WHEN var_pop(td) > 0 THEN regr_slope(target_look, td / 100) END AS slope FROM ({_MODEL_SQL}) GROUP BY ALL) GROUP BY condition""",
     ),
 )
 def unit_slopes(spark, sf):
