@@ -39,7 +39,7 @@ def correlation_overall(spark, sf):
 @query("I1")
 def correlation_with_p(spark, sf):
     """Overall and per window, with two-sided p-values."""
-    rows = belief_rows(spark, sf)
+    rows = belief_rows(spark, sf).persist()
     whole = C.correlation(rows, "prop_looks", "prop_selections").withColumn("window", F.lit("all"))
     each = C.correlation(rows, "prop_looks", "prop_selections", ["window"])
     return C.with_p(whole.unionByName(each))
@@ -84,7 +84,7 @@ def correlation_over_items(spark, sf):
 @query("I3")
 def linear_model(spark, sf):
     """Looks on centred selections, with slopes that differ by window and region."""
-    rows = centre(belief_rows(spark, sf), {"c": "prop_selections"})
+    rows = centre(belief_rows(spark, sf).persist(), {"c": "prop_selections"})
     coded = rows.withColumns(
         {
             **dummies("window", BELIEF_WINDOWS, "determiner+name"),
@@ -131,7 +131,7 @@ _FIT = "regr_slope(y, c) FILTER (\"Region\" = '{0}') AS b_{1}, regr_intercept(y,
 )
 def linear_models_by_window(spark, sf):
     """The same linear model in every window, all from one aggregation."""
-    rows = centre(belief_rows(spark, sf), {"c": "prop_selections"}, ["window"])
+    rows = centre(belief_rows(spark, sf).persist(), {"c": "prop_selections"}, ["window"])
     coded = rows.withColumns(dummies("Region", ("target", "competitor", "distractor"), "target"))
     names = ["Region_competitor", "Region_distractor"]
     products = interactions(["c"], names)

@@ -7,6 +7,7 @@ aggregation, and only these counts are resampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -84,7 +85,7 @@ def bootstrap_mean(
     Groups with up to ``distinct_limit`` distinct values draw multinomial counts,
     which is resampling rows with replacement. Larger groups are never gathered:
     each distinct value draws Poisson weights where it lies and only sums of the
-    replicates travel.
+    replicates travel. The counts are kept, so the rows are read once.
     """
     keys = list(keys)
     cells = (
@@ -92,6 +93,7 @@ def bootstrap_mean(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_key", F.xxhash64(*keys))
+        .persist()
     )
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     large = sizes.where(F.col("_k") > distinct_limit).select(*keys)
@@ -189,14 +191,15 @@ def digest_bootstrap(
         .withColumn("_digest", digest)
         .select(*keys, value, "_block", "_digest", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_part"))
     )
-    number = F.conv(F.substring(F.col("_digest"), F.col("_part") * 8 + 1, F.lit(8)), 16, 10)
-    uniform = number.cast("bigint") / F.lit(4294967296.0)
+    # Hex digits of fixed width sort like the numbers they write.
+    digits = F.substring(F.col("_digest"), F.col("_part") * 8 + 1, F.lit(8))
     weight = F.lit(0)
     for cut in POISSON_CUTS:
-        weight = weight + (uniform >= cut).cast("int")
+        weight = weight + (F.col("_digits") >= f"{math.ceil(cut * 2**32):08x}").cast("int")
     return (
         spread.withColumn("replicate", (F.col("_block") * 4 + F.col("_part")).cast("int"))
         .where(F.col("replicate") < resamples)
+        .withColumn("_digits", digits)
         .withColumn("_w", weight)
         .groupBy(*keys, "replicate")
         .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("boot_mean"))
