@@ -124,7 +124,7 @@ _FIT = "regr_slope(y, c) FILTER (\"Region\" = '{0}') AS b_{1}, regr_intercept(y,
         "belief",
         f"""SELECT "window", unnest(['(Intercept)', 'c', 'Region_competitor', 'Region_distractor', 'c__Region_competitor', 'c__Region_distractor']) AS term,
             unnest([{r('a_t')}, {r('b_t')}, {r('a_c - a_t')}, {r('a_d - a_t')}, {r('b_c - b_t')}, {r('b_d - b_t')}]) AS estimate, n
-        FROM (SELECT "window", count(*) AS n, {_FIT.format('target', 't')}, {_FIT.format('competitor', 'c')}, {_FIT.format('distractor', 'd')}
+        FROM (SELECT "window", count(y) AS n, {_FIT.format('target', 't')}, {_FIT.format('competitor', 'c')}, {_FIT.format('distractor', 'd')}
             FROM (SELECT "window", "Region", prop_looks AS y, prop_selections - avg(prop_selections) OVER (PARTITION BY "window") AS c FROM belief)
             GROUP BY "window")""",
     ),
