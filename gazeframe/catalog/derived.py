@@ -14,7 +14,7 @@ from gazeframe.operators import alignment
 from gazeframe.operators.calibration import calibration_accuracy
 from gazeframe.operators.coding import alphabetical_levels, category_code, centre, dummies, interactions
 from gazeframe.operators.lookup import lookup_box, lookup_window
-from gazeframe.operators.relational import left_join_renamed
+from gazeframe.operators.proportions import region_counts
 from gazeframe.operators.reshape import melt_measures
 from gazeframe.operators.stats import counts
 from gazeframe.plans import belief, choice, gaze
@@ -443,12 +443,13 @@ def selections_with_looks(spark, sf):
     ),
 )
 def joined_long_tables(spark, sf):
-    """Left join of two long tables on three keys."""
+    """Left join of two long tables on three keys, both from the same counts."""
     found = binned(spark, sf).withColumn("bin", F.col("binned_time_relative").cast("double"))
-    flag = F.avg("target_look")
+    counted = region_counts(found, ["condition", "size", "bin"], ("target",)).withColumn("region", F.lit("target"))
+    k, n = F.col("k_target"), F.col("n_target")
     keys = ["condition", "bin", "region"]
-    fine = found.groupBy("condition", "size", "bin").agg(flag.alias("by_size")).withColumn("region", F.lit("target"))
-    coarse = found.groupBy("condition", "bin").agg(flag.alias("proportion")).withColumn("region", F.lit("target"))
+    fine = counted.select("condition", "size", "bin", "region", (k / n).alias("by_size"))
+    coarse = counted.groupBy(*keys).agg((F.sum(k) / F.sum(n)).alias("proportion"))
     return rounded(fine.join(coarse, keys, "left").select("condition", "size", "bin", "region", "by_size", "proportion"))
 
 

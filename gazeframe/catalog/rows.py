@@ -219,7 +219,7 @@ def split_responses(spark, sf):
 def exploded_gaze_lists(spark, sf):
     """Four parallel lists, kept as text, to one typed row per sample."""
     lists = S.gaze_lists(spark, sf).select("workerid", "slide_number", *SERIES)
-    return explode_parallel(lists, SERIES, sep=r",\s*")
+    return explode_parallel(lists, SERIES, sep=",")
 
 
 @query("C4", sql("subjects", "SELECT workerid, fairprice, TRY_CAST(fairprice AS DOUBLE) AS fair_value FROM subjects"))

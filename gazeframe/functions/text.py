@@ -23,11 +23,19 @@ def split_fixed(text: Column, names: Sequence[str], sep: str = ",") -> list[Colu
     return [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(names)]
 
 
-def parse_list(text: Column, type_name: str, sep: str = r",\s*") -> Column:
-    """Bracketed list text to a typed array; an item that is no number becomes NULL."""
-    body = F.trim(strip_brackets(text))
+def parse_list(text: Column, type_name: str, sep: str = ",") -> Column:
+    """Bracketed list text to a typed array; an item that is no number becomes NULL.
+
+    Numbers are read as a JSON array where the text is one. Other text is split;
+    casts ignore blanks around an item, so one character is enough for ``sep``.
+    """
+    body = F.btrim(text, F.lit("[] "))
     items = F.transform(F.split(body, sep), lambda item: item.try_cast(type_name))
-    return F.when(body == "", F.array().cast(f"array<{type_name}>")).otherwise(items)
+    array = f"array<{type_name}>"
+    split = F.when(body == "", F.array().cast(array)).otherwise(items)
+    if sep != "," or type_name == "string":
+        return split
+    return F.coalesce(F.from_json(text, array), split)
 
 
 def to_number(text: Column, type_name: str = "double") -> Column:

@@ -49,8 +49,10 @@ def centre(
         joined = df.join(table, keys, "left")
         added = {name: value - F.col(f"_mean_{name}") for name, value in values.items()}
         return joined.withColumns(added).drop(*[f"_mean_{name}" for name in values])
+    # One subquery for all means: the rows are read once more, not once per column.
+    table = df.agg(F.struct(*means.values()).alias("_means")).scalar()
     return df.withColumns(
-        {name: value - df.agg(means[name]).scalar() for name, value in values.items()}
+        {name: value - table.getField(f"_mean_{name}") for name, value in values.items()}
     )
 
 

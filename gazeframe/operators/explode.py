@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.functions.text import parse_list
 
 
+def checked_zip(names: Sequence[str]) -> Column:
+    """Array of structs from parallel array columns; unequal lengths raise an error."""
+    first, *rest = names
+    same = F.lit(True)
+    for name in rest:
+        same = same & (F.size(first) == F.size(name))
+    return F.when(same, F.arrays_zip(*names)).otherwise(
+        F.raise_error(F.lit("parallel lists differ in length"))
+    )
+
+
 def explode_parallel(
     df: DataFrame, lists: Mapping[str, str], sep: str | None = None, position: str | None = None
 ) -> DataFrame:
@@ -25,14 +36,7 @@ def explode_parallel(
     }
     others = [name for name in df.columns if name not in lists]
     staged = df.select(*others, *[column.alias(name) for name, column in parsed.items()])
-    first, *rest = lists
-    same = F.lit(True)
-    for name in rest:
-        same = same & (F.size(first) == F.size(name))
-    zipped = F.arrays_zip(*lists)
-    checked = F.when(same, zipped).otherwise(
-        F.raise_error(F.lit("parallel lists differ in length")).cast("void")
-    )
-    rows = staged.select(*others, F.posexplode(checked).alias("_position", "_item"))
+    zipped = checked_zip(list(lists))
+    rows = staged.select(*others, F.posexplode(zipped).alias("_position", "_item"))
     keep = [F.col("_position").alias(position)] if position else []
     return rows.select(*others, *keep, *[F.col(f"_item.{name}").alias(name) for name in lists])

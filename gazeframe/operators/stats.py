@@ -60,10 +60,11 @@ def quantiles(
     value: str,
     probs: Sequence[float],
     out: str = "quantiles",
+    mean: str | None = None,
     distinct_limit: int = DISTINCT_LIMIT,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key as an array.
+    """Exact interpolated quantiles per key as an array, and the mean if it is named.
 
     Spark's ``percentile`` keeps every distinct value of a group in one buffer,
     which is fine up to ``distinct_limit``. Beyond that the wanted ranks are
@@ -77,12 +78,19 @@ def quantiles(
     most = widest.agg(F.max("_k")).first()[0] or 0
     if most <= distinct_limit:
         points = F.array(*[F.lit(float(p)) for p in probs])
-        return cells.groupBy(*keys).agg(F.percentile("_v", points, F.col("_c")).alias(out))
-    return _selected_quantiles(cells, keys, probs, out, buckets)
+        found = [F.percentile("_v", points, F.col("_c")).alias(out)]
+        if mean:
+            found.append(_cell_mean().alias(mean))
+        return cells.groupBy(*keys).agg(*found)
+    return _selected_quantiles(cells, keys, probs, out, mean, buckets)
+
+
+def _cell_mean():
+    return F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
 
 
 def _selected_quantiles(
-    cells: DataFrame, keys: list[str], probs: Sequence[float], out: str, buckets: int
+    cells: DataFrame, keys: list[str], probs: Sequence[float], out: str, mean: str | None, buckets: int
 ) -> DataFrame:
     if not keys:
         cells = cells.withColumn("_all", F.lit(1))
@@ -122,7 +130,10 @@ def _selected_quantiles(
     result = each.groupBy(*group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(out)
     )
-    return result.select(*keys, out)
+    if not mean:
+        return result.select(*keys, out)
+    means = cells.groupBy(*group).agg(_cell_mean().alias(mean))
+    return result.join(means, group).select(*keys, out, mean)
 
 
 SUMMARY = ("min_value", "q1", "median", "mean", "q3", "max_value")
@@ -131,14 +142,10 @@ SUMMARY = ("min_value", "q1", "median", "mean", "q3", "max_value")
 def six_numbers(df: DataFrame, value: str, keys: Sequence[str] = (), **options) -> DataFrame:
     """Minimum, quartiles, mean and maximum per key."""
     keys = list(keys)
-    found = quantiles(df, keys, value, (0, 0.25, 0.5, 0.75, 1), "_q", **options)
-    picks = [F.col("_q")[i].alias(n) for i, n in enumerate(("min_value", "q1", "median", "q3", "max_value"))]
-    columns = [F.col(name) for name in SUMMARY]
-    if keys:
-        means = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
-        return found.select(*keys, *picks).join(means, keys).select(*keys, *columns)
-    means = df.agg(F.avg(value).alias("mean"))
-    return found.select(*picks, means.scalar().alias("mean")).select(*columns)
+    found = quantiles(df, keys, value, (0, 0.25, 0.5, 0.75, 1), "_q", "mean", **options)
+    places = {name: i for i, name in enumerate(n for n in SUMMARY if n != "mean")}
+    picks = [F.col(n) if n == "mean" else F.col("_q")[places[n]].alias(n) for n in SUMMARY]
+    return found.select(*keys, *picks)
 
 
 def time_ranges(df: DataFrame, keys: Sequence[str], value: str, **options) -> DataFrame:

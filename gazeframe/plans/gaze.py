@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.functions.aoi import MAIN_RANGE, Layout, in_range, quadrant, role, role_flags
+from gazeframe.functions.aoi import (
+    MAIN_RANGE,
+    Layout,
+    first_box,
+    in_range,
+    quadrant,
+    role,
+    role_flags,
+)
 from gazeframe.functions.nulls import one_of_two
 from gazeframe.functions.text import parse_list
 from gazeframe.operators.alignment import (
     TRIAL,
     align,
     bin_time,
-    first_in_list,
     with_first_sample,
 )
-from gazeframe.operators.explode import explode_parallel
+from gazeframe.operators.explode import checked_zip
 from gazeframe.operators.relational import left_join_renamed, settle
 
 # List columns of a trial and their item types.
@@ -67,39 +74,53 @@ def classified_trials(
     layout: Layout = Layout(),
     bounds: tuple[float, ...] = MAIN_RANGE,
     window: tuple[str, str] = ("system_windowW", "system_windowH"),
-    sep: str | None = r",\s*",
+    sep: str | None = ",",
+    origin: str = "classified",
 ) -> DataFrame:
     """Classify samples while they are lists and find each trial's first sample.
 
     A trial's samples sit in its row, so its origin is the smallest time in its
     own lists. This spares the shuffle of all samples by trial. Lists of unequal
-    length raise an error. Adds ``look`` (list), ``first_sample``, ``first_unix``.
+    length raise an error. Adds ``samples``, an array of the samples that look at
+    a region, and ``first_sample`` and ``first_unix``.
     """
     if sep is not None:
         trials = trials.withColumns(
             {name: parse_list(F.col(name), kind, sep) for name, kind in SERIES.items()}
         )
-    width, height = F.col(window[0]), F.col(window[1])
-
-    def place(point):
-        look = layout.look(point["x"], point["y"], width, height)
-        return F.when(in_range(point["x"], point["y"], *bounds), look)
-
-    looks = trials.withColumn("look", F.transform(F.arrays_zip("x", "y"), place))
-    kept = F.transform("look", lambda look: F.coalesce(look != "other", F.lit(False)))
-    return looks.withColumns(
+    sides = ("x_min", "x_max", "y_min", "y_max")
+    boxes = layout.boxes(F.col(window[0]), F.col(window[1]))
+    per_trial = F.struct(
+        *[
+            F.struct(*[bound.alias(side) for side, bound in zip(sides, box)]).alias(name)
+            for name, box in boxes.items()
+        ]
+    )
+    staged = settle(trials, {"_boxes": per_trial, "_series": checked_zip(list(SERIES))})
+    known = {name: tuple(F.col(f"_boxes.{name}.{side}") for side in sides) for name in boxes}
+
+    def place(sample):
+        look = first_box(sample["x"], sample["y"], known)
+        return F.struct(*[sample[name].alias(name) for name in SERIES], look.alias("look"))
+
+    near = F.filter("_series", lambda sample: in_range(sample["x"], sample["y"], *bounds))
+    placed = staged.withColumn("_placed", F.transform(near, place))
+    seen = F.filter("_placed", lambda sample: sample["look"] != "other")
+    settled = settle(placed.drop("_boxes", "_series", *SERIES), {"_placed": F.col("_placed"), "samples": seen})
+    source = "samples" if origin == "classified" else "_placed"
+    return settled.withColumns(
         {
-            "first_sample": first_in_list(F.col("webgazer_time"), kept),
-            "first_unix": first_in_list(F.col("unixtlist"), kept),
+            "first_sample": F.array_min(F.col(f"{source}.webgazer_time")),
+            "first_unix": F.array_min(F.col(f"{source}.unixtlist")),
         }
-    )
+    ).drop("_placed")
 
 
 def looks_from_lists(trials: DataFrame, swap: bool = False, **options) -> DataFrame:
     """Classified samples of list-shaped trials, one row per sample, ``other`` dropped."""
     listed = classified_trials(trials, **options)
-    samples = explode_parallel(listed, {**SERIES, "look": "string"})
-    return with_roles(samples.where(F.col("look") != "other"), swap)
+    others = [name for name in listed.columns if name != "samples"]
+    return with_roles(listed.select(*others, F.inline("samples")), swap)
 
 
 def aligned_looks(looks: DataFrame, origin: str = "classified", shift: int = 0) -> DataFrame:

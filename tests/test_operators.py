@@ -34,14 +34,14 @@ def rows(df):
 
 def test_parallel_lists(spark):
     df = spark.createDataFrame([(1, "[1.0, 2.5]", "[10,20]"), (2, "[]", "[]")], "id int, t string, u string")
-    out = explode_parallel(df, {"t": "double", "u": "bigint"}, sep=r",\s*", position="i")
+    out = explode_parallel(df, {"t": "double", "u": "bigint"}, sep=",", position="i")
     assert rows(out) == [(1, 0, 1.0, 10), (1, 1, 2.5, 20)]
 
 
 def test_uneven_lists_are_an_error(spark):
     df = spark.createDataFrame([("[1, 2, 3]", "[1, 2]")], "t string, u string")
     with pytest.raises(PySparkException, match="differ in length"):
-        explode_parallel(df, {"t": "double", "u": "double"}, sep=r",\s*").collect()
+        explode_parallel(df, {"t": "double", "u": "double"}, sep=",").collect()
 
 
 def test_null_in_exclusion_list_has_no_effect(spark):
@@ -243,7 +243,7 @@ def gaze_trial(spark):
 def test_list_and_long_routes_agree(spark):
     trials = gaze_trial(spark)
     listed = gaze.binned_looks(gaze.looks_from_lists(trials))
-    long = gaze.binned_looks(gaze.classify(explode_parallel(trials, gaze.SERIES, sep=r",\s*")))
+    long = gaze.binned_looks(gaze.classify(explode_parallel(trials, gaze.SERIES, sep=",")))
     columns = ["webgazer_time", "look", "ROI", "relative_time", "binned_time_relative"]
     # Time zero is the first classified sample, at 5; only the last sample is late enough.
     assert rows(listed.select(*columns)) == rows(long.select(*columns)) == [(1300.0, "topleft", "target", 1295.0, 100)]
@@ -251,7 +251,7 @@ def test_list_and_long_routes_agree(spark):
 
 def test_classified_and_raw_origin_differ(spark):
     trials = gaze_trial(spark).withColumn("x", F.lit("[500, 640, 640, 10]")).withColumn("y", F.lit("[300, 375, 375, 10]"))
-    looks = gaze.classify(explode_parallel(trials, gaze.SERIES, sep=r",\s*"))
+    looks = gaze.classify(explode_parallel(trials, gaze.SERIES, sep=","))
     classified = gaze.aligned_looks(looks).agg(F.min("first_sample")).first()[0]
     raw = gaze.aligned_looks(looks, origin="raw").agg(F.min("first_sample")).first()[0]
     assert (classified, raw) == (10.0, 5.0)
