@@ -148,6 +148,58 @@ def look_proportions_from_lists(spark, sf):
     return _long_proportions(found, keys, _ALL)
 
 
+_KEPT = f"""kept AS (SELECT * FROM scored_clicks WHERE workerid NOT IN (
+        SELECT workerid FROM scored_clicks WHERE ExpFiller <> 'Prac' GROUP BY workerid
+        HAVING coalesce(sum(selection_correct), 0) / {DIVISOR} < {LEAST}))"""
+
+_STUDY = """study AS (
+        SELECT *, CAST(response = CAST(target1 AS VARCHAR) OR response = CAST(target2 AS VARCHAR) AS INT) AS ok FROM gaze_lists),
+    kept AS (
+        SELECT slide_number FROM study WHERE ok = 1 AND trial_type = 'Exp' AND workerid NOT IN (
+            SELECT workerid FROM study WHERE trial_type <> 'Prac' GROUP BY workerid HAVING sum(ok) / 20 < 0.9))"""
+
+
+@query(
+    "A2 B4 C3 D6 E1 F8 F9 H3",
+    sql("list_binned", "@").replace(
+        "\n@",
+        f""",\n{_STUDY}
+        SELECT condition, size, camview, CAST(binned_time_relative AS DOUBLE) AS bin, unnest({_REGIONS}) AS region,
+            unnest([{r('avg(target_look)')}, {r('avg(competitor_look)')}, {r('avg(center_look)')}]) AS proportion
+        FROM list_binned WHERE slide_number IN (SELECT slide_number FROM kept) AND {_ANY_ALL}
+        GROUP BY condition, size, camview, binned_time_relative""",
+    ),
+)
+def gaze_study(spark, sf):
+    """The whole gaze study: trial rows, exclusions, samples, looks, bins, proportions."""
+    trials = gaze.prepare_trials(S.gaze_lists(spark, sf), S.onsets(spark, sf))
+    kept = gaze.analysed_trials(trials, least=0.9, divisor=20)
+    keys = ["condition", "size", "camview", "binned_time_relative"]
+    looks = gaze.binned_looks(gaze.looks_from_lists(kept))
+    return _long_proportions(proportions.look_proportions(looks, keys, _ALL, _ALL), keys, _ALL)
+
+
+@query(
+    "B4 F8 F11 H1",
+    sql("scored_clicks", "@").replace(
+        "\n@",
+        f""",\n{_KEPT},
+        experimental_clicks AS (SELECT * FROM kept WHERE selection_correct = 1 AND ExpFiller = 'Exp'),
+        long_clicks AS ({S.VIEWS["long_clicks"][0]})
+        SELECT condition, size, click_number, {r('avg(target_look)')} AS target_prop, {r('avg(competitor_look)')} AS competitor_prop
+        FROM long_clicks GROUP BY ALL""",
+    ),
+)
+def choice_study(spark, sf):
+    """The whole choice study: response lists, exclusions, clicks, proportions."""
+    wide = choice.wide_clicks(S.choice_trials(spark, sf))
+    kept = choice.analysed_trials(wide, least=LEAST, divisor=DIVISOR)
+    keys = ["condition", "size", "click_number"]
+    clicks = choice.long_clicks(kept, ["condition", "size"])
+    found = proportions.look_proportions(clicks, keys, _TWO)
+    return rounded(found.select(*keys, "target_prop", "competitor_prop"))
+
+
 @query("F10 D20")
 def look_proportions_with_intervals(spark, sf):
     """Proportions with a 95% bootstrap band of 1000 resamples per cell."""
@@ -257,9 +309,7 @@ _FUNNEL = f"""SELECT stage_no, stage, rows_left, workers_left, {r("rows_left / m
         UNION ALL SELECT 3, 'correct_trials', count(*), count(DISTINCT workerid) FROM kept WHERE selection_correct = 1
         UNION ALL SELECT 4, 'wanted_trials', count(*), count(DISTINCT workerid) FROM kept WHERE selection_correct = 1 AND ExpFiller = 'Exp'
     )"""
-_KEPT = f"""kept AS (SELECT * FROM scored_clicks WHERE workerid NOT IN (
-        SELECT workerid FROM scored_clicks WHERE ExpFiller <> 'Prac' GROUP BY workerid
-        HAVING coalesce(sum(selection_correct), 0) / {DIVISOR} < {LEAST}))"""
+
 
 
 @query("F8", sql("scored_clicks", "@").replace("\n@", f",\n{_KEPT}\n{_FUNNEL}"))

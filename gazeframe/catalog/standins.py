@@ -258,6 +258,10 @@ def gaze_lists(spark: SparkSession, sf: str) -> DataFrame:
         ),
         F.when(vec % 2 == 0, "big").otherwise("small").alias("size"),
         F.concat(F.lit("NATION_"), (vec % 25).cast("string")).alias("audio"),
+        F.when(vec % 9 == 0, "Prac").when(vec % 4 == 3, "Filler").otherwise("Exp").alias("trial_type"),
+        (q + F.when(vec % 11 < 9, 1).otherwise(5)).cast("string").alias("response"),
+        F.when(vec % 3 == 0, "Yes").otherwise("No").alias("subject_information_camblock"),
+        F.lit("English").alias("subject_information_language"),
         (q + 1).cast("int").alias("target1"),
         (q + 7).cast("int").alias("target2"),
         F.element_at(F.array(*map(F.lit, (2, 1, 4, 3))), q + 1).alias("competitor1"),
@@ -275,6 +279,9 @@ _GAZE_LISTS_SQL = """
         1280 AS system_windowW, CAST(750 + vec_id % 3 * 50 AS INT) AS system_windowH,
         CASE vec_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'some' ELSE 'num' END AS condition,
         CASE WHEN vec_id % 2 = 0 THEN 'big' ELSE 'small' END AS size,
+        CASE WHEN vec_id % 9 = 0 THEN 'Prac' WHEN vec_id % 4 = 3 THEN 'Filler' ELSE 'Exp' END AS trial_type,
+        CAST(label % 4 + CASE WHEN vec_id % 11 < 9 THEN 1 ELSE 5 END AS VARCHAR) AS response,
+        CASE WHEN vec_id % 3 = 0 THEN 'Yes' ELSE 'No' END AS camview,
         concat('NATION_', vec_id % 25) AS audio, """ + _quadrant_numbers("(label % 4)") + """
     FROM embeddings"""
 

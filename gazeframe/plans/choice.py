@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gazeframe.functions.nulls import one_of_two, r_ifelse
 from gazeframe.functions.text import last_word, split_fixed, strip_list_text
+from gazeframe.operators.exclusions import apply_exclusions
 from gazeframe.operators.reshape import melt
 
 # Click columns and the analysis window each click belongs to.
@@ -35,6 +36,13 @@ def final_click_correct(wide: DataFrame) -> DataFrame:
     return wide.withColumn("selection_correct", one_of_two(*number))
 
 
+def analysed_trials(wide: DataFrame, **options) -> DataFrame:
+    """Correct experimental trials of accurate workers; practice does not count as accuracy."""
+    kind = F.col("ExpFiller")
+    scored = final_click_correct(wide)
+    return apply_exclusions(scored, scored=kind != "Prac", wanted=kind == "Exp", **options)
+
+
 def long_clicks(wide: DataFrame, keep: Sequence[str], names: Sequence[str] = CLICKS) -> DataFrame:
     """One row per click with target, competitor and distractor flags."""
     rows = melt(wide, [*keep, *ANSWERS], names, "click_number", "location")

@@ -22,6 +22,7 @@ from gazeframe.operators.alignment import (
     bin_time,
     with_first_sample,
 )
+from gazeframe.operators.exclusions import apply_exclusions
 from gazeframe.operators.explode import checked_zip
 from gazeframe.operators.relational import left_join_renamed, settle
 
@@ -31,7 +32,7 @@ SERIES = {"webgazer_time": "double", "unixtlist": "bigint", "x": "double", "y":
 
 def locate(trials: DataFrame) -> DataFrame:
     """Quadrant names of target and competitor from their AOI numbers."""
-    number = {c: F.col(c).cast("int") for c in ("target1", "target2", "competitor1", "competitor2")}
+    number = {c: F.col(c).try_cast("int") for c in ("target1", "target2", "competitor1", "competitor2")}
     return trials.withColumns(
         {
             "target_location": quadrant(number["target1"], number["target2"]),
@@ -50,6 +51,23 @@ def add_onsets(trials: DataFrame, onsets: DataFrame) -> DataFrame:
     return left_join_renamed(trials, onsets, "audio", "Prime")
 
 
+def prepare_trials(trials: DataFrame, onsets: DataFrame) -> DataFrame:
+    """Trials with quadrants, onsets, scored selection, camera view and language."""
+    scored = score_selection(locate(trials)).withColumns(
+        {
+            "camview": F.col("subject_information_camblock"),
+            "language": F.lower("subject_information_language"),
+        }
+    )
+    return add_onsets(scored, onsets)
+
+
+def analysed_trials(trials: DataFrame, **options) -> DataFrame:
+    """Correct experimental trials of accurate workers; practice does not count as accuracy."""
+    kind = F.col("trial_type")
+    return apply_exclusions(trials, scored=kind != "Prac", wanted=kind == "Exp", **options)
+
+
 def classify(
     samples: DataFrame,
     layout: Layout = Layout(),

@@ -27,6 +27,31 @@ def read_csv(
     return reader.csv(path)
 
 
+def read_named_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multi_line: bool = False,
+    missing: str = "NA",
+) -> DataFrame:
+    """Headed CSV whose columns may come in any order, matched to ``schema`` by name.
+
+    Dots in header names become ``_``. A declared column the file lacks is NULL,
+    as are ``missing`` and text that is no value of its type; other columns are
+    dropped.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("nullValue", missing)
+    if multi_line:
+        reader = reader.option("multiLine", True)
+    raw = reader.csv(path)
+    found = {name.replace(".", "_"): name for name in raw.columns}
+    columns = []
+    for field in schema:
+        value = F.col(f"`{found[field.name]}`") if field.name in found else F.lit(None)
+        columns.append(value.try_cast(field.dataType).alias(field.name))
+    return raw.select(*columns)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 

@@ -116,3 +116,39 @@ def test_a_restarted_stream_adds_only_new_files(spark):
     spark.createDataFrame(BATCHES[1], schema).write.mode("append").parquet(folder)
     gaze_stream.append_samples(gaze_stream.read_samples(spark, folder, schema), table, checkpoint)
     assert spark.read.parquet(table).count() == 3
+
+
+def test_gaze_study_from_a_csv_file(spark):
+    """Dotted headers in any order, NA, brackets: through to binned looks."""
+    from gazeframe.plans import gaze
+
+    folder = work_dir(spark, "trials")
+    os.makedirs(folder)
+    header = (
+        "slide_number,workerid,extra,trial_type,condition,size,audio,target1,target2,competitor1,competitor2,response,"
+        "webgazer_time,unixtlist,x,y,system.windowW,system.windowH,subject_information.camblock,"
+        "subject_information.language,subject_information.age"
+    )
+    lists = '"[0, 500, 2000]","[10, 510, 2010]","[640.5, 10, 10]","[375, 10, 740]"'
+    tail = "1280,750,No, ENGLISH,NA"
+    rows = [
+        f"1,7,z,Exp,all,big,A,1,7,2,8,1,{lists},{tail}",
+        f"2,7,z,Exp,all,big,A,1,7,2,8,2,{lists},{tail}",
+        f"3,7,z,Prac,,,A,1,NA,2,NA,5,{lists},{tail}",
+        f"4,8,z,Exp,all,big,A,1,7,2,8,4,{lists},{tail}",
+    ]
+    with open(f"{folder}/trials.csv", "w") as out:
+        out.write("\n".join([header, *rows]) + "\n")
+    trials = files.read_named_csv(spark, folder, schemas.GAZE_TRIAL)
+    assert trials.columns == schemas.GAZE_TRIAL.names
+    assert {r.subject_information_age for r in trials.collect()} == {None}
+    onset_row = {name: 100.0 for name in schemas.ONSETS.names} | {"Prime": "A", "Name": "n", "Noun": "m"}
+    onsets = spark.createDataFrame([tuple(onset_row[n] for n in schemas.ONSETS.names)], schemas.ONSETS)
+    prepared = gaze.prepare_trials(trials, onsets)
+    scored = {r.slide_number: r.selection_correct for r in prepared.collect()}
+    assert scored == {1: 1, 2: 0, 3: None, 4: 0}
+    # Worker 7 has one of two right, worker 8 none of one.
+    kept = gaze.analysed_trials(prepared, least=0.5, divisor=2)
+    assert [(r.workerid, r.slide_number) for r in kept.collect()] == [(7, 1)]
+    found = gaze.binned_looks(gaze.looks_from_lists(kept)).collect()
+    assert [(r.look, r.ROI, r.binned_time_relative) for r in found] == [("bottomleft", "competitor", 900)]
