@@ -11,11 +11,14 @@ from gazeframe.functions.text import parse_list
 
 
 def checked_zip(names: Sequence[str]) -> Column:
-    """Array of structs from parallel array columns; unequal lengths raise an error."""
+    """Array of structs from parallel array columns; unequal lengths raise an error.
+
+    A row whose lists are all NULL gives NULL, which explodes to no row.
+    """
     first, *rest = names
     same = F.lit(True)
     for name in rest:
-        same = same & (F.size(first) == F.size(name))
+        same = same & F.size(first).eqNullSafe(F.size(name))
     return F.when(same, F.arrays_zip(*names)).otherwise(
         F.raise_error(F.lit("parallel lists differ in length"))
     )
@@ -37,6 +40,8 @@ def explode_parallel(
     others = [name for name in df.columns if name not in lists]
     staged = df.select(*others, *[column.alias(name) for name, column in parsed.items()])
     zipped = checked_zip(list(lists))
-    rows = staged.select(*others, F.posexplode(zipped).alias("_position", "_item"))
-    keep = [F.col("_position").alias(position)] if position else []
-    return rows.select(*others, *keep, *[F.col(f"_item.{name}").alias(name) for name in lists])
+    if position is None:
+        # Straight from the generator, so that filters on trials pass below it.
+        return staged.select(*others, F.inline(zipped))
+    rows = staged.select(*others, F.posexplode(zipped).alias(position, "_item"))
+    return rows.select(*others, position, *[F.col(f"_item.{name}").alias(name) for name in lists])

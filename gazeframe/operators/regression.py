@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -95,18 +96,22 @@ def logistic(cells: DataFrame, xs: Sequence[str], p: str = "p", weight: str = "n
     The dependence of rows within a worker is ignored, so standard errors are
     too small; report them next to the per-unit slopes.
     """
+    complete = cells.dropna(subset=[*xs, p, weight])
     features = VectorAssembler(inputCols=list(xs), outputCol="_features")
     fit = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol=p, weightCol=weight, featuresCol="_features"
-    ).fit(features.transform(cells))
-    summary = fit.summary
+    ).fit(features.transform(complete))
     terms = [*xs, "(Intercept)"]
     estimates = [*fit.coefficients.toArray().tolist(), fit.intercept]
-    rows = list(
-        zip(terms, estimates, summary.coefficientStandardErrors, summary.tValues, summary.pValues)
-    )
+    try:
+        summary = fit.summary
+        tests = zip(summary.coefficientStandardErrors, summary.tValues, summary.pValues)
+        tests = [tuple(map(float, row)) for row in tests]
+    except PySparkException:
+        # Collinear columns have a fit but no standard errors.
+        tests = [(None, None, None)] * len(terms)
     return cells.sparkSession.createDataFrame(
-        [(t, *map(float, numbers)) for t, *numbers in rows],
+        [(term, float(value), *test) for term, value, test in zip(terms, estimates, tests)],
         "term string, estimate double, std_error double, z double, p double",
     )
 
@@ -114,17 +119,24 @@ def logistic(cells: DataFrame, xs: Sequence[str], p: str = "p", weight: str = "n
 def logistic_by_window(
     cells: DataFrame, windows: Sequence[str], xs: Sequence[str], window: str = "window", **columns
 ) -> DataFrame:
-    """The same logistic model per analysis window, on one cached cell table."""
-    cells = cells.persist()
+    """The same logistic model per analysis window, on one cached cell table.
+
+    A window without rows has no model.
+    """
+    cells = cells.where(F.col(window).isin(*windows)).persist()
     try:
+        present = {row[0] for row in cells.select(window).distinct().collect()}
         fits = [
             logistic(cells.where(F.col(window) == name), xs, **columns).select(
                 F.lit(name).alias(window), "*"
             )
             for name in windows
+            if name in present
         ]
     finally:
         cells.unpersist()
+    if not fits:
+        raise ValueError("no rows in any of the windows")
     out = fits[0]
     for fit in fits[1:]:
         out = out.unionByName(fit)
@@ -142,7 +154,12 @@ def variance_inflation(df: DataFrame, xs: Sequence[str]) -> DataFrame:
             for found in batch.to_dict("records"):
                 matrix = np.eye(len(xs))
                 for i, j in pairs:
-                    matrix[i, j] = matrix[j, i] = found[f"_r{i}_{j}"]
-                yield pd.DataFrame({"term": xs, "vif": np.diag(np.linalg.inv(matrix))})
+                    value = found[f"_r{i}_{j}"]
+                    matrix[i, j] = matrix[j, i] = np.nan if value is None else value
+                try:
+                    inflation = np.diag(np.linalg.inv(matrix))
+                except np.linalg.LinAlgError:
+                    inflation = np.full(len(xs), np.inf)
+                yield pd.DataFrame({"term": xs, "vif": inflation})
 
     return row.mapInPandas(invert, "term string, vif double")

@@ -14,7 +14,7 @@ def read_csv(
     multi_line: bool = False,
     line_sep: str | None = None,
 ) -> DataFrame:
-    """Headed CSV with doubled quotes, read by a declared schema.
+    """Headed CSV with doubled quotes, its columns in the order of ``schema``.
 
     ``multi_line`` is only for free text with line breaks: such files cannot be
     split between tasks.

@@ -357,3 +357,21 @@ def test_sessions_against_brute_force(spark):
             group.append(t)
         want.append((w, number + 1, group[0], group[-1], len(group)))
     assert got == sorted(want)
+
+
+def test_null_lists_give_no_samples(spark):
+    df = spark.createDataFrame([(1, None, None), (2, [1.0], [2.0])], "id int, a array<double>, b array<double>")
+    assert rows(explode_parallel(df, {"a": "double", "b": "double"})) == [(2, 1.0, 2.0)]
+
+
+def test_models_without_rows_or_errors(spark):
+    data = [("w1", i % 2, i % 2, 1.0 if i % 3 else 0.0) for i in range(40)]
+    df = spark.createDataFrame(data, "window string, a int, b int, y double")
+    cells = regression.model_cells(df, ["window", "a", "b"], "y")
+    found = regression.logistic_by_window(cells, ["w1", "w2"], ["a", "b"]).collect()
+    assert {r.window for r in found} == {"w1"}
+    assert len(found) == 3
+    with pytest.raises(ValueError):
+        regression.logistic_by_window(cells, ["w2"], ["a"])
+    inflation = regression.variance_inflation(df, ["a", "b"]).collect()
+    assert all(r.vif > 1e6 for r in inflation)
