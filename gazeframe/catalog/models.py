@@ -10,11 +10,13 @@ from gazeframe.catalog.common import r, rounded
 from gazeframe.catalog.derived import aligned, long_clicks
 from gazeframe.catalog.registry import query
 from gazeframe.catalog.standins import sql
+from gazeframe.functions.scores import recode
 from gazeframe.operators import correlation as C
 from gazeframe.operators import regression as G
 from gazeframe.operators.alignment import bin_time, label_windows
 from gazeframe.operators.coding import centre, dummies, interactions
 from gazeframe.operators.relational import with_any_look
+from gazeframe.plans.belief import MERGED_DETERMINERS
 
 # Analysis windows of the models, and their category levels.
 WINDOWS = ("baseline", "gender", "determiner", "name", "noun")
@@ -81,19 +83,41 @@ def correlation_over_items(spark, sf):
     return rounded(C.correlation(collapsed(spark, sf), "prop_looks", "prop_selections", ["window"]))
 
 
-@query("I3")
+_BELIEF_LEVELS = {
+    "window": (BELIEF_WINDOWS, "determiner+name"),
+    "Region": (("target", "competitor", "distractor"), "target"),
+    "determiner": (("all", "number", "some"), "all"),
+    "size": (("big", "small"), "big"),
+}
+
+
+def _slope_model(rows, factors):
+    """Looks on centred selections, with slopes that differ by the levels of ``factors``."""
+    coded = centre(rows.persist(), {"c": "prop_selections"})
+    levels = {}
+    for factor in factors:
+        names, reference = _BELIEF_LEVELS[factor]
+        levels |= dummies(factor, names, reference)
+    products = interactions(["c"], list(levels))
+    return G.ols(coded.withColumns(levels).withColumns(products), "prop_looks", ["c", *products])
+
+
+@query("I3 D17 D18")
 def linear_model(spark, sf):
-    """Looks on centred selections, with slopes that differ by window and region."""
-    rows = centre(belief_rows(spark, sf).persist(), {"c": "prop_selections"})
-    coded = rows.withColumns(
-        {
-            **dummies("window", BELIEF_WINDOWS, "determiner+name"),
-            **dummies("Region", ("target", "competitor", "distractor"), "target"),
-        }
-    )
-    names = [c for c in coded.columns if c.startswith(("window_", "Region_"))]
-    products = interactions(["c"], names)
-    return G.ols(coded.withColumns(products), "prop_looks", ["c", *products])
+    """Slopes by window and region."""
+    return _slope_model(belief_rows(spark, sf), ["window", "Region"])
+
+
+@query("I3 D17 D18")
+def linear_model_with_conditions(spark, sf):
+    """Slopes by window, region, determiner and size."""
+    return _slope_model(belief_rows(spark, sf), ["window", "Region", "determiner", "size"])
+
+
+@query("I3 D17 D18")
+def linear_model_of_targets(spark, sf):
+    """Target rows alone, centred among themselves."""
+    return _slope_model(belief_rows(spark, sf).where(F.col("Region") == "target"), ["window"])
 
 
 @query(
@@ -188,14 +212,31 @@ def _gaze_design(cells):
 def gaze_logistic_by_window(spark, sf):
     """Target looks on condition, size and time in every window: fixed effects."""
     looks = window_looks(spark, sf).withColumn("bin", F.col("binned_time_relative").cast("double"))
-    cells = G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look")
+    cells = G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look").persist()
     design, terms = _gaze_design(cells)
     return G.logistic_by_window(design, WINDOWS, terms)
 
 
+@query("I4 I5 D17 D18")
+def tracker_logistic_by_window(spark, sf):
+    """Target looks of the tracker on determiner, size and sample time in two windows."""
+    looks = with_any_look(S.tracker(spark, sf), ("target", "competitor"), suffix="look")
+    named = looks.withColumn("determiner", recode(F.col("determiner"), MERGED_DETERMINERS))
+    cells = G.model_cells(named, ["whichword", "determiner", "size", "time"], "targetlook").persist()
+    size = F.when(F.col("size") == "big", 1).otherwise(2)
+    coded = centre(cells, {"csize": size, "ctime": "time"}, ["whichword"], weight="n")
+    determiners = ["determiner_number", "determiner_some"]
+    coded = coded.withColumns(dummies("determiner", ("all", "number", "some"), "all"))
+    pairs = interactions(determiners, ["csize", "ctime"]) | interactions(["csize"], ["ctime"])
+    triples = interactions([f"{d}__csize" for d in determiners], ["ctime"])
+    design = coded.withColumns(pairs).withColumns(triples)
+    terms = [*determiners, "csize", "ctime", *pairs, *triples]
+    return G.logistic_by_window(design, ("determiner", "name"), terms, "whichword")
+
+
 def _choice_cells(spark, sf):
     clicks = with_any_look(long_clicks(spark, sf), ("target", "competitor"))
-    return G.model_cells(clicks, ["click_number", "condition", "size"], "target_look")
+    return G.model_cells(clicks, ["click_number", "condition", "size"], "target_look").persist()
 
 
 @query("I4 I5")
@@ -269,7 +310,8 @@ def variance_inflation(spark, sf):
 def variance_inflation_of_design(spark, sf):
     """All terms of the window model."""
     looks = window_looks(spark, sf).withColumn("bin", F.col("binned_time_relative").cast("double"))
-    design, terms = _gaze_design(G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look"))
+    cells = G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look").persist()
+    design, terms = _gaze_design(cells)
     return G.variance_inflation(design, terms)
 
 

@@ -36,9 +36,9 @@ def looks(spark, sf):
     return classify(locate(samples(spark, sf)))
 
 
-@query("B1", sql("onsets", "SELECT * EXCLUDE (Name, click_onset_ms_200shift) FROM onsets"))
+@query("B1", sql("choice_trials", "SELECT * EXCLUDE (response_times, instruction3, Prime) FROM choice_trials"))
 def dropped_columns(spark, sf):
-    return S.onsets(spark, sf).drop("Name", "click_onset_ms_200shift")
+    return S.choice_trials(spark, sf).drop("response_times", "instruction3", "Prime")
 
 
 @query("B2", sql("choice_trials", "SELECT workerid, condition, size, response FROM choice_trials"))

@@ -145,7 +145,8 @@ def aligned_looks(looks: DataFrame, origin: str = "classified", shift: int = 0)
     """Samples that look at a region, aligned to the word onsets.
 
     ``origin="classified"`` takes a trial's first sample that looks at a region,
-    ``"raw"`` its first sample of all.
+    ``"raw"`` its first sample of all. Looks that come with ``first_sample``, as
+    those from lists do, keep it.
     """
     seen = looks.where(F.col("look") != "other")
     if "first_sample" not in looks.columns:
