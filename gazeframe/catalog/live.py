@@ -103,11 +103,20 @@ def streamed_trial_sessions(spark, sf):
     return found.select("user_id", F.expr("unix_micros(session.start) div 1000").alias("start_ms"), "n_samples")
 
 
-@query("J4 J2")
-def late_samples_dropped(spark, sf):
-    """Bins that have closed, under a watermark: samples later than that are left out."""
+@query(
+    "J4 J2",
+    f"""SELECT bin_ms, event_type, count(*) AS n
+    FROM (SELECT event_type, {_EPOCH_MS} // 3600000 * 3600000 AS bin_ms, max({_EPOCH_MS}) OVER () AS latest FROM events)
+    WHERE bin_ms + 3600000 <= latest - 600000 GROUP BY bin_ms, event_type""",
+)
+def closed_stream_bins(spark, sf):
+    """Bins the watermark has passed, each written once; open ones stay in the state.
+
+    All files are read in one batch, so the result does not hang on their order.
+    """
     table, checkpoint = work_dir(spark, "closed"), work_dir(spark, "closed-checkpoint")
-    bins = G.look_bins(_stream(spark, sf), "ts", "1 hour", ["event_type"], _hits(), late_by="10 minutes")
+    stream = _stream(spark, sf, batches=1)
+    bins = G.look_bins(stream, "ts", "1 hour", ["event_type"], _hits(), late_by="10 minutes")
     G.append_results(bins, table, checkpoint)
     return spark.read.parquet(table).select(
         F.expr("unix_micros(bin.start) div 1000").alias("bin_ms"), "event_type", "n"
