@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import fingerprint, private, quality, urls
+from gazeframe.llm import fingerprint, mixing, packing, private, quality, token_rows, urls
+from gazeframe.llm.tokens import default_path
 from gazeframe.session import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,22 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query()
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "n_tokens", "epoch", "block", "weight", "mix_key"
+    )
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), default_path()).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query()
+def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows.packed_rows(table(spark, sf_dir, "documents"), default_path())
