@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import fingerprint, mixing, packing, private, quality, token_rows, urls
+from gazeframe.llm import fingerprint, jaccard, mixing, packing, private, quality, token_rows, urls
 from gazeframe.llm.tokens import default_path
 from gazeframe.session import prepare
 
@@ -85,3 +85,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows.packed_rows(table(spark, sf_dir, "documents"), default_path())
+
+
+_OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN w IS NULL OR len(w) = 0 THEN []
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+    FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), both_in AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+    FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT x, y FROM both_in WHERE 100 * c >= 85 * (nx + ny - c)
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
+
+@query(_OP3_SQL)
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
