@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import fingerprint, jaccard, mixing, packing, private, quality, token_rows, urls
+from gazeframe.llm import fingerprint, jaccard, language, mixing, packing, private, quality, token_rows, urls
 from gazeframe.llm.tokens import default_path
 from gazeframe.session import prepare
 
@@ -113,3 +113,14 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least U
 @query(_OP3_SQL)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+def _folded(rest: int, by: int):
+    """crc32 of the id as text leaves ``rest`` by ``by``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by)) == rest
+
+
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_folded(1, 3), F.lit(False)))
+    return language.identify(docs, language.sample(docs.where("NOT held_out")), ["doc_id", "held_out"])
