@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import fingerprint, jaccard, language, mixing, packing, private, quality, token_rows, urls
+from gazeframe.llm import context_tree, fingerprint, jaccard, language, mixing, packing, private, quality, token_rows, urls
 from gazeframe.llm.tokens import default_path
 from gazeframe.session import prepare
 
@@ -124,3 +124,17 @@ def _folded(rest: int, by: int):
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_folded(1, 3), F.lit(False)))
     return language.identify(docs, language.sample(docs.where("NOT held_out")), ["doc_id", "held_out"])
+
+
+@query()
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("trains", ~_folded(0, 10))
+    return context_tree.score(docs, "trains").select(
+        "doc_id",
+        (~F.col("trains")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
