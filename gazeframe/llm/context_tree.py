@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gazeframe.llm.components import written
 
-DEPTH = 4
+DEPTH = 5
 TOP = 2
 END = b"\n"
 BUCKET_DOCS = 8_000
