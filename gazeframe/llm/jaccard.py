@@ -119,16 +119,22 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component of each set: the smallest index that links lead to. Empty sets link with nothing."""
     label = np.arange(len(sets))
     used = [i for i, s in enumerate(sets) if len(s)]
+    while len(used) > 1:
+        size = np.array([len(sets[i]) for i in used])
+        _, code, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+        # Shingles of one set only come first in the order and match nothing: they count in the sizes alone.
+        # A set that shares too few of its shingles to reach the similarity with any other is out.
+        shared = np.add.reduceat(count[code] > 1, np.cumsum(size) - size, dtype=np.int64)
+        able = 100 * shared >= percent * size
+        if able.all():
+            break
+        used = [i for i, good in zip(used, able) if good]
     if len(used) < 2:
         return label
-    size = np.array([len(sets[i]) for i in used])
-    _, code, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
     place = np.empty(len(count), np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ranked = np.split(place[code], np.cumsum(size)[:-1])
     single = np.count_nonzero(count == 1)
-    # Shingles of one set only come first in the order and match nothing: they count in the sizes alone.
-    lists = [np.sort(r[r >= single]) for r in ranked]
+    lists = [np.sort(r[r >= single]) for r in np.split(place[code], np.cumsum(size)[:-1])]
     order = sorted(range(len(used)), key=lambda i: lists[i].astype(">u8").tobytes())
     lists, size, names = [lists[i] for i in order], size[order], [used[i] for i in order]
     root, alive, has = tree(lists, size), np.ones(len(used), bool), np.zeros(len(count), bool)
@@ -147,7 +153,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 left = len(mine) - int(np.searchsorted(mine, node.run[-1], "right"))
             else:
                 left = len(mine)
-            least = ceil(high * (size[x] + node.fewest) - 1e-9)
+            least = max(ceil(high * (size[x] + node.fewest) - 1e-9), -(-percent * max(int(size[x]), node.fewest) // 100))
             if overlap + min(left, node.longest - node.depth) < least:
                 continue
             for y in range(node.low, node.here):
