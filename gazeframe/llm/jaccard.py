@@ -189,8 +189,8 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
                 ids = np.array(some.column(0), np.int64)
                 sets, digests = shingle_sets(some.column(1), length)
                 count = np.array([len(s) for s in sets], np.int64)

@@ -57,7 +57,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(start, offsets)
 
 
-def shingle_sets(texts: pa.Array, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+def shingle_sets(texts: pa.Array, length: int, together: int = 128) -> tuple[list[np.ndarray], np.ndarray]:
+    """:func:`_some_sets` over ``together`` texts at a time, which bounds the numbers held per byte of text."""
+    sets: list[np.ndarray] = []
+    digests = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(texts), together):
+        some, digest = _some_sets(texts.slice(at, together), length)
+        sets.extend(some)
+        digests.append(digest)
+    return sets, np.concatenate(digests)
+
+
+def _some_sets(texts: pa.Array, length: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct shingle hashes of each text, and a (n, 2) digest of each text's whole word sequence.
 
     A text of fewer words is one shingle; one without words has an empty set.
