@@ -133,9 +133,9 @@ class Parser:
                 if i:
                     made[miss] += 1
                 if len(miss):
-                    # A new phrase begins with this character; one that no sample has is a phrase of its own.
-                    fresh = table[self.width + sym[miss]]
-                    new[miss] = np.where(fresh == 0, 1, fresh)
+                    # A new phrase begins with this character; one that no sample has leads to state 0, from
+                    # which nothing goes on, and so is a phrase of its own.
+                    new[miss] = table[self.width + sym[miss]]
                 state[:n] = new
             counts[:, k] = np.bincount(owner[rank], made, len(texts)).astype(np.int64)
         return counts, chars
