@@ -2,7 +2,7 @@
 
 1. Keys. Two sets that are alike differ in at most D shingles, D following from their sizes. The hash range is cut
    into more than D parts, so alike sets agree in whole parts; a part's shingles hash to a key. Sets that share
-   no key cannot be alike.
+   fewer keys than parts must agree, with all others together, cannot be alike with any.
 2. Groups. Components of the graph "shares a key" hold all sets that can be alike, and little else.
 3. Tree. A group's sets, their shingles in one global order, rarest first, are stored in a prefix tree. Each
    traversal carries the overlap of a whole path at once and leaves subtrees whose remaining lengths cannot reach
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.llm.components import components, written
-from gazeframe.llm.shingles import mix, shingle_sets
+from gazeframe.llm.shingles import mix, portions, shingle_sets
 
 SLICE = 256
 ANCHORS = 4
@@ -54,11 +54,17 @@ class Sizes:
         return differing + 1 + spare, spare
 
 
-def keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of non-empty sets, each with the index of its set, for the set's class and the next one."""
+def keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of non-empty sets, each with the index of its set, for the set's class and the next one.
+
+    The third array tells how many keys each set shares at least with any set that is alike: more parts agree
+    than may be empty, and those that agree and are not empty are keys of both.
+    """
+    need = np.ones(len(sets), np.int64)
     used = [i for i, s in enumerate(sets) if len(s)]
     if not used:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    least = np.full(len(used), np.iinfo(np.int64).max)
     n = np.array([len(sets[i]) for i in used])
     flat = np.concatenate([sets[i] for i in used])
     owner = np.repeat(np.arange(len(used)), n)
@@ -76,11 +82,13 @@ def keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
         out_keys.append(key)
         out_owner.append(owner[at])
         filled = np.bincount(owner[at], minlength=len(used))
+        least = np.minimum(least, spare + 1 - (parts - filled))
         for i in np.flatnonzero(parts - filled > spare):
             empty = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[at][owner[at] == i])
             out_keys.append(mix(empty * np.uint64(0xD1B54A32D192ED03) + tag[i] + np.uint64(0x632BE59BD9B4E019)))
             out_owner.append(np.full(len(empty), i))
-    return np.concatenate(out_keys), np.array(used)[np.concatenate(out_owner)]
+    need[used] = np.maximum(least, 1)
+    return np.concatenate(out_keys), np.array(used)[np.concatenate(out_owner)], need
 
 
 class Node:
@@ -180,45 +188,48 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """Rows of one of two kinds: a document with size and digest, or a key with the first document of its batch.
+    """Rows of one of three kinds: a document with size and digest, a link, or a key with one document of its batch.
 
-    Documents of a batch that share a key are linked at once (``a``, ``b``), so that a key that very many
-    documents have is few rows.
+    Documents of a batch that share a key are linked at once (``a``, ``b``, for how many keys), so that a key
+    that very many documents have is few rows. Of copies within a batch one has keys; the others need 0.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at, count in portions(batch.column(1), 8 << 20):
+                some = batch.slice(at, count)
                 ids = np.array(some.column(0), np.int64)
                 sets, digests = shingle_sets(some.column(1), length)
-                count = np.array([len(s) for s in sets], np.int64)
-                _, first = np.unique(np.column_stack([digests, count]), axis=0, return_inverse=True)
+                n = np.array([len(s) for s in sets], np.int64)
+                _, first = np.unique(np.column_stack([digests, n]), axis=0, return_inverse=True)
                 # Copies within the batch: only the first, by id, has keys; the digest ties them later.
                 by_id = np.lexsort((ids, first.ravel()))
                 lead = np.ones(len(ids), bool)
                 lead[by_id[1:]] = first.ravel()[by_id[1:]] != first.ravel()[by_id[:-1]]
                 mine = np.flatnonzero(lead)
-                found, owner = keys([sets[i] for i in mine], sizes)
+                found, owner, least = keys([sets[i] for i in mine], sizes)
+                need = np.zeros(len(ids), np.int64)
+                need[mine] = least
                 doc = ids[mine][owner] if len(owner) else np.zeros(0, np.int64)
                 rank = np.lexsort((doc, found))
                 found, doc = found[rank], doc[rank]
                 new = np.ones(len(found), bool)
                 new[1:] = found[1:] != found[:-1]
-                pairs = np.unique(np.column_stack([doc[1:], doc[:-1]])[~new[1:]], axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                yield _rows(doc_id=ids, n=count, d1=digests[:, 0], d2=digests[:, 1])
-                yield _rows(a=pairs[:, 0], b=pairs[:, 1])
+                pairs = np.column_stack([doc[1:], doc[:-1]])[~new[1:]]
+                pairs, times = np.unique(pairs.reshape(-1, 2), axis=0, return_counts=True)
+                yield _rows(doc_id=ids, n=n, d1=digests[:, 0], d2=digests[:, 1], need=need)
+                yield _rows(a=pairs[:, 0], b=pairs[:, 1], times=times)
                 for part in range(0, int(new.sum()), 100_000):
                     yield _rows(key=found[new][part : part + 100_000].view(np.int64), doc=doc[new][part : part + 100_000])
 
-    schema = "doc_id long, n long, d1 long, d2 long, a long, b long, key long, doc long"
+    schema = "doc_id long, n long, d1 long, d2 long, need long, a long, b long, times long, key long, doc long"
     return docs.select("doc_id", "text").mapInArrow(make, schema)
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    names = ["doc_id", "n", "d1", "d2", "a", "b", "key", "doc"]
+    names = ["doc_id", "n", "d1", "d2", "need", "a", "b", "times", "key", "doc"]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names
     )
@@ -267,25 +278,42 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = _keyed(plain, length, percent)
-    made = written(keyed.where("key IS NULL").select("doc_id", "n", "d1", "d2", "a", "b"), "sets")
-    info = made.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
-    near = made.where("a IS NOT NULL").select("a", "b")
+    made = written(keyed.where("key IS NULL").drop("key", "doc"), "sets")
+    info = made.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2", "need")
+    near = made.where("a IS NOT NULL").select("a", "b", "times")
     by_key = Window.partitionBy("key").orderBy("doc")
     shared = (
         keyed.where("key IS NOT NULL")
         .select("key", "doc", F.lag("doc").over(by_key).alias("last"))
         .where("last <> doc")
-        .select(F.col("doc").alias("a"), F.col("last").alias("b"))
+        .select(F.col("doc").alias("a"), F.col("last").alias("b"), F.lit(1).cast("long").alias("times"))
     )
     # Copies: the smallest id of a digest stands for all of them.
     whole = info.where("n > 0 AND doc_id IS NOT NULL")
-    lead = whole.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("lead"))
-    led = written(whole.join(lead, ["d1", "d2", "n"]).select("doc_id", "lead").distinct(), "copies")
+    lead = whole.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("lead"), F.max("need").alias("need"))
+    led = written(whole.drop("need").join(lead, ["d1", "d2", "n"]).select("doc_id", "lead", "need").distinct(), "copies")
     copies = led.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    leads = lambda links: (
-        links.join(led.toDF("a", "la"), "a").join(led.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
+    leads = led.select("doc_id", "lead")
+    sharing = written(
+        shared.unionByName(near)
+        .groupBy("a", "b")
+        .agg(F.sum("times").alias("times"))
+        .join(leads.toDF("a", "la"), "a")
+        .join(leads.toDF("b", "lb"), "b")
+        .where("la <> lb")
+        .groupBy(F.col("la").alias("a"), F.col("lb").alias("b"))
+        .agg(F.sum("times").alias("times")),
+        "sharing",
+    )
+    # A set's links count every key it shares at least once: with fewer of them than it needs it has no partner.
+    ends = sharing.select("a", "times").unionByName(sharing.select(F.col("b").alias("a"), "times"))
+    able = (
+        ends.groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times"))
+        .join(led.where("doc_id = lead").select(F.col("doc_id").alias("node"), "need"), "node")
+        .where("times >= need")
+        .select("node")
     )
-    grouped = components(leads(shared.unionByName(near).distinct()))
+    grouped = written(components(sharing.select("a", "b")).join(able, "node"), "grouped")
     counted = grouped.groupBy("component").agg(F.count("*").alias("rows"))
     slices = F.ceil(F.col("rows") / slice_rows).cast("long")
     members = written(
@@ -308,10 +336,8 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     )
     own = members.select("doc_id", "component", "slice")
 
-    def place(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", F.struct("component", "slice").alias("at")).select(
-            "doc_id", F.concat_ws(":", "at.component", "at.slice").alias("place")
-        )
+    def place(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("doc_id", F.concat_ws(":", "component", "slice", *more).alias("place"))
 
     once = written(_tree_links(place(own.unionByName(anchors)).join(texts, "doc_id"), length, percent), "tree")
     if not many.isEmpty():
@@ -319,15 +345,21 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         label = many.join(tied.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         sized = label.groupBy("component", "label").agg(F.count("*").alias("n"))
         main = sized.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        loose = (
-            label.join(main, "component")
-            .where("label <> main")
-            .select("doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        loose = written(label.join(main, "component").where("label <> main"), "loose")
+        # Loose sets go in lots of bounded size, every lot to every slice, so a place never holds much more than
+        # a slice and a lot however many sets are loose.
+        lots = loose.groupBy("component").agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("lots"))
+        dealt = loose.join(lots, "component").select(
+            "doc_id",
+            "component",
+            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+            F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("lots")).alias("lot"),
+        )
+        met = many.join(lots, "component").select(
+            "doc_id", "component", "slice", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
         )
-        loose = written(loose, "loose")
-        touched = loose.select("component").distinct()
-        again = many.join(touched, "component").select("doc_id", "component", "slice").unionByName(loose).distinct()
-        once = once.unionByName(_tree_links(place(again).join(texts, "doc_id"), length, percent))
+        again = dealt.unionByName(met).distinct()
+        once = once.unionByName(_tree_links(place(again, "lot").join(texts, "doc_id"), length, percent))
     found = components(once.unionByName(copies)).toDF("doc_id", "component_id")
     return info.join(found, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -57,12 +60,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(start, offsets)
 
 
-def shingle_sets(texts: pa.Array, length: int, together: int = 128) -> tuple[list[np.ndarray], np.ndarray]:
-    """:func:`_some_sets` over ``together`` texts at a time, which bounds the numbers held per byte of text."""
+def portions(texts: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """(first, count) of consecutive runs of texts of at most ``most_bytes`` together; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(total, total[at] + most_bytes, "right")) - 1
+        end = max(at + 1, min(end, at + most_rows, len(texts)))
+        yield at, end - at
+        at = end
+
+
+def shingle_sets(texts: pa.Array, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """:func:`_some_sets` over a portion of the texts at a time, which bounds the numbers held per byte of text."""
     sets: list[np.ndarray] = []
     digests = [np.zeros((0, 2), np.int64)]
-    for at in range(0, len(texts), together):
-        some, digest = _some_sets(texts.slice(at, together), length)
+    for at, count in portions(texts):
+        some, digest = _some_sets(texts.slice(at, count), length)
         sets.extend(some)
         digests.append(digest)
     return sets, np.concatenate(digests)
