@@ -103,7 +103,7 @@ def classified_looks(spark, sf):
                 WHEN x > mx - 640 AND x < mx - 383 AND y > my - 375 AND y < my - 155 THEN 'bottomleft'
                 WHEN x > mx + 383 AND x < mx + 640 AND y > my + 155 AND y < my + 375 THEN 'topright'
                 WHEN x > mx + 383 AND x < mx + 640 AND y > my - 375 AND y < my - 155 THEN 'bottomright'
-                WHEN x > mx - 130 AND x < mx + 130 AND y > my - 75 AND y < my + 75 THEN 'center' ELSE 'other' END AS look
+                WHEN x > mx - 130 AND x < mx + 130 AND y > my - 65 AND y < my + 65 THEN 'center' ELSE 'other' END AS look
             FROM (SELECT *, "system_windowW" / 2 AS mx, "system_windowH" / 2 AS my FROM gaze_samples)
             WHERE x > -2000 AND x < 3000 AND y > -2000 AND y < 2000) GROUP BY look""",
     ),
@@ -475,7 +475,7 @@ def trials_with_subjects(spark, sf):
             unnest([{r('avg(target_look)')}, {r('avg(competitor_look)')}, {r('avg(center_look)')}]) AS proportion,
             unnest([{r('avg(target_look) - stddev_samp(target_look)')}, {r('avg(competitor_look) - stddev_samp(competitor_look)')}, {r('avg(center_look) - stddev_samp(center_look)')}]) AS ymin,
             unnest([{r('avg(target_look) + stddev_samp(target_look)')}, {r('avg(competitor_look) + stddev_samp(competitor_look)')}, {r('avg(center_look) + stddev_samp(center_look)')}]) AS ymax
-        FROM binned GROUP BY condition, binned_time_relative HAVING count(*) > 1""",
+        FROM binned GROUP BY condition, binned_time_relative""",
     ),
 )
 def interval_bands(spark, sf):
@@ -484,7 +484,7 @@ def interval_bands(spark, sf):
     means = [F.avg(f"{g}_look").alias(f"{g}_prop") for g in regions]
     spreads = [F.stddev_samp(f"{g}_look").alias(f"{g}_sd") for g in regions]
     keys = ["condition", F.col("binned_time_relative").cast("double").alias("bin")]
-    wide = binned(spark, sf).groupBy(*keys).agg(*means, *spreads, F.count(F.lit(1)).alias("n")).where("n > 1")
+    wide = binned(spark, sf).groupBy(*keys).agg(*means, *spreads)
     for region in regions:
         low, high = scores.band(F.col(f"{region}_prop"), F.col(f"{region}_sd"), F.col(f"{region}_sd"))
         wide = wide.withColumns({f"{region}_ymin": low, f"{region}_ymax": high})

@@ -83,7 +83,7 @@ class Layout:
 
 # Paddings of the earlier snapshot and of the second pilot.
 SNAPSHOT_LAYOUT = Layout(
-    corner_width=257, corner_height=220, inner_width_padding=0, center_width=260, center_height=150
+    corner_width=257, corner_height=220, inner_width_padding=0, center_width=260, center_height=130
 )
 PILOT_LAYOUT = Layout(
     corner_width=237, corner_height=220, inner_width_padding=0, center_width=240, center_height=130

@@ -13,15 +13,28 @@ HOT_ROWS = 1_000_000
 BUCKETS = 256
 
 
+def as_number(df: DataFrame, value: str) -> Column:
+    """``value`` as a double that never runs against its order: of text the first six bytes, of times the seconds."""
+    kind, col = df.schema[value].dataType.typeName(), F.col(value)
+    if kind in ("string", "varchar", "char"):
+        head = F.substring(F.rpad(F.hex(F.encode(col, "UTF-8")), 12, "0"), 1, 12)
+        return F.conv(head, 16, 10).cast("double")
+    if kind == "boolean":
+        return col.cast("int").cast("double")
+    if kind in ("timestamp_ntz", "date"):
+        return col.cast("timestamp").cast("double")
+    return col.cast("double")
+
+
 def add_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Bucket number by approximate quantiles of ``value``; order is kept."""
     points = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(F.col(value).cast("double"), points, 10_000)).first()[0]
+    found = df.select(F.percentile_approx(as_number(df, value), points, 10_000)).first()[0]
     cuts = sorted(set(found or []))
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    cast = df.withColumn("_value", F.col(value).cast("double"))
+    cast = df.withColumn("_value", as_number(df, value))
     bucketed = Bucketizer(
         splits=splits, inputCol="_value", outputCol=out, handleInvalid="keep"
     ).transform(cast)

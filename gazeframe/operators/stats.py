@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,13 @@ def distinct_combinations(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("n_combinations"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -119,7 +128,7 @@ def _selected_quantiles(
     )
     upto = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        binned.join(needed, [*group, "_b"])
+        join_null_safe(binned, needed, [*group, "_b"])
         .withColumn("_end", F.col("_lo") + F.sum("_c").over(upto))
         .select(*group, "_v", "_c", "_end", F.inline("_asked"))
         .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
@@ -133,7 +142,7 @@ def _selected_quantiles(
     if not mean:
         return result.select(*keys, out)
     means = cells.groupBy(*group).agg(_cell_mean().alias(mean))
-    return result.join(means, group).select(*keys, out, mean)
+    return join_null_safe(result, means, group).select(*keys, out, mean)
 
 
 SUMMARY = ("min_value", "q1", "median", "mean", "q3", "max_value")

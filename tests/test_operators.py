@@ -375,3 +375,25 @@ def test_models_without_rows_or_errors(spark):
         regression.logistic_by_window(cells, ["w2"], ["a"])
     inflation = regression.variance_inflation(df, ["a", "b"]).collect()
     assert all(r.vif > 1e6 for r in inflation)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_quantiles_keep_the_null_group(spark, limit):
+    data = [("a", float(i)) for i in range(9)] + [(None, float(i)) for i in range(0, 50, 2)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = stats.quantiles(df, ["g"], "v", (0.25, 0.5), mean="m", distinct_limit=limit, buckets=4).collect()
+    assert {r.g: (*r.quantiles, r.m) for r in got} == {"a": (2.0, 4.0, 4.0), None: (12.0, 24.0, 24.0)}
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp_ntz", "date", "boolean"])
+def test_hot_numbering_by_other_types(spark, kind):
+    base = spark.range(40).select(F.lit("w").alias("w"), "id")
+    order = {
+        "string": F.format_string("k%03d", "id"),
+        "timestamp_ntz": F.expr("timestamp_ntz '2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)"),
+        "date": F.expr("date_add(date '2020-01-01', cast(id as int))"),
+        "boolean": F.col("id") >= 20,
+    }[kind]
+    df = base.withColumn("o", order)
+    got = ranking.number_within(df, ["w"], ["o", "id"], hot_rows=1).collect()
+    assert all(r.trial_number == r.id + 1 for r in got) and len(got) == 40
