@@ -1,11 +1,11 @@
 """LM scoring: context-tree weighting over bytes.
 
-A byte is eight binary decisions, each in the context of the bytes before it in its word. In every context of
-every depth a Krichevsky-Trofimov estimator predicts a decision; context-tree weighting mixes the estimators of
+A byte is eight binary decisions, each in the context of the bytes before it: those of the running text in
+``score_running``, those of its word in ``score``. In every context of every depth a Krichevsky-Trofimov estimator predicts a decision; context-tree weighting mixes the estimators of
 all depths, each weighed by how well it has coded the training texts. Counts are those of the training corpus.
 
-The corpus enters as distinct words with counts, so all work after the first pass is on words and on n-grams of
-bytes. Words meet the documents in buckets of documents, where each distinct word comes once.
+The corpus enters as distinct words and n-grams of bytes with counts, so all work after the first pass is on
+these. They meet the documents in buckets of documents, where each comes once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ END = b"\n"
 BUCKET_DOCS = 8_000
 CHUNK_WORDS = 200_000
 HELD_WORDS = 1_500_000
+RUNNING_BUCKET_DOCS = 8_000
+PORTION = 1_000_000
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -270,3 +273,162 @@ def score(docs: DataFrame, trains: str, depth: int = DEPTH, bucket_docs: int = B
         f"doc_id {kind}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     return result.withColumnRenamed("trains", trains)
+
+
+def normalised(words: list[bytes]) -> bytes:
+    """The words of a text, each and a blank, then the end."""
+    return b"".join(w + b" " for w in words) + END
+
+
+def running_grams(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys (context bytes, then the byte) of all bytes of normalised texts, and the text of each, in portions.
+
+    Contexts run across blanks. Before its first byte a text has a blank, and zeros before that.
+    """
+    parts: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in parts], np.int64)
+        data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        key = data.copy()
+        for back in range(1, depth + 1):
+            key[back:] |= data[:-back] << (8 * back)
+        mine = np.ones(len(data), bool)
+        mine[((np.cumsum(lengths) - lengths)[:, None] + np.arange(depth)).ravel()] = False
+        return key[mine], np.repeat(np.array(owners, np.int64), lengths - depth)
+
+    for i, text in enumerate(texts):
+        led = bytes(depth - 1) + b" " + text
+        # Each piece of a long text begins with the context of its first byte.
+        for at in range(depth, len(led), PORTION):
+            parts.append(led[at - depth : at + PORTION])
+            owners.append(i)
+            held += len(parts[-1])
+            if held >= PORTION:
+                yield out()
+                parts, owners, held = [], [], 0
+    if parts:
+        yield out()
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their numbers, of several of such pairs."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at.ravel(), np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _bucket_counts(depth: int):
+    """(bucket, word, key, n) of a bucket's rows: its distinct words, and its distinct n-grams, as often as they train."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        held: dict[bytes, int] = {}
+        sides: tuple[list[bytes], list[bytes]] = ([], [])
+        for trains, text in zip(rows.column("trains").to_pylist(), rows.column("text").to_pylist()):
+            words = _words(text)
+            sides[trains].append(normalised(words))
+            words.append(END)
+            for word in words:
+                held[word] = held.get(word, 0) + trains
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for trains, texts in enumerate(sides):
+            for keys, _ in running_grams(texts, depth):
+                found, n = np.unique(keys, return_counts=True)
+                parts.append((found, n * trains))
+                if sum(len(k) for k, _ in parts) > 2 * PORTION:
+                    parts = [_summed(parts)]
+        keys, n = _summed(parts)
+        bucket, w, k = rows.column("bucket")[0].as_py(), len(held), len(keys)
+        return pa.table(
+            {
+                "bucket": pa.array(np.full(w + k, bucket, np.int32)),
+                "word": pa.chunked_array([pa.array(list(held), pa.binary()), pa.nulls(k, pa.binary())]),
+                "key": pa.chunked_array([pa.nulls(w, pa.int64()), pa.array(keys, pa.int64())]),
+                "n": pa.chunked_array([pa.array(list(held.values()), pa.int64()), pa.array(n, pa.int64())]),
+            }
+        )
+
+    return count
+
+
+def score_running(
+    docs: DataFrame, trains: str, depth: int = DEPTH, bucket_docs: int = RUNNING_BUCKET_DOCS
+) -> DataFrame:
+    """As ``score``, with contexts that run across blanks: the order of the words counts in ``score``.
+
+    The context tree predicts the bytes of the running text, its words each with one blank behind, then the end.
+    The counts are those of all n-grams of ``depth`` bytes and one more in all training rows.
+    """
+    buckets = max(1, -(-docs.count() // bucket_docs))
+    dealt = docs.select(
+        "doc_id",
+        F.coalesce(trains, F.lit(False)).alias("trains"),
+        F.col("text").cast("binary").alias("text"),
+        # The text deals rows that share an id apart.
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
+    )
+    counted = dealt.select("bucket", "trains", "text").groupBy("bucket")
+    cells = written(counted.applyInArrow(_bucket_counts(depth), "bucket int, word binary, key long, n long"), "cells")
+    words, ngrams = cells.where("word IS NOT NULL"), cells.where("key IS NOT NULL")
+    lexicon = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
+    size = lexicon.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = size["n"] or 0, size["v"]
+    model = written(ngrams.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+    none = F.lit(None)
+    facts = (
+        words.select("bucket", "word")
+        .join(lexicon, "word")
+        .select("bucket", "word", "c", none.cast("long").alias("key"), none.cast("double").alias("lp"))
+        .unionByName(
+            ngrams.select("bucket", "key")
+            .join(_log_probabilities(model, depth), "key")
+            .select("bucket", none.cast("binary").alias("word"), none.cast("long").alias("c"), "key", "lp")
+        )
+    )
+
+    def read(rows: pa.Table, table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_valid(table.column("word")))
+        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+        c = np.array(known.column("c"), np.float64)
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        grams_of = table.filter(pc.is_valid(table.column("key"))).select(["key", "lp"])
+        have, value = np.array(grams_of.column("key"), np.int64), np.array(grams_of.column("lp"), np.float64)
+        order = np.argsort(have)
+        have, value = have[order], value[order]
+        tokens, seen, unigram, texts = [], [], [], []
+        for text in rows.column("text").to_pylist():
+            words = _words(text)
+            texts.append(normalised(words))
+            words.append(END)
+            at = np.array([place[w] for w in words])
+            tokens.append(len(words))
+            seen.append(int(np.count_nonzero(c[at] > 0)))
+            unigram.append(float(base[at].sum()))
+        total = np.zeros(len(texts))
+        for keys, owner in running_grams(texts, depth):
+            found, at = np.unique(keys, return_inverse=True)
+            lp = value[np.searchsorted(have, found)][at.ravel()]
+            first = int(owner[0])
+            part = np.bincount(owner - first, lp)
+            total[first : first + len(part)] += part
+        return pa.table(
+            {
+                "doc_id": rows.column("doc_id"),
+                "trains": rows.column("trains"),
+                "n_tokens": pa.array(tokens, pa.int64()),
+                "n_known": pa.array(seen, pa.int64()),
+                "train_tokens": pa.array([n] * len(rows), pa.int64()),
+                "base_score": pa.array(unigram, pa.float64()),
+                "score": pa.array(total),
+            }
+        )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    result = dealt.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(
+        read,
+        f"doc_id {kind}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    )
+    return result.withColumnRenamed("trains", trains)

@@ -129,7 +129,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("trains", ~_folded(0, 10))
-    return context_tree.score(docs, "trains").select(
+    return context_tree.score_running(docs, "trains").select(
         "doc_id",
         (~F.col("trains")).alias("held_out"),
         "n_tokens",

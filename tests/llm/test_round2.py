@@ -1,0 +1,95 @@
+"""Findings of the second review."""
+
+import math
+import random
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from gazeframe.llm import context_tree
+
+
+def test_word_order_counts_in_the_context_tree(spark):
+    rng = random.Random(3)
+    texts = [" ".join(["red cat", "old dog", "big sun"][rng.randrange(3)] for _ in range(30)) for _ in range(40)]
+    words = texts[0].split()
+    shuffled = sorted(words)
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100, " ".join(words), False), (101, " ".join(shuffled), False)]
+    made = {r.doc_id: r for r in context_tree.score_running(spark.createDataFrame(rows, "doc_id long, text string, trains boolean"), "trains", bucket_docs=7).collect()}
+    assert made[100].score > made[101].score + 5 and abs(made[100].base_score - made[101].base_score) < 1e-9
+    assert abs(made[100].score - made[0].score) < 1e-9
+
+
+def test_running_context_tree_against_plain_recursion(spark):
+    docs = [(1, "abba ab"), (2, "Ab  ba\nab"), (3, "zz ab"), (4, None)]
+    df = spark.createDataFrame([(*d, d[0] != 3) for d in docs], "doc_id long, text string, trains boolean")
+    made = {r.doc_id: r for r in context_tree.score_running(df, "trains", depth=4).collect()}
+
+    def letters(text):
+        body = b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
+        led = b"\0\0\0 " + body
+        yield from ((tuple(led[i : i + 4]), led[i + 4]) for i in range(len(body)))
+
+    counts = defaultdict(lambda: [0, 0])
+
+    def decisions(byte):
+        for j in range(8):
+            yield (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+
+    for doc, text in docs:
+        if doc != 3:
+            for context, byte in letters(text):
+                for node, bit in decisions(byte):
+                    for d in range(5):
+                        counts[context[4 - d :], node][bit] += 1
+    children = defaultdict(set)
+    for context, node in list(counts):
+        if context:
+            children[context[1:], node].add(context)
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def weighted(context, node):
+        own = kt(*counts.get((context, node), (0, 0)))
+        if len(context) == 4:
+            return own
+        below = sum(weighted(c, node) for c in children[context, node])
+        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(below))
+
+    def one(context, node, d=0):
+        here = context[4 - d :] if d else ()
+        a, b = counts.get((here, node), (0, 0))
+        p = (b + 0.5) / (a + b + 1)
+        if d == 4:
+            return p
+        share = 0.5 * math.exp(kt(a, b) - weighted(here, node))
+        return share * p + (1 - share) * one(context, node, d + 1)
+
+    for doc, text in docs:
+        total = sum(
+            math.log10(p if bit else 1 - p)
+            for context, byte in letters(text)
+            for node, bit in decisions(byte)
+            for p in [one(context, node)]
+        )
+        assert abs(made[doc].score - total) < 1e-6
+
+
+def test_long_texts_in_portions(monkeypatch):
+    texts = [b"ab cd ef gh ij \n", b"\n", b"xy \n"]
+    whole = list(context_tree.running_grams(texts))
+    monkeypatch.setattr(context_tree, "PORTION", 4)
+    parts = list(context_tree.running_grams(texts))
+    assert len(parts) > 1
+    for i in range(2):
+        assert np.concatenate([p[i] for p in parts]).tolist() == whole[0][i].tolist()
+
+
+def test_running_odd_rows(spark):
+    rows = [(1, None), (None, "a b"), (2, ""), (2, "a b"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.col("doc_id") > 1)
+    made = context_tree.score_running(df, "t").collect()
+    assert len(made) == 5 and all(r.score < 0 for r in made)
+    assert context_tree.score_running(df.limit(0), "t").collect() == []
