@@ -18,7 +18,9 @@ ROUNDS = 8
 
 #: What the kinds look like. The order decides where two could match at one place.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?<=\b(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[\w+/-]{8,128}"
+#: A secret is the whole run behind its label; a match holds the label too, and a dot at the end is none of it.
+LABEL = r"\b(?i:token|password|passwd|secret|api_key|apikey)\s*+[=:]\s*+[\"']?"
+SECRET = LABEL + r"(?!" + EMAIL + r")[\w+/.=-]{7,}[\w+/=-]"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
@@ -251,12 +253,16 @@ def pseudonym(value: Column, key: str) -> Column:
         (value.rlike(whole(SOCIAL)), social),
         (value.rlike(whole(IBAN)), iban),
     ]
-    out = F.when(value.rlike(whole(EMAIL)), email(value, key))
+    label = F.regexp_extract(value, r"\A(" + LABEL + ")", 1)
+    secret = F.substring(value, F.length(label) + 1, F.length(value) - F.length(label))
+    out = F.when(value.rlike(whole(SECRET)), F.concat(label, masked(secret, key, "secret"))).when(
+        value.rlike(whole(EMAIL)), email(value, key)
+    )
     for matches, change in kinds:
         out = out.when(matches, change(value, key))
     numbers = F.coalesce(F.when(value.rlike(whole(CARD)), card(value, key)), F.when(value.rlike(whole(PHONE)), phone(value, key)))
     plain_number = value.rlike(r"\A[+(]?\d[\d ().-]*\z")
-    out = out.when(plain_number, numbers).otherwise(masked(value, key, "secret"))
+    out = out.when(plain_number, numbers)
     return F.coalesce(out, value)
 
 
