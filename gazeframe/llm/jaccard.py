@@ -199,13 +199,17 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
         for batch in batches:
             for at, count in portions(batch.column(1), 8 << 20):
                 some = batch.slice(at, count)
-                ids = np.array(some.column(0), np.int64)
+                named = some.column(0)
+                # Rows without id count in size and digest alone: they have no keys and lead nothing.
+                known = np.array(named.is_valid())
+                ids = named.fill_null(0).to_numpy()
                 sets, digests = shingle_sets(some.column(1), length)
                 n = np.array([len(s) for s in sets], np.int64)
                 _, first = np.unique(np.column_stack([digests, n]), axis=0, return_inverse=True)
                 # Copies within the batch: only the first, by id, has keys; the digest ties them later.
                 by_id = np.lexsort((ids, first.ravel()))
-                lead = np.ones(len(ids), bool)
+                by_id = by_id[known[by_id]]
+                lead = known.copy()
                 lead[by_id[1:]] = first.ravel()[by_id[1:]] != first.ravel()[by_id[:-1]]
                 mine = np.flatnonzero(lead)
                 found, owner, least = keys([sets[i] for i in mine], sizes)
@@ -218,7 +222,7 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
                 new[1:] = found[1:] != found[:-1]
                 pairs = np.column_stack([doc[1:], doc[:-1]])[~new[1:]]
                 pairs, times = np.unique(pairs.reshape(-1, 2), axis=0, return_counts=True)
-                yield _rows(doc_id=ids, n=n, d1=digests[:, 0], d2=digests[:, 1], need=need)
+                yield _rows(doc_id=named, n=n, d1=digests[:, 0], d2=digests[:, 1], need=need)
                 yield _rows(a=pairs[:, 0], b=pairs[:, 1], times=times)
                 for part in range(0, int(new.sum()), 100_000):
                     yield _rows(key=found[new][part : part + 100_000].view(np.int64), doc=doc[new][part : part + 100_000])
