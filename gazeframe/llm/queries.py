@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm import context_tree, fingerprint, jaccard, language, mixing, packing, private, quality, token_rows, urls
+from gazeframe.llm import (
+    centroids,
+    context_tree,
+    exact,
+    fingerprint,
+    jaccard,
+    language,
+    mixing,
+    packing,
+    private,
+    quality,
+    token_rows,
+    urls,
+)
 from gazeframe.llm.tokens import default_path
 from gazeframe.session import prepare
 
@@ -138,3 +151,50 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query(
+    """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+)
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """One table of centroids per round, each made from the assignment to the one before."""
+    steps = [
+        """kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, v AS c FROM kept
+            ORDER BY sha256('3:' || vec_id) LIMIT 8)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+            SELECT vec_id, any_value(v) AS v, min(d) AS distance, arg_min(cluster, (d, cluster)) AS cluster FROM (
+                SELECT vec_id, v, cluster,
+                    CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d
+                FROM kept, c{i}) GROUP BY vec_id)"""
+        )
+        steps.append(
+            f"""c{i + 1} AS MATERIALIZED (
+            SELECT cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+                SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+                    SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (
+                        SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY cluster, i)
+                GROUP BY cluster) m USING (cluster))"""
+        )
+    return f"""WITH {', '.join(steps[:-1])}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+        CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@query(_rounds_sql(10))
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
