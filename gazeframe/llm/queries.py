@@ -19,6 +19,7 @@ from gazeframe.llm import (
     private,
     quality,
     token_rows,
+    trie,
     urls,
 )
 from gazeframe.llm.tokens import default_path
@@ -198,3 +199,46 @@ def _rounds_sql(rounds: int) -> str:
 @query(_rounds_sql(10))
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+_OP11_SQL = """
+WITH own AS (
+    SELECT conv_id, list(md5(strlen(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, text) AS ids,
+        list(strlen(text) ORDER BY turn NULLS FIRST, role, text) AS sizes
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+    GROUP BY conv_id
+), heads AS (
+    SELECT *, xor(list_reduce(
+        list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+            lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda c, s: xor(xor(c, s) >> 1, CASE WHEN xor(c, s) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 9 AS h
+    FROM own
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.ids, [])[1:h], o.ids[h + 1:]) AS ids,
+        list_concat(coalesce(b.sizes, [])[1:h], o.sizes[h + 1:]) AS sizes
+    FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), members AS (
+    SELECT conv_id, d, len(ids) = d AS ends, array_to_string(ids[1:d], '') AS key, coalesce(sizes[d], 0) AS size
+    FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY key, d
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND p.key = left(n.key, 32 * p.depth)
+        LEFT JOIN (SELECT left(key, 32 * (depth - 1)) AS key, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL) c
+            ON c.key = n.key AND c.depth = n.depth
+), subtrees AS (
+    SELECT key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (
+        SELECT left(key, 32 * unnest(range(0, depth + 1))) AS key, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * size AS saved
+        FROM linked) GROUP BY key
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN subtrees USING (key)
+"""
+
+
+@query(_OP11_SQL)
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
