@@ -24,10 +24,13 @@ def collided(texts: DataFrame) -> DataFrame:
     Copies are merged inside each task before the shuffle, so a text crosses it once a task, however many copies
     it has. The aggregate's own key comparison is the comparison of bytes.
     """
-    different = texts.groupBy("hash", "text").agg(F.count(F.lit(1)).alias("copies"))
-    several = different.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash")
+    each = texts.groupBy("hash", "text").agg(F.count(F.lit(1)).alias("copies"))
+    several = each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash")
+    # Written first: joined to a table known to be empty or small, the texts are not shuffled again.
+    different = texts.join(written(several, "shared-hashes"), "hash", "left_semi").groupBy("hash", "text")
     order = Window.partitionBy("hash").orderBy("text")
-    return different.join(several, "hash").select("hash", "text", F.row_number().over(order).alias("variant"))
+    counted = different.agg(F.count(F.lit(1)).alias("copies"))
+    return counted.select("hash", "text", F.row_number().over(order).alias("variant"))
 
 
 def exact_groups(
