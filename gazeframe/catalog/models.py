@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gazeframe.catalog import solve_sql
 from gazeframe.catalog import standins as S
 from gazeframe.catalog.aggregates import belief_rows, collapsed
 from gazeframe.catalog.common import r, rounded
@@ -17,9 +18,10 @@ from gazeframe.operators.alignment import bin_time, label_windows
 from gazeframe.operators.coding import centre, dummies, interactions
 from gazeframe.operators.relational import with_any_look
 from gazeframe.plans.belief import MERGED_DETERMINERS
+from gazeframe.plans.gaze import MODEL_WINDOWS, NOUN_CUT_MS, model_looks
+from gazeframe.session import stored
 
 # Analysis windows of the models, and their category levels.
-WINDOWS = ("baseline", "gender", "determiner", "name", "noun")
 BELIEF_WINDOWS = ("baseline", "gender", "determiner+name", "noun")
 CLICK_WINDOWS = ("click1", "click2", "click3", "click4")
 CONDITIONS = ("all", "num", "some")
@@ -38,13 +40,59 @@ def correlation_overall(spark, sf):
     return rounded(C.correlation(belief_rows(spark, sf), "prop_looks", "prop_selections"))
 
 
-@query("I1")
+def _corr_p_sql(key: str, whole: str = "", source: str = "belief") -> str:
+    """Correlations with p per value of ``key``, and over all rows under the name ``whole``."""
+    pairs = f"(SELECT * FROM {source} WHERE prop_looks IS NOT NULL AND prop_selections IS NOT NULL)"
+    sums = "corr(prop_looks, prop_selections) AS rr, count(*) - 2 AS dof"
+    groups = f"SELECT {key}, {sums} FROM {pairs} GROUP BY {key}"
+    if whole:
+        groups += f" UNION ALL SELECT '{whole}', {sums} FROM {pairs}"
+    return f"""SELECT {key}, {r('rr')} AS r, dof, {r('tt')} AS t, {r(solve_sql.t_p('tt', 'dof'))} AS p
+        FROM (SELECT *, rr * sqrt(dof / (1 - rr * rr)) AS tt FROM ({groups}))"""
+
+
+@query("I1", sql("belief", _corr_p_sql('"window"', "all")))
 def correlation_with_p(spark, sf):
     """Overall and per window, with two-sided p-values."""
-    rows = belief_rows(spark, sf).persist()
+    rows = belief_rows(spark, sf)
     whole = C.correlation(rows, "prop_looks", "prop_selections").withColumn("window", F.lit("all"))
     each = C.correlation(rows, "prop_looks", "prop_selections", ["window"])
-    return C.with_p(whole.unionByName(each))
+    return rounded(C.with_p(whole.unionByName(each)))
+
+
+@query("I2 I1", sql("belief", _corr_p_sql('"Region"')))
+def correlation_by_region_with_p(spark, sf):
+    """Each region's own test."""
+    return rounded(C.with_p(C.correlation(belief_rows(spark, sf), "prop_looks", "prop_selections", ["Region"])))
+
+
+@query(
+    "I2 I1",
+    sql(
+        "belief",
+        _corr_p_sql("determiner, size", source="(SELECT * FROM belief WHERE \"window\" = 'determiner+name')"),
+    ),
+)
+def correlation_by_condition_with_p(spark, sf):
+    """Each determiner and size within the determiner window, with its test."""
+    rows = belief_rows(spark, sf).where(F.col("window") == "determiner+name")
+    return rounded(C.with_p(C.correlation(rows, "prop_looks", "prop_selections", ["determiner", "size"])))
+
+
+@query(
+    "I2 I1 F19",
+    sql(
+        "belief",
+        _corr_p_sql(
+            '"window"',
+            source="""(SELECT "window", "Region", determiner, size, avg(prop_looks) AS prop_looks, avg(prop_selections) AS prop_selections
+                FROM belief GROUP BY ALL)""",
+        ),
+    ),
+)
+def correlation_over_items_with_p(spark, sf):
+    """Tests after averaging over items."""
+    return rounded(C.with_p(C.correlation(collapsed(spark, sf), "prop_looks", "prop_selections", ["window"])))
 
 
 @query("I2", sql("belief", _corr_sql('"window"')))
@@ -93,33 +141,66 @@ _BELIEF_LEVELS = {
 
 def _slope_model(rows, factors):
     """Looks on centred selections, with slopes that differ by the levels of ``factors``."""
-    coded = centre(rows.persist(), {"c": "prop_selections"})
+    coded = centre(rows, {"c": "prop_selections"})
     levels = {}
     for factor in factors:
         names, reference = _BELIEF_LEVELS[factor]
         levels |= dummies(factor, names, reference)
     products = interactions(["c"], list(levels))
-    return G.ols(coded.withColumns(levels).withColumns(products), "prop_looks", ["c", *products])
+    return rounded(G.ols(coded.withColumns(levels).withColumns(products), "prop_looks", ["c", *products]))
+
 
+def _slope_model_sql(factors, where: str = "TRUE") -> str:
+    slopes = {}
+    for factor in factors:
+        names, reference = _BELIEF_LEVELS[factor]
+        slopes |= {
+            f"c__{factor}_{level}": f"""c * CAST("{factor}" = '{level}' AS INT)""" for level in names if level != reference
+        }
+    columns = ", ".join(f'{text} AS "{name}"' for name, text in slopes.items())
+    source = f"""(SELECT prop_looks, c, {columns} FROM (
+        SELECT *, prop_selections - avg(prop_selections) OVER () AS c FROM belief WHERE {where}))"""
+    terms = solve_sql.ols(source, "prop_looks", ["c", *slopes])
+    return sql(
+        "belief",
+        f"""SELECT term, {r('estimate')} AS estimate, {r('std_error')} AS std_error, {r('t')} AS t,
+            {r(solve_sql.t_p('t', 'dof'))} AS p, n FROM ({terms})""",
+    )
 
-@query("I3 D17 D18")
+
+@query("I3 D17 D18", _slope_model_sql(["window", "Region"]))
 def linear_model(spark, sf):
     """Slopes by window and region."""
     return _slope_model(belief_rows(spark, sf), ["window", "Region"])
 
 
-@query("I3 D17 D18")
+@query("I3 D17 D18", _slope_model_sql(["window", "Region", "determiner", "size"]))
 def linear_model_with_conditions(spark, sf):
     """Slopes by window, region, determiner and size."""
     return _slope_model(belief_rows(spark, sf), ["window", "Region", "determiner", "size"])
 
 
-@query("I3 D17 D18")
+@query("I3 D17 D18", _slope_model_sql(["window"], "\"Region\" = 'target'"))
 def linear_model_of_targets(spark, sf):
     """Target rows alone, centred among themselves."""
     return _slope_model(belief_rows(spark, sf).where(F.col("Region") == "target"), ["window"])
 
 
+@query(
+    "I3",
+    f"""SELECT term, {r('estimate')} AS estimate, {r('std_error')} AS std_error, n FROM ({solve_sql.ols(
+        '(SELECT l_tax, l_quantity, 2 * l_quantity AS twice, l_discount, l_quantity - l_discount AS less FROM lineitem)',
+        'l_tax', ['l_quantity', 'twice', 'l_discount', 'less'])})""",
+)
+def linear_model_with_aliased_terms(spark, sf):
+    """Terms that earlier ones explain have no estimate; the others are as if these were not there."""
+    lines = S.table(spark, sf, "lineitem").withColumns(
+        {"twice": 2 * F.col("l_quantity"), "less": F.col("l_quantity") - F.col("l_discount")}
+    )
+    found = G.ols(lines, "l_tax", ["l_quantity", "twice", "l_discount", "less"])
+    return rounded(found.select("term", "estimate", "std_error", "n"))
+
+
 @query(
     "I3",
     f"""SELECT l_returnflag, term, {r('estimate')} AS estimate, n FROM (
@@ -193,73 +274,196 @@ def model_cell_table(spark, sf):
     return rounded(G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look"))
 
 
-_SIZE_CODE = {"small": 1, "big": 2}
+CONDITION_TERMS = ("condition_all", "condition_some")
+GAZE_TERMS = (
+    *CONDITION_TERMS,
+    "csize",
+    "ctime",
+    *[f"{c}__{x}" for c in CONDITION_TERMS for x in ("csize", "ctime")],
+    "csize__ctime",
+    *[f"{c}__csize__ctime" for c in CONDITION_TERMS],
+)
+
+
+def _crossed(coded, factor):
+    """Dummies of a factor, and their products with ``csize`` and ``ctime`` up to all three."""
+    names = list(factor)
+    pairs = interactions(names, ["csize", "ctime"]) | interactions(["csize"], ["ctime"])
+    triples = interactions([f"{n}__csize" for n in names], ["ctime"])
+    return coded.withColumns(factor).withColumns(pairs).withColumns(triples)
+
+
+def _gaze_cells(spark, sf):
+    """Binomial cells of every model at the samples' own times, not binned."""
+    looks = model_looks(window_looks(spark, sf))
+    return G.model_cells(looks, ["model", "condition", "size", "model_time"], "target_look")
 
 
 def _gaze_design(cells):
-    """Condition contrasts, centred size and time, and all their products."""
+    """Condition contrasts against ``num``, size and time centred over the samples of a model, and all products."""
     size = F.when(F.col("size") == "small", 1).otherwise(2)
-    coded = centre(cells, {"csize": size, "ctime": F.col("bin") / 100}, ["window"], weight="n")
-    coded = coded.withColumns(dummies("condition", CONDITIONS, "num"))
-    conditions = ["condition_all", "condition_some"]
-    pairs = interactions(conditions, ["csize", "ctime"]) | interactions(["csize"], ["ctime"])
-    coded = coded.withColumns(pairs)
-    triples = interactions([f"{c}__csize" for c in conditions], ["ctime"])
-    return coded.withColumns(triples), [*conditions, "csize", "ctime", *pairs, *triples]
+    coded = centre(cells, {"csize": size, "ctime": "model_time"}, ["model"], weight="n")
+    return _crossed(coded, dummies("condition", CONDITIONS, "num"))
+
+
+def _gaze_fit(spark, sf):
+    return G.logistic_fit(_gaze_design(stored(_gaze_cells(spark, sf), "cells")), GAZE_TERMS, ["model"])
+
+
+def _product_sql(terms) -> str:
+    """Products named ``a__b`` from columns ``a`` and ``b``."""
+    return ", ".join(f"{t.replace('__', ' * ')} AS \"{t}\"" for t in terms if "__" in t)
+
+
+def _centred_cells_sql(cells: str, key: str, size_code: str, time: str | None, dummies_sql: str, terms) -> str:
+    """CTEs ``cells`` and ``design`` of a model on binomial cells, centred per ``key`` over their rows."""
+    ctime = f""", {time} - sum({time} * n) OVER w / sum(n) OVER w AS ctime""" if time else ""
+    return f"""cells AS MATERIALIZED ({cells}),
+        design AS MATERIALIZED (SELECT *, {_product_sql(terms)} FROM (
+            SELECT *, {dummies_sql}, {size_code} - sum(({size_code}) * n) OVER w / sum(n) OVER w AS csize {ctime}
+            FROM cells WINDOW w AS (PARTITION BY "{key}")))"""
+
+
+_CONDITION_SQL = "CAST(condition = 'all' AS INT) AS condition_all, CAST(condition = 'some' AS INT) AS condition_some"
+_CELL_SUMS = "avg({0}) AS p, count(*) AS n"
+_MODEL_CHOICE = ", ".join(
+    f"""CASE WHEN "window" IN ({', '.join(f"'{w}'" for w in names)}) THEN {{'model': '{model}', 'model_time': t{onset[0] if onset != 'noun' else 'u'} / 100}} END"""
+    for model, (names, onset) in MODEL_WINDOWS.items()
+)
+_MODEL_LOOKS_SQL = f"""SELECT condition, size, workerid, "Noun", target_look, c.model AS model, c.model_time AS model_time FROM (
+        SELECT *, unnest([{_MODEL_CHOICE}]) AS c FROM ({_MODEL_SQL}) WHERE "window" <> 'noun' OR tu < {NOUN_CUT_MS}) WHERE c IS NOT NULL"""
+
+
+def _fit_sql(views: str, cells: str, key: str, size_code: str, time, dummies_sql: str, terms, body) -> str:
+    """``body`` of the last round's table, behind the views, cells, design and rounds of a grouped fit."""
+    rounds, last = solve_sql.logistic("design", terms, [key] if key else [])
+    return sql(views, "SELECT 0").rsplit("SELECT 0", 1)[0] + f""",
+        {_centred_cells_sql(cells, key, size_code, time, dummies_sql, terms)}, {rounds} {body(last)}"""
+
+
+def _terms_sql(terms, key: str, digits: int = 5):
+    def body(last: str) -> str:
+        z = solve_sql.z_p("z")
+        return f"""SELECT "{key}", term, {r('estimate', digits)} AS estimate, {r('std_error', digits)} AS std_error,
+            {r('z', digits)} AS z, {r(z, digits)} AS p FROM ({solve_sql.logistic_terms(last, terms, [key])})"""
+
+    return body
 
 
-@query("I4 I5 D17 D18")
+_GAZE_SQL = (
+    "aligned",
+    f"SELECT model, condition, size, model_time, {_CELL_SUMS.format('target_look')} FROM ({_MODEL_LOOKS_SQL}) GROUP BY ALL",
+    "model",
+    "CASE WHEN size = 'small' THEN 1 ELSE 2 END",
+    "model_time",
+    _CONDITION_SQL,
+    GAZE_TERMS,
+)
+
+
+@query("I4 I5 D17 D18", _fit_sql(*_GAZE_SQL, _terms_sql(GAZE_TERMS, "model")))
 def gaze_logistic_by_window(spark, sf):
-    """Target looks on condition, size and time in every window: fixed effects."""
-    looks = window_looks(spark, sf).withColumn("bin", F.col("binned_time_relative").cast("double"))
-    cells = G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look").persist()
-    design, terms = _gaze_design(cells)
-    return G.logistic_by_window(design, WINDOWS, terms)
+    """Target looks on condition, size and unbinned time since each model's own onset: fixed effects.
+
+    The models are determiner and name together and the five windows alone, the noun's first 600 ms.
+    """
+    return rounded(G.coefficients(_gaze_fit(spark, sf), GAZE_TERMS, ["model"], student=False).drop("n"), 5)
 
 
-@query("I4 I5 D17 D18")
+@query(
+    "I4 I5",
+    sql("aligned", f"SELECT model, count(*) AS n, {r('avg(model_time)')} AS mean_time, {r('avg(target_look)')} AS p FROM ({_MODEL_LOOKS_SQL}) GROUP BY model"),
+)
+def model_window_sizes(spark, sf):
+    """Samples, mean time and share of target looks of every model."""
+    looks = model_looks(window_looks(spark, sf))
+    return rounded(
+        looks.groupBy("model").agg(
+            F.count("target_look").alias("n"), F.avg("model_time").alias("mean_time"), F.avg("target_look").alias("p")
+        )
+    )
+
+
+DETERMINER_TERMS = ("determiner_number", "determiner_some")
+TRACKER_TERMS = tuple(t.replace("condition_all", "determiner_number").replace("condition_some", "determiner_some") for t in GAZE_TERMS)
+_TRACKER_SQL = (
+    "tracker",
+    f"""SELECT whichword, determiner, size, CAST(time AS DOUBLE) AS time, {_CELL_SUMS.format('targetlook')} FROM (
+        SELECT * EXCLUDE (determiner), CASE WHEN determiner IN ('two', 'three') THEN 'number' ELSE determiner END AS determiner FROM tracker)
+        WHERE whichword IN ('determiner', 'name') AND (targetlook = 1 OR competitorlook = 1) AND targetlook IS NOT NULL GROUP BY ALL""",
+    "whichword",
+    "CASE WHEN size = 'big' THEN 1 ELSE 2 END",
+    "time",
+    "CAST(determiner = 'number' AS INT) AS determiner_number, CAST(determiner = 'some' AS INT) AS determiner_some",
+    TRACKER_TERMS,
+)
+
+
+@query("I4 I5 D17 D18", _fit_sql(*_TRACKER_SQL, _terms_sql(TRACKER_TERMS, "whichword")))
 def tracker_logistic_by_window(spark, sf):
     """Target looks of the tracker on determiner, size and sample time in two windows."""
     looks = with_any_look(S.tracker(spark, sf), ("target", "competitor"), suffix="look")
     named = looks.withColumn("determiner", recode(F.col("determiner"), MERGED_DETERMINERS))
-    cells = G.model_cells(named, ["whichword", "determiner", "size", "time"], "targetlook").persist()
+    cells = stored(G.model_cells(named, ["whichword", "determiner", "size", "time"], "targetlook"), "cells")
     size = F.when(F.col("size") == "big", 1).otherwise(2)
     coded = centre(cells, {"csize": size, "ctime": "time"}, ["whichword"], weight="n")
-    determiners = ["determiner_number", "determiner_some"]
-    coded = coded.withColumns(dummies("determiner", ("all", "number", "some"), "all"))
-    pairs = interactions(determiners, ["csize", "ctime"]) | interactions(["csize"], ["ctime"])
-    triples = interactions([f"{d}__csize" for d in determiners], ["ctime"])
-    design = coded.withColumns(pairs).withColumns(triples)
-    terms = [*determiners, "csize", "ctime", *pairs, *triples]
-    return G.logistic_by_window(design, ("determiner", "name"), terms, "whichword")
+    design = _crossed(coded, dummies("determiner", ("all", "number", "some"), "all"))
+    return rounded(G.logistic_by_window(design, ("determiner", "name"), TRACKER_TERMS, "whichword"), 5)
 
 
 def _choice_cells(spark, sf):
     clicks = with_any_look(long_clicks(spark, sf), ("target", "competitor"))
-    return G.model_cells(clicks, ["click_number", "condition", "size"], "target_look").persist()
+    return stored(G.model_cells(clicks, ["click_number", "condition", "size"], "target_look"), "cells")
+
+
+CHOICE_TERMS = (*CONDITION_TERMS, "csize", *[f"{c}__csize" for c in CONDITION_TERMS])
+_CHOICE_CELLS_SQL = f"""SELECT click_number, condition, size, {_CELL_SUMS.format('target_look')} FROM long_clicks
+    WHERE (target_look = 1 OR competitor_look = 1) AND target_look IS NOT NULL GROUP BY ALL"""
+_CHOICE_SQL = (
+    "long_clicks",
+    _CHOICE_CELLS_SQL,
+    "click_number",
+    "CASE WHEN size = 'big' THEN 1 ELSE 2 END",
+    None,
+    _CONDITION_SQL,
+    CHOICE_TERMS,
+)
 
 
-@query("I4 I5")
+@query("I4 I5", _fit_sql(*_CHOICE_SQL, _terms_sql(CHOICE_TERMS, "click_number")))
 def choice_logistic_by_window(spark, sf):
     """Target selections on condition and centred size, alphabetical size code."""
     size = F.when(F.col("size") == "big", 1).otherwise(2)
     coded = centre(_choice_cells(spark, sf), {"csize": size}, ["click_number"], weight="n")
     coded = coded.withColumns(dummies("condition", CONDITIONS, "num"))
-    conditions = ["condition_all", "condition_some"]
-    products = interactions(conditions, ["csize"])
-    design = coded.withColumns(products)
-    return G.logistic_by_window(design, CLICK_WINDOWS, [*conditions, "csize", *products], "click_number")
+    design = coded.withColumns(interactions(list(CONDITION_TERMS), ["csize"]))
+    return rounded(G.logistic_by_window(design, CLICK_WINDOWS, CHOICE_TERMS, "click_number"), 5)
+
 
+SIMPLE_TERMS = (*CONDITION_TERMS, *[f"condition_{c}__size_small" for c in ("num", "all", "some")])
 
-@query("I6")
+
+@query(
+    "I6",
+    _fit_sql(
+        "long_clicks",
+        _CHOICE_CELLS_SQL.replace("WHERE", "WHERE click_number = 'click3' AND"),
+        "click_number",
+        "1",
+        None,
+        f"{_CONDITION_SQL}, CAST(condition = 'num' AS INT) AS condition_num, CAST(size = 'small' AS INT) AS size_small",
+        SIMPLE_TERMS,
+        lambda last: f"SELECT * EXCLUDE (click_number) FROM ({_terms_sql(SIMPLE_TERMS, 'click_number')(last)})",
+    ),
+)
 def simple_effects(spark, sf):
     """Size within each condition at the determiner step."""
     cells = _choice_cells(spark, sf).where(F.col("click_number") == "click3")
     coded = cells.withColumns(dummies("condition", CONDITIONS, "num"))
     coded = coded.withColumn("size_small", (F.col("size") == "small").cast("int"))
     coded = coded.withColumn("condition_num", (F.col("condition") == "num").cast("int"))
-    products = interactions(["condition_num", "condition_all", "condition_some"], ["size_small"])
-    return G.logistic(coded.withColumns(products), ["condition_all", "condition_some", *products])
+    products = interactions(["condition_num", *CONDITION_TERMS], ["size_small"])
+    return rounded(G.logistic(coded.withColumns(products), SIMPLE_TERMS), 5)
 
 
 @query(
@@ -306,13 +510,69 @@ def variance_inflation(spark, sf):
     return rounded(G.variance_inflation(coded, ["time", "size_code"]))
 
 
-@query("I8")
+@query(
+    "I8 I4 I5",
+    _fit_sql(
+        *_GAZE_SQL,
+        lambda last: f"SELECT model, term, {r('vif', 5)} AS vif FROM ({solve_sql.inflation(last, GAZE_TERMS, ['model'])})",
+    ),
+)
 def variance_inflation_of_design(spark, sf):
-    """All terms of the window model."""
-    looks = window_looks(spark, sf).withColumn("bin", F.col("binned_time_relative").cast("double"))
-    cells = G.model_cells(looks, ["window", "condition", "size", "bin"], "target_look").persist()
-    design, terms = _gaze_design(cells)
-    return G.variance_inflation(design, terms)
+    """All terms of every window model, from the covariance of its estimates."""
+    return rounded(G.inflation(_gaze_fit(spark, sf), GAZE_TERMS, ["model"]), 5)
+
+
+UNIT_TERMS = (*CONDITION_TERMS, "csize", "ctime")
+_UNIT_ROWS = f"""(SELECT workerid, "Noun", target_look, {_CONDITION_SQL},
+    CASE WHEN size = 'small' THEN 1 ELSE 2 END - avg(CASE WHEN size = 'small' THEN 1 ELSE 2 END) OVER () AS csize,
+    model_time - avg(model_time) OVER () AS ctime
+    FROM ({_MODEL_LOOKS_SQL}) WHERE model = 'determiner+name')"""
+
+
+def _unit_sql(unit: str) -> str:
+    return f"""SELECT "{unit}", term, {r('estimate', 5)} AS estimate, n FROM ({
+        solve_sql.ols(_UNIT_ROWS, 'target_look', UNIT_TERMS, [unit])})"""
+
+
+def _unit_effects(spark, sf, unit):
+    """Own effects of every unit on target looks in the joint determiner and name model."""
+    looks = model_looks(window_looks(spark, sf)).where(F.col("model") == "determiner+name")
+    size = F.when(F.col("size") == "small", 1).otherwise(2)
+    coded = centre(looks, {"csize": size, "ctime": "model_time"}).withColumns(dummies("condition", CONDITIONS, "num"))
+    return C.unit_effects(coded, "target_look", UNIT_TERMS, [unit])
+
+
+@query("I9", sql("aligned", _unit_sql("workerid")))
+def worker_effects(spark, sf):
+    """Condition, size and time effects of every worker; NULL where a worker's samples cannot tell one."""
+    return rounded(_unit_effects(spark, sf, "workerid"), 5)
+
+
+@query("I9", sql("aligned", _unit_sql("Noun")))
+def item_effects(spark, sf):
+    """The same per noun."""
+    return rounded(_unit_effects(spark, sf, "Noun"), 5)
+
+
+@query(
+    "I9",
+    sql(
+        "aligned",
+        f"""SELECT 'workerid' AS unit, term, {r('avg(estimate)', 4)} AS mean_slope, {r('stddev_samp(estimate)', 4)} AS sd_slope,
+            count(estimate) AS n_units FROM ({solve_sql.ols(_UNIT_ROWS, 'target_look', UNIT_TERMS, ['workerid'])}) GROUP BY term
+        UNION ALL SELECT 'Noun', term, {r('avg(estimate)', 4)}, {r('stddev_samp(estimate)', 4)}, count(estimate)
+            FROM ({solve_sql.ols(_UNIT_ROWS, 'target_look', UNIT_TERMS, ['Noun'])}) GROUP BY term""",
+    ),
+)
+def effects_over_units(spark, sf):
+    """Mean and spread of the workers' and of the nouns' own effects, the second stage."""
+    parts = [
+        C.slope_summary(_unit_effects(spark, sf, unit).withColumnRenamed("estimate", "slope"), ["term"]).withColumn(
+            "unit", F.lit(unit)
+        )
+        for unit in ("workerid", "Noun")
+    ]
+    return rounded(parts[0].unionByName(parts[1]), 4)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.functions.tdist import t_two_sided_p
+from gazeframe.operators.regression import coefficients, ols_fit
 
 
 def correlation(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +41,15 @@ def unit_slopes(df: DataFrame, y: str, x: str, unit: Sequence[str]) -> DataFrame
     return df.groupBy(*unit).agg(F.regr_slope(y, x).alias("slope"), F.count(y).alias("n"))
 
 
+def unit_effects(df: DataFrame, y: str, xs: Sequence[str], unit: Sequence[str]) -> DataFrame:
+    """Term and ``estimate`` of every unit's own least-squares model of ``y`` on ``xs``, with its rows ``n``.
+
+    The first stage of a two-stage summary of several random slopes. All units come out of one aggregation; an
+    effect that a unit's rows cannot tell from earlier ones is NULL, so it is left out of the second stage.
+    """
+    return coefficients(ols_fit(df, y, xs, unit), xs, unit).select(*unit, "term", "estimate", "n")
+
+
 def slope_summary(slopes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return slopes.groupBy(*keys).agg(
         F.avg("slope").alias("mean_slope"),

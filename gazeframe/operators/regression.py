@@ -1,80 +1,154 @@
-"""Linear and logistic regression, variance inflation."""
+"""Linear and logistic regression per group, and the variance inflation of a fit.
+
+A fit is one row per group, made from sums over the group's rows. Spark adds up cross products of the design; the
+small linear systems, one per group, are solved by elimination in the order of the columns, so a column that the
+ones before it already explain has no estimate instead of sharing theirs.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import PySparkException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazeframe.functions.tdist import two_sided_p
+from gazeframe.operators.relational import join_null_safe
+from gazeframe.session import stored
 
+INTERCEPT = "(Intercept)"
+#: A column counts as explained by earlier ones when this share of its squares, or less, is left.
+ALIASED = 1e-9
+#: Change of the deviance, relative to itself, at which a logistic fit has converged.
+TOLERANCE = 1e-10
+MOST_ROUNDS = 30
+#: Fitted log odds beyond this are taken as this; their weights would be zero.
+STEEPEST = 30.0
 
-def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Least-squares coefficients with standard error, t and p, one model per key.
 
-    Means and centred cross products of all models are one aggregation; each
-    model is then a small linear system in one row, so any number of windows
-    costs one pass over the rows.
+def eliminate(cross: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Solution, inverse and rank of symmetric cross products; NaN for columns that earlier ones explain."""
+    k = len(right)
+    left = cross.astype(float).copy()
+    kept: list[int] = []
+    for j in range(k):
+        pivot = left[j, j]
+        if cross[j, j] > 0 and pivot > ALIASED * cross[j, j]:
+            kept.append(j)
+            left = left - np.outer(left[:, j], left[j]) / pivot
+    beta, inverse = np.full(k, np.nan), np.full((k, k), np.nan)
+    if kept:
+        at = np.ix_(kept, kept)
+        scale = np.sqrt(np.diag(cross)[kept])
+        solved = np.linalg.inv(cross[at] / np.outer(scale, scale)) / np.outer(scale, scale)
+        inverse[at] = solved
+        beta[kept] = solved @ right[kept]
+    return beta, inverse, len(kept)
+
+
+def _fit_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    schema = T.StructType([df.schema[key] for key in keys])
+    schema.add("n", T.LongType()).add("dof", T.LongType())
+    schema.add("beta", T.ArrayType(T.DoubleType())).add("covariance", T.ArrayType(T.DoubleType()))
+    return schema
+
+
+def _nullable(values: np.ndarray) -> list[float | None]:
+    return [None if math.isnan(v) else float(v) for v in values.ravel()]
+
+
+def _symmetric(row: dict, name: str, size: int) -> np.ndarray:
+    out = np.empty((size, size))
+    for i in range(size):
+        for j in range(i, size):
+            out[i, j] = out[j, i] = row[f"{name}{i}_{j}"]
+    return out
+
+
+def _per_row(df: DataFrame, solve, schema: T.StructType) -> DataFrame:
+    """``solve`` of every row as dict gives the values of one row of ``schema``, or None for no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [solved for solved in map(solve, batch.to_dict("records")) if solved is not None]
+            yield pd.DataFrame(made, columns=schema.names)
+
+    return df.mapInPandas(run, schema)
+
+
+def ols_fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Least squares of ``y`` on an intercept and ``xs``, one row per key.
+
+    Columns: keys, n, dof (n less rank), beta and covariance (row by row), intercept first. Means and centred
+    cross products of all models are one aggregation. Rows with a NULL in ``y`` or ``xs`` are left out; a term
+    that earlier terms explain is NULL; without degrees of freedom the covariance is NULL.
     """
-    keys, xs = list(keys), list(xs)
-    names = [*xs, y]
+    keys, names = list(keys), [*xs, y]
+    k = len(xs)
     complete = df.dropna(subset=names)
-    means = [F.avg(name).alias(f"_m{i}") for i, name in enumerate(names)]
-    products = [
-        F.covar_pop(names[i], names[j]).alias(f"_s{i}_{j}")
-        for i in range(len(names))
-        for j in range(i, len(names))
-    ]
-    moments = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *means, *products)
-    schema = T.StructType([df.schema[key] for key in keys])
+    sums = [F.avg(name).alias(f"_m{i}") for i, name in enumerate(names)]
+    sums += [F.covar_pop(names[i], names[j]).alias(f"_s{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    moments = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+
+    def solve(row: dict) -> tuple | None:
+        n = int(row["_n"])
+        if n == 0:
+            return None
+        s = _symmetric(row, "_s", k + 1)
+        m = np.array([row[f"_m{i}"] for i in range(k + 1)])
+        beta, inverse, rank = eliminate(s[:k, :k], s[:k, k])
+        used = np.nan_to_num(beta)
+        dof = n - rank - 1
+        rest = max(n * (s[k, k] - used @ s[:k, k]), 0.0)
+        sigma2 = rest / dof if dof > 0 else np.nan
+        known = np.nan_to_num(inverse)
+        whole = np.full((k + 1, k + 1), np.nan)
+        whole[1:, 1:] = inverse
+        whole[0, 1:] = whole[1:, 0] = np.where(np.isnan(beta), np.nan, -known @ m[:k])
+        whole[0, 0] = 1 + m[:k] @ known @ m[:k]
+        estimate = np.concatenate([[m[k] - m[:k] @ used], beta])
+        return (*[row[key] for key in keys], n, dof, _nullable(estimate), _nullable(whole * sigma2 / n))
+
+    return _per_row(moments, solve, _fit_schema(df, keys))
+
+
+def coefficients(fit: DataFrame, xs: Sequence[str], keys: Sequence[str] = (), student: bool = True) -> DataFrame:
+    """Terms of a fit with estimate, std_error, two-sided p, n, and the ratio of the first two as t or z."""
+    keys, terms = list(keys), [INTERCEPT, *xs]
+    ratio = "t" if student else "z"
+    schema = T.StructType([fit.schema[key] for key in keys])
     schema.add("term", T.StringType())
-    for name in ("estimate", "std_error", "t", "p"):
+    for name in ("estimate", "std_error", ratio, "p"):
         schema.add(name, T.DoubleType())
     schema.add("n", T.LongType())
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(xs)
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                n = int(row["_n"])
-                if n == 0:
-                    continue
-                s = np.empty((k + 1, k + 1))
-                for i in range(k + 1):
-                    for j in range(i, k + 1):
-                        s[i, j] = s[j, i] = row[f"_s{i}_{j}"]
-                m = np.array([row[f"_m{i}"] for i in range(k + 1)])
-                inverse = np.linalg.pinv(s[:k, :k])
-                beta = inverse @ s[:k, k]
-                dof = n - k - 1
-                rest = max(n * (s[k, k] - beta @ s[:k, k]), 0.0)
-                sigma2 = rest / dof if dof > 0 else np.nan
-                error = np.sqrt(sigma2 * np.diag(inverse) / n)
-                error0 = np.sqrt(sigma2 / n * (1 + m[:k] @ inverse @ m[:k]))
-                estimate = np.concatenate([[m[k] - m[:k] @ beta], beta])
-                errors = np.concatenate([[error0], error])
+                beta = np.array(row["beta"], float)
+                variance = np.diag(np.array(row["covariance"], float).reshape(len(terms), len(terms)))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    t = estimate / errors
+                    error = np.sqrt(variance)
+                    value = beta / error
+                if student:
+                    p = [two_sided_p(v, row["dof"]) for v in value]
+                else:
+                    p = [math.erfc(abs(v) / math.sqrt(2)) if not math.isnan(v) else math.nan for v in value]
+                heads = {key: [row[key]] * len(terms) for key in keys}
                 yield pd.DataFrame(
-                    {
-                        **{key: [row[key]] * (k + 1) for key in keys},
-                        "term": ["(Intercept)", *xs],
-                        "estimate": estimate,
-                        "std_error": errors,
-                        "t": t,
-                        "p": [two_sided_p(value, dof) for value in t],
-                        "n": n,
-                    }
+                    {**heads, "term": terms, "estimate": beta, "std_error": error, ratio: value, "p": p, "n": row["n"]}
                 )
 
-    return moments.mapInPandas(solve, schema)
+    return fit.mapInPandas(spread, schema)
+
+
+def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Least-squares coefficients with standard error, t and p, one model per key; see :func:`ols_fit`."""
+    return coefficients(ols_fit(df, y, xs, keys), xs, keys)
 
 
 def model_cells(df: DataFrame, design: Sequence[str], y: str) -> DataFrame:
@@ -90,76 +164,178 @@ def model_cells(df: DataFrame, design: Sequence[str], y: str) -> DataFrame:
     )
 
 
-def logistic(cells: DataFrame, xs: Sequence[str], p: str = "p", weight: str = "n") -> DataFrame:
-    """Fixed-effect logistic coefficients from weighted cells.
+def _scoring_sums(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """X'WX, X'Wz and the deviance of every group at its current ``_b``, or at the shares where there is none."""
+    share, weight = F.col("_p"), F.col("_w")
+    begun = F.col("_b").isNotNull()
+    guess = (weight * share + 0.5) / (weight + 1)
+    linear = F.coalesce(F.col("_b")[0], F.lit(0.0))
+    for i in range(k):
+        linear = linear + F.coalesce(F.col("_b")[i + 1], F.lit(0.0)) * F.col(f"_x{i + 1}")
+    bounded = F.greatest(F.least(linear, F.lit(STEEPEST)), F.lit(-STEEPEST))
+    stepped = rows.withColumn("_eta", F.when(begun, bounded).otherwise(F.log(guess / (1 - guess)))).withColumn(
+        "_mu", 1 / (1 + F.exp(-F.col("_eta")))
+    )
+    mu = F.col("_mu")
+    stepped = stepped.withColumns(
+        {
+            "_x0": F.lit(1.0),
+            "_v": weight * mu * (1 - mu),
+            "_g": weight * mu * (1 - mu) * F.col("_eta") + weight * (share - mu),
+            "_d": 2
+            * weight
+            * (
+                F.when(share > 0, share * F.log(share / mu)).otherwise(0.0)
+                + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - mu))).otherwise(0.0)
+            ),
+        }
+    )
+    x = [F.col(f"_x{i}") for i in range(k + 1)]
+    sums = [F.sum(F.col("_v") * x[i] * x[j]).alias(f"_s{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    sums += [F.sum(F.col("_g") * x[i]).alias(f"_r{i}") for i in range(k + 1)]
+    return stepped.groupBy(*keys).agg(
+        F.sum("_w").cast("bigint").alias("n"), F.sum("_d").alias("_dev"), F.max("_last").alias("_last"), *sums
+    )
+
+
+def logistic_fit(
+    rows: DataFrame,
+    xs: Sequence[str],
+    keys: Sequence[str] = (),
+    p: str = "p",
+    weight: str = "n",
+    most_rounds: int = MOST_ROUNDS,
+) -> DataFrame:
+    """Logistic regression of shares ``p`` with ``weight`` trials on an intercept and ``xs``, one row per key.
+
+    Columns: keys, n (trials), dof, beta, covariance, deviance, rounds, converged. All groups are fitted together
+    by iteratively reweighted least squares: a round adds up the weighted cross products of every group that has
+    not converged, in one pass over their rows, and solves one small system per group. Rows may be single 0/1
+    observations of weight 1 or binomial cells; both give the same fit. Rows with a NULL in a model column are
+    left out, a NULL key is a group of its own, terms that earlier terms explain are NULL, and a group that can
+    be told apart perfectly is returned as not converged. Dependence of rows within a worker is not modelled.
 
-    The dependence of rows within a worker is ignored, so standard errors are
-    too small; report them next to the per-unit slopes.
+    The design and each round's solutions are written to the shared folder, so a round never repeats another.
     """
-    complete = cells.dropna(subset=[*xs, p, weight])
-    features = VectorAssembler(inputCols=list(xs), outputCol="_features")
-    fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol=p, weightCol=weight, featuresCol="_features"
-    ).fit(features.transform(complete))
-    terms = [*xs, "(Intercept)"]
-    estimates = [*fit.coefficients.toArray().tolist(), fit.intercept]
-    try:
-        summary = fit.summary
-        tests = zip(summary.coefficientStandardErrors, summary.tValues, summary.pValues)
-        tests = [tuple(map(float, row)) for row in tests]
-    except PySparkException:
-        # Collinear columns have a fit but no standard errors.
-        tests = [(None, None, None)] * len(terms)
-    return cells.sparkSession.createDataFrame(
-        [(term, float(value), *test) for term, value, test in zip(terms, estimates, tests)],
-        "term string, estimate double, std_error double, z double, p double",
+    keys, k = list(keys), len(xs)
+    group = keys or ["_all"]
+    known = rows.dropna(subset=[*xs, p, weight]).where(F.col(weight) > 0)
+    named = [F.col(x).cast("double").alias(f"_x{i + 1}") for i, x in enumerate(xs)]
+    head = [F.col(key) for key in keys] or [F.lit(1).alias("_all")]
+    design = stored(
+        known.select(*head, *named, F.col(p).cast("double").alias("_p"), F.col(weight).cast("double").alias("_w")),
+        "design",
     )
+    schema = _fit_schema(design, group)
+    schema.add("deviance", T.DoubleType()).add("rounds", T.IntegerType()).add("converged", T.BooleanType())
+
+    def solver(number: int):
+        def solve(row: dict) -> tuple:
+            cross = _symmetric(row, "_s", k + 1)
+            beta, inverse, rank = eliminate(cross, np.array([row[f"_r{i}"] for i in range(k + 1)]))
+            last, now = row["_last"], row["_dev"]
+            # The deviance belongs to the estimates that the round began with.
+            done = last is not None and not math.isnan(last) and abs(now - last) <= TOLERANCE * (abs(now) + 0.1)
+            n = int(row["n"])
+            return (*[row[g] for g in group], n, n - rank, _nullable(beta), _nullable(inverse), now, number, done)
+
+        return solve
+
+    none = [F.lit(None).cast("array<double>").alias("_b"), F.lit(None).cast("double").alias("_last")]
+    current = design.select("*", *none)
+    finished: list[DataFrame] = []
+    for number in range(1, most_rounds + 1):
+        sums = _scoring_sums(current, k, group)
+        state = stored(_per_row(sums, solver(number), schema), "fit")
+        open_ = state.where(~F.col("converged"))
+        if number == most_rounds or open_.isEmpty():
+            finished.append(state)
+            break
+        finished.append(state.where("converged"))
+        # The first round starts from the shares, so its deviance says nothing about the estimates.
+        last = F.lit(None).cast("double") if number == 1 else F.col("deviance")
+        now = open_.select(*group, F.col("beta").alias("_b"), last.alias("_last"))
+        current = join_null_safe(design, now, group)
+    whole = finished[0]
+    for other in finished[1:]:
+        whole = whole.unionByName(other)
+    return whole.drop(*set(group) - set(keys))
+
+
+def logistic(cells: DataFrame, xs: Sequence[str], p: str = "p", weight: str = "n") -> DataFrame:
+    """Term, estimate, std_error, z and p of one logistic model of weighted cells; see :func:`logistic_fit`."""
+    return coefficients(logistic_fit(cells, xs, (), p, weight), xs, student=False).drop("n")
 
 
 def logistic_by_window(
     cells: DataFrame, windows: Sequence[str], xs: Sequence[str], window: str = "window", **columns
 ) -> DataFrame:
-    """The same logistic model per analysis window, on one cached cell table.
+    """The same logistic model per analysis window, all windows in the same passes.
 
-    A window without rows has no model.
+    A window without rows has no model; without any model a ValueError is raised.
     """
-    cells = cells.where(F.col(window).isin(*windows)).persist()
-    try:
-        present = {row[0] for row in cells.select(window).distinct().collect()}
-        fits = [
-            logistic(cells.where(F.col(window) == name), xs, **columns).select(
-                F.lit(name).alias(window), "*"
-            )
-            for name in windows
-            if name in present
-        ]
-    finally:
-        cells.unpersist()
-    if not fits:
+    fit = logistic_fit(cells.where(F.col(window).isin(*windows)), xs, [window], **columns)
+    if fit.isEmpty():
         raise ValueError("no rows in any of the windows")
-    out = fits[0]
-    for fit in fits[1:]:
-        out = out.unionByName(fit)
+    return coefficients(fit, xs, [window], student=False).drop("n")
+
+
+def inflation(fit: DataFrame, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Variance inflation of the terms of a fit, per key: what the others add to a term's variance.
+
+    The covariance of the estimates without the intercept becomes a correlation matrix; the diagonal of its
+    inverse is the result. A single term has 1. Terms without estimate, or without variance, are NULL.
+    """
+    keys, xs = list(keys), list(xs)
+    schema = T.StructType([fit.schema[key] for key in keys])
+    schema.add("term", T.StringType()).add("vif", T.DoubleType())
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(xs) + 1
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                covariance = np.array(row["covariance"], float).reshape(size, size)[1:, 1:]
+                yield pd.DataFrame({**{key: [row[key]] * len(xs) for key in keys}, "term": xs, "vif": inflated(covariance)})
+
+    return fit.mapInPandas(invert, schema)
+
+
+def inflated(covariance: np.ndarray) -> np.ndarray:
+    """Diagonal of the inverse correlation matrix of the rows with a variance; infinite if it has no inverse."""
+    out = np.full(len(covariance), np.nan)
+    with np.errstate(invalid="ignore"):
+        kept = np.flatnonzero(np.diag(covariance) > 0)
+    if len(kept):
+        some = covariance[np.ix_(kept, kept)]
+        spread = np.sqrt(np.diag(some))
+        try:
+            out[kept] = np.diag(np.linalg.inv(some / np.outer(spread, spread)))
+        except np.linalg.LinAlgError:
+            out[kept] = np.inf
     return out
 
 
-def variance_inflation(df: DataFrame, xs: Sequence[str]) -> DataFrame:
-    """Diagonal of the inverse correlation matrix of the predictors."""
+def variance_inflation(df: DataFrame, xs: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Inflation of the predictors themselves: the diagonal of the inverse of their (weighted) correlations.
+
+    For least squares this is what :func:`inflation` gives. A predictor that never changes is NULL.
+    """
     xs = list(xs)
-    pairs = [(i, j) for i in range(len(xs)) for j in range(i + 1, len(xs))]
-    row = df.dropna(subset=xs).agg(*[F.corr(xs[i], xs[j]).alias(f"_r{i}_{j}") for i, j in pairs])
+    k = len(xs)
+    complete = df.dropna(subset=xs + ([weight] if weight else []))
+    heavy: Column = F.col(weight).cast("double") if weight else F.lit(1.0)
+    # Around the means of the rows, so that large values lose no digits.
+    means = complete.agg(F.struct(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).alias("m")).scalar()
+    around = complete.select(heavy.alias("_w"), *[(F.col(x) - means[f"m{i}"]).alias(f"_x{i}") for i, x in enumerate(xs)])
+    sums = [F.sum(F.col("_w") * F.col(f"_x{i}")).alias(f"_t{i}") for i in range(k)]
+    sums += [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k)]
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for found in batch.to_dict("records"):
-                matrix = np.eye(len(xs))
-                for i, j in pairs:
-                    value = found[f"_r{i}_{j}"]
-                    matrix[i, j] = matrix[j, i] = np.nan if value is None else value
-                try:
-                    inflation = np.diag(np.linalg.inv(matrix))
-                except np.linalg.LinAlgError:
-                    inflation = np.full(len(xs), np.inf)
-                yield pd.DataFrame({"term": xs, "vif": inflation})
-
-    return row.mapInPandas(invert, "term string, vif double")
+            for row in batch.to_dict("records"):
+                if not row["_n"] > 0:
+                    continue
+                total = np.array([row[f"_t{i}"] for i in range(k)])
+                yield pd.DataFrame({"term": xs, "vif": inflated(_symmetric(row, "_s", k) - np.outer(total, total) / row["_n"])})
+
+    return around.agg(F.sum("_w").alias("_n"), *sums).mapInPandas(invert, "term string, vif double")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.operators.ranking import BUCKETS, add_bucket
+from gazeframe.operators.relational import join_null_safe
 
 DISTINCT_LIMIT = 1_000_000
 
@@ -56,13 +55,6 @@ def distinct_combinations(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("n_combinations"))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
-    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],

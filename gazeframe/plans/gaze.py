@@ -157,3 +157,32 @@ def aligned_looks(looks: DataFrame, origin: str = "classified", shift: int = 0)
 
 def binned_looks(looks: DataFrame, origin: str = "classified", shift: int = 0) -> DataFrame:
     return bin_time(aligned_looks(looks, origin, shift))
+
+
+# The samples of each model, the onset its time counts from, and where the noun's samples end.
+MODEL_WINDOWS = {
+    "determiner+name": (("determiner", "name"), "determiner"),
+    "baseline": (("baseline",), "name"),
+    "gender": (("gender",), "name"),
+    "determiner": (("determiner",), "determiner"),
+    "name": (("name",), "name"),
+    "noun": (("noun",), "name"),
+}
+NOUN_CUT_MS = 600
+
+
+def model_looks(looks: DataFrame, noun_cut: float = NOUN_CUT_MS) -> DataFrame:
+    """Samples with ``model`` and ``model_time``, once for every model that holds their window.
+
+    ``model_time`` is in units of 100 ms since the model's own onset. Samples of the noun window from
+    ``noun_cut`` ms after the noun's onset on are in no model.
+    """
+    early = (F.col("window") != "noun") | (F.col("time_rel_noun_onset") < noun_cut)
+    choices = [
+        F.when(
+            F.col("window").isin(*names) & early,
+            F.struct(F.lit(model).alias("model"), (F.col(f"time_rel_{onset}_onset") / 100).alias("model_time")),
+        )
+        for model, (names, onset) in MODEL_WINDOWS.items()
+    ]
+    return looks.select("*", F.inline(F.filter(F.array(*choices), lambda c: c.isNotNull())))
