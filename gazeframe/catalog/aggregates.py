@@ -272,9 +272,9 @@ def six_number_summary(spark, sf):
 
 @query("F4", f"SELECT event_type, {_six_sql('value')} FROM events GROUP BY event_type")
 def six_number_summary_by_rank(spark, sf):
-    """The same numbers by counting ranks in buckets, as used for very large groups."""
+    """The same numbers per group, with groups cut into many ranges."""
     events = S.table(spark, sf, "events")
-    return rounded(stats.six_numbers(events, "value", ["event_type"], distinct_limit=0, buckets=64))
+    return rounded(stats.six_numbers(events, "value", ["event_type"], parts=64))
 
 
 @query("F5", sql("subjects", f"SELECT {r('avg(accuracy)')} AS mean, {r('stddev_samp(accuracy)')} AS sd FROM subjects"))

@@ -12,7 +12,7 @@ from gazeframe.catalog.standins import sql
 from gazeframe.functions import aoi, scores, timebins
 from gazeframe.operators import alignment
 from gazeframe.operators.calibration import calibration_accuracy
-from gazeframe.operators.coding import alphabetical_levels, category_code, centre, dummies, interactions
+from gazeframe.operators.coding import centre, dummies, interactions, with_alphabetical_code
 from gazeframe.operators.lookup import lookup_box, lookup_window
 from gazeframe.operators.proportions import region_counts
 from gazeframe.operators.reshape import melt_measures
@@ -334,8 +334,8 @@ def log_ratios(spark, sf):
 def centred_columns(spark, sf):
     """A number, an alphabetical category code, and a number centred per window."""
     tracker = S.tracker(spark, sf).select("event_id", "time", "size", "whichword")
-    code = category_code("size", alphabetical_levels(tracker, "size"))
-    both = centre(tracker, {"ctime": "time", "csize": code})
+    coded = with_alphabetical_code(tracker, "size", "size_code")
+    both = centre(coded, {"ctime": "time", "csize": "size_code"})
     each = centre(both, {"ctime_in_window": "time"}, ["whichword"])
     return rounded(each.select("event_id", "ctime", "csize", "ctime_in_window"))
 

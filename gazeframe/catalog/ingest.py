@@ -223,11 +223,11 @@ def trial_numbers(spark, sf):
     FROM events""",
 )
 def trial_numbers_hot_workers(spark, sf):
-    """The same numbering with every worker above 50 rows cut into buckets."""
+    """The same numbering with workers cut over many ranges."""
     from gazeframe.operators.ranking import number_within
 
     events = S.table(spark, sf, "events").select("user_id", "event_id")
-    return number_within(events, ["user_id"], ["event_id"], hot_rows=50)
+    return number_within(events, ["user_id"], ["event_id"], parts=64)
 
 
 @query(

@@ -12,13 +12,17 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazeframe.operators.relational import join_null_safe
+from gazeframe.session import stored
+
 RESAMPLES = 1000
 TAILS = (0.025, 0.975)
-DISTINCT_LIMIT = 20_000
+#: Distinct values of a part of a group.
+PART_VALUES = 4096
 
 # Cumulative Poisson(1) probabilities of the weights 0 to 4.
 POISSON_CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)
@@ -72,106 +76,130 @@ def binomial_intervals(
     return keyed.mapInPandas(draw, schema)
 
 
+def _group_sizes(cells: DataFrame, group: list[str], part_values: int) -> DataFrame:
+    """Rows, mean, and the depth of the tree that cuts a group into parts of some ``part_values`` distinct values."""
+    depth = F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / part_values)), F.lit(0)).cast("int")
+    return cells.groupBy(*group).agg(
+        F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), depth.alias("_depth")
+    )
+
+
+def _paths(totals: DataFrame, group: list[str]) -> DataFrame:
+    """Per part, the steps from the group to it: (level, node, rows of the left half, rows of the node, went right).
+
+    ``totals`` has ``_part``, ``_depth`` and ``_m`` rows of each part. Nodes of a level are parts cut to as many
+    leading bits; one that has no rows is on no path.
+    """
+    level = F.sequence(F.lit(0), F.col("_depth"))
+    steps = totals.select(*group, "_part", "_depth", "_m", F.explode(level).alias("_level")).withColumn(
+        "_node", F.expr("shiftright(_part, _depth - _level)")
+    )
+    nodes = steps.groupBy(*group, "_level", "_node").agg(F.sum("_m").alias("_rows"))
+    below = steps.where("_level > 0").withColumns(
+        {"_up": F.col("_level") - 1, "_parent": F.shiftright("_node", 1), "_right": F.col("_node") % 2 == 1}
+    )
+    parents = nodes.withColumnsRenamed({"_level": "_up", "_node": "_parent", "_rows": "_all_rows"})
+    known = join_null_safe(below, parents, [*group, "_up", "_parent"])
+    own = join_null_safe(known, nodes, [*group, "_level", "_node"])
+    left = F.when(F.col("_right"), F.col("_all_rows") - F.col("_rows")).otherwise(F.col("_rows"))
+    step = F.struct(F.col("_up").alias("level"), F.col("_parent").alias("node"), left.alias("left"), F.col("_all_rows").alias("rows"), F.col("_right").alias("right"))
+    return own.groupBy(*group, "_part").agg(F.array_sort(F.collect_list(step)).alias("_path"))
+
+
+def _part_sums(parts: DataFrame, group: list[str], resamples: int, seed: int) -> DataFrame:
+    """Sum of the values that each replicate draws from each part."""
+    schema = T.StructType([parts.schema[g] for g in group])
+    schema.add("_part", T.LongType()).add("_sums", T.ArrayType(T.DoubleType()))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for row in batch.to_dict("records"):
+                key = int(row["_key"])
+                drawn = np.full(resamples, int(row["n"]), np.int64)
+                # Every part of a node draws the same split of it, as generators start from the node.
+                for step in row["_path"] if row["_path"] is not None else ():
+                    rng = _generator(seed, key, step["level"], step["node"])
+                    left = rng.binomial(drawn, step["left"] / step["rows"])
+                    drawn = drawn - left if step["right"] else left
+                values, times = np.array(row["_values"]), np.array(row["_times"], float)
+                share, rng = times / times.sum(), _generator(seed, key, -1, int(row["_part"]))
+                sums = np.empty(resamples)
+                width = max(1, 2_000_000 // len(values))
+                for start in range(0, resamples, width):
+                    some = slice(start, start + width)
+                    sums[some] = rng.multinomial(drawn[some], share) @ values
+                made.append((*[row[g] for g in group], row["_part"], sums))
+            yield pd.DataFrame(made, columns=schema.names)
+
+    return parts.mapInPandas(draw, schema)
+
+
+def _added(sums: DataFrame, group: list[str]) -> DataFrame:
+    """Element-wise sums of the arrays of a group, in the order of their parts."""
+    ordered = F.array_sort(F.collect_list(F.struct("_part", "_sums")))
+    added = F.aggregate(
+        F.slice(ordered, F.lit(2), F.size(ordered)),
+        F.get(ordered, F.lit(0))["_sums"],
+        lambda total, part: F.zip_with(total, part["_sums"], lambda a, b: a + b),
+    )
+    return sums.groupBy(*group).agg(added.alias("_sums"))
+
+
 def bootstrap_mean(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     resamples: int = RESAMPLES,
     seed: int = 1,
-    distinct_limit: int = DISTINCT_LIMIT,
+    part_values: int = PART_VALUES,
 ) -> DataFrame:
-    """Mean of ``value`` per key with its bootstrap distances ``CILow`` and ``CIHigh``.
-
-    Groups with up to ``distinct_limit`` distinct values draw multinomial counts,
-    which is resampling rows with replacement. Larger groups are never gathered:
-    each distinct value draws Poisson weights where it lies and only sums of the
-    replicates travel. The counts are kept, so the rows are read once.
+    """Mean of ``value`` per key with its bootstrap distances ``CILow`` and ``CIHigh``, and rows ``n``.
+
+    Every replicate draws n rows with replacement, whatever the size of the group: a multinomial draw over the
+    distinct values. A group is dealt by hash into parts of some ``part_values`` distinct values. The number of
+    rows that a replicate takes from a part is drawn down a binary tree over the parts, a binomial split at each
+    node, and then dealt to the part's values; together this is the multinomial draw exactly. No task holds more
+    than a part, or the replicates' sums of 1,024 parts. A NULL key is a key; NULL values do not count. The
+    numbers depend on seed, key and ``part_values`` alone. The counts of distinct values are written when this
+    is called.
     """
-    keys = list(keys)
-    cells = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_key", F.xxhash64(*keys))
-        .persist()
+    group = list(keys) or ["_all"]
+    known = df.where(F.col(value).isNotNull()).select(
+        *(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v")
     )
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    large = sizes.where(F.col("_k") > distinct_limit).select(*keys)
-    if large.isEmpty():
-        return _small_groups(cells, keys, resamples, seed)
-    small = cells.join(large, keys, "left_anti")
-    rest = cells.join(large, keys, "left_semi")
-    return _small_groups(small, keys, resamples, seed).unionByName(
-        _large_groups(rest, keys, resamples, seed)
+    cells = stored(known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), "cells")
+    sizes = _group_sizes(cells, group, part_values)
+    dealt = join_null_safe(cells, sizes.select(*group, "n", "_depth"), group).withColumn(
+        "_part", F.expr("pmod(xxhash64(_v), shiftleft(1L, _depth))")
     )
-
-
-def _result_schema(cells: DataFrame, keys: Sequence[str]) -> T.StructType:
-    schema = T.StructType([cells.schema[key] for key in keys])
-    for name in ("mean", "CILow", "CIHigh"):
-        schema.add(name, T.DoubleType())
-    return schema.add("n", T.LongType())
-
-
-def _small_groups(cells: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_v")
-        values = group["_v"].to_numpy()
-        times = group["_c"].to_numpy()
-        total = int(times.sum())
-        mean = float(values @ times) / total
-        rng = _generator(seed, int(group["_key"].iloc[0]))
-        means = np.empty(resamples)
-        step = max(1, 2_000_000 // len(values))
-        for start in range(0, resamples, step):
-            stop = min(start + step, resamples)
-            drawn = rng.multinomial(total, times / total, size=stop - start)
-            means[start:stop] = drawn @ values / total
-        low, high = np.quantile(means, TAILS)
-        row = {key: group[key].iloc[0] for key in keys}
-        row.update(mean=mean, CILow=mean - low, CIHigh=high - mean, n=total)
-        return pd.DataFrame([row])
-
-    return cells.groupBy(*keys).applyInPandas(resample, _result_schema(cells, keys))
-
-
-def _large_groups(cells: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    partial = T.StructType([cells.schema[key] for key in keys])
-    partial.add("_replicate", T.IntegerType())
-    partial.add("_weight", T.DoubleType()).add("_sum", T.DoubleType())
-    seeded = cells.withColumn("_cell", F.xxhash64("_key", "_v"))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = np.arange(resamples, dtype=np.int32)
-        for batch in batches:
-            for values, group in batch.groupby(keys, dropna=False):
-                weight, total = np.zeros(resamples), np.zeros(resamples)
-                for cell, v, times in zip(group["_cell"], group["_v"], group["_c"]):
-                    drawn = _generator(seed, int(cell)).poisson(times, resamples)
-                    weight += drawn
-                    total += drawn * v
-                head = dict(zip(keys, values))
-                yield pd.DataFrame(
-                    {**head, "_replicate": numbers, "_weight": weight, "_sum": total}
-                )
-
-    replicates = (
-        seeded.mapInPandas(weigh, partial)
-        .groupBy(*keys, "_replicate")
-        .agg((F.sum("_sum") / F.sum("_weight")).alias("_m"))
+    parts = dealt.groupBy(*group, "_part", "_depth", "n").agg(
+        F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_cells"), F.sum("_c").alias("_m")
     )
-    bounds = replicates.groupBy(*keys).agg(
-        F.percentile("_m", F.array(*[F.lit(t) for t in TAILS])).alias("_b")
+    paths = _paths(dealt.groupBy(*group, "_part", "_depth").agg(F.sum("_c").alias("_m")), group)
+    asked = join_null_safe(parts, paths, [*group, "_part"], "left").select(
+        *group,
+        "_part",
+        "n",
+        "_path",
+        F.xxhash64(*group).alias("_key"),
+        F.col("_cells._v").alias("_values"),
+        F.col("_cells._c").alias("_times"),
     )
-    means = cells.groupBy(*keys).agg(
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.sum("_c").alias("n")
+    sums = _part_sums(asked, group, resamples, seed)
+    some = _added(sums.withColumn("_some", F.shiftright("_part", 10)), [*group, "_some"])
+    replicates = _added(some.withColumnRenamed("_some", "_part"), group)
+    means = join_null_safe(replicates, sizes.drop("_depth"), group).withColumn(
+        "_means", F.array_sort(F.transform("_sums", lambda s: s / F.col("n")))
     )
-    return means.join(bounds, keys).select(
-        *keys,
-        "mean",
-        (F.col("mean") - F.col("_b")[0]).alias("CILow"),
-        (F.col("_b")[1] - F.col("mean")).alias("CIHigh"),
-        "n",
+
+    def tail(share: float) -> Column:
+        at = share * (resamples - 1)
+        low, high = F.col("_means")[math.floor(at)], F.col("_means")[math.ceil(at)]
+        return low + (high - low) * (at - math.floor(at))
+
+    return means.select(
+        *keys, "mean", (F.col("mean") - tail(TAILS[0])).alias("CILow"), (tail(TAILS[1]) - F.col("mean")).alias("CIHigh"), "n"
     )
 
 
@@ -184,23 +212,19 @@ def digest_bootstrap(
     of ``md5(row_id:b/4)``; one digest serves four replicates. Sums are built
     before the shuffle.
     """
-    blocks = (resamples + 3) // 4
-    digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.col("_block").cast("string")))
-    spread = (
-        df.select(*keys, value, row_id, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-        .withColumn("_digest", digest)
-        .select(*keys, value, "_block", "_digest", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_part"))
-    )
-    # Hex digits of fixed width sort like the numbers they write.
-    digits = F.substring(F.col("_digest"), F.col("_part") * 8 + 1, F.lit(8))
-    weight = F.lit(0)
-    for cut in POISSON_CUTS:
-        weight = weight + (F.col("_digits") >= f"{math.ceil(cut * 2**32):08x}").cast("int")
-    return (
-        spread.withColumn("replicate", (F.col("_block") * 4 + F.col("_part")).cast("int"))
-        .where(F.col("replicate") < resamples)
-        .withColumn("_digits", digits)
-        .withColumn("_w", weight)
-        .groupBy(*keys, "replicate")
-        .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("boot_mean"))
-    )
+    sums = []
+    for replicate in range(resamples):
+        block, part = divmod(replicate, 4)
+        # Hex digits of fixed width sort like the numbers they write.
+        digits = F.substring(F.col(f"_digest{block}"), part * 8 + 1, 8)
+        weight = F.lit(0)
+        for cut in POISSON_CUTS:
+            weight = weight + (digits >= f"{math.ceil(cut * 2**32):08x}").cast("int")
+        mean = F.sum(weight * F.col(value)) / F.sum(weight)
+        sums.append(F.struct(F.lit(replicate).alias("replicate"), mean.alias("boot_mean")))
+    digests = {
+        f"_digest{block}": F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(block))))
+        for block in range((resamples + 3) // 4)
+    }
+    wide = df.select(*keys, value, row_id).withColumns(digests)
+    return wide.groupBy(*keys).agg(F.array(*sums).alias("_means")).select(*keys, F.inline("_means"))

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.functions.scores import level_order
+from gazeframe.operators.ranking import number_within
+from gazeframe.operators.relational import join_null_safe
 
-LEVEL_LIMIT = 10_000
 
+def with_alphabetical_code(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add the 1-based place of each row's category among the sorted categories; NULL stays NULL.
 
-def alphabetical_levels(df: DataFrame, col: str, limit: int = LEVEL_LIMIT) -> list[str]:
-    """Sorted categories of a factor; an error if there are more than ``limit``."""
-    found = df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{col} has more than {limit} categories")
-    return sorted(row[0] for row in found)
+    Categories are told apart, numbered by prefix sums and joined back, so there may be any number of them.
+    """
+    levels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_level")).distinct()
+    coded = number_within(levels, [], ["_level"], out)
+    return df.join(coded, F.col(col) == F.col("_level"), "left").drop("_level")
 
 
 def category_code(col: str, levels: Sequence[str]) -> Column:
@@ -31,8 +33,8 @@ def centre(
     """Add columns less their mean, over all rows or per key.
 
     ``columns`` maps a new name to a numeric column or expression. The means are
-    one small aggregate: a scalar subquery over all rows, or a join per key. A
-    weight makes them means of weighted rows.
+    one small aggregate: a scalar subquery over all rows, or a join per key, where
+    a NULL key is a key. A weight makes them means of weighted rows.
     """
     keys = list(keys)
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in columns.items()}
@@ -45,8 +47,7 @@ def centre(
 
     means = {name: mean(value).alias(f"_mean_{name}") for name, value in values.items()}
     if keys:
-        table = df.groupBy(*keys).agg(*means.values())
-        joined = df.join(table, keys, "left")
+        joined = join_null_safe(df, df.groupBy(*keys).agg(*means.values()), keys)
         added = {name: value - F.col(f"_mean_{name}") for name, value in values.items()}
         return joined.withColumns(added).drop(*[f"_mean_{name}" for name in values])
     # One subquery for all means: the rows are read once more, not once per column.

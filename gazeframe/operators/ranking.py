@@ -1,91 +1,52 @@
-"""Row numbers within a key that stay parallel when one key is hot."""
+"""Row numbers within a key that stay parallel however many rows the key has."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-BUCKETS = 256
+from gazeframe.operators.relational import join_null_safe
+from gazeframe.session import stored
 
+#: ``monotonically_increasing_id`` holds the partition above these bits, the row in it below.
+ROW_BITS = 33
 
-def as_number(df: DataFrame, value: str) -> Column:
-    """``value`` as a double that never runs against its order: of text the first six bytes, of times the seconds."""
-    kind, col = df.schema[value].dataType.typeName(), F.col(value)
-    if kind in ("string", "varchar", "char"):
-        head = F.substring(F.rpad(F.hex(F.encode(col, "UTF-8")), 12, "0"), 1, 12)
-        return F.conv(head, 16, 10).cast("double")
-    if kind == "boolean":
-        return col.cast("int").cast("double")
-    if kind in ("timestamp_ntz", "date"):
-        return col.cast("timestamp").cast("double")
-    return col.cast("double")
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` sorted by ``keys`` and ``order`` over all its partitions, as a table with ``_part`` and ``_row``.
 
-def add_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Bucket number by approximate quantiles of ``value``; order is kept."""
-    points = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(as_number(df, value), points, 10_000)).first()[0]
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    cast = df.withColumn("_value", as_number(df, value))
-    bucketed = Bucketizer(
-        splits=splits, inputCol="_value", outputCol=out, handleInvalid="keep"
-    ).transform(cast)
-    return bucketed.withColumn(out, F.col(out).cast("int")).drop("_value")
+    Partitions are ranges, so a key of any size is cut at values of ``order``; a NULL key or value comes first.
+    ``_row`` grows in this order, by one from row to row inside a partition. The table is written to the shared
+    folder when this is called: what is counted per partition and what it is joined to must be the same rows.
+    """
+    by = [*keys, *order]
+    spread = df.repartitionByRange(*by) if parts is None else df.repartitionByRange(parts, *by)
+    numbered = spread.sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    return stored(numbered.withColumn("_part", F.shiftright("_row", ROW_BITS)), "sorted")
 
 
 def number_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "trial_number",
-    hot_rows: int = HOT_ROWS,
-    bucket: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "trial_number", parts: int | None = None
 ) -> DataFrame:
-    """1-based row number within ``keys`` in the order of ``order``.
+    """1-based row number within ``keys`` (over all rows without any) in the order of ``order``.
 
-    Keys with at most ``hot_rows`` rows are numbered by one window. A larger key
-    is cut into buckets of its first order column, numbered inside each bucket
-    and shifted by the count of earlier buckets, so no task sorts a whole hot
-    key. ``bucket`` overrides the bucket; it must follow the order. ``order``
-    has to be unique within a key for the numbers to be reproducible.
+    Rows are sorted into ranges; the rows of a key in earlier ranges are added up and joined to each (key, range),
+    so no task sees a whole key and nothing depends on its size. A NULL key is a key, NULLs in ``order`` come
+    first. ``order`` has to be unique within a key for the numbers to be reproducible.
     """
-    keys, order = list(keys), list(order)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window))
-
-    cut = (
-        df.withColumn("_bucket", bucket)
-        if bucket is not None
-        else add_bucket(df, order[0], "_bucket")
-    )
-    marked = cut.join(hot, keys, "left").withColumn(
-        "_bucket", F.when(F.col("_hot"), F.coalesce("_bucket", F.lit(-1))).otherwise(0)
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        marked.join(offsets, [*keys, "_bucket"], "left")
-        .withColumn("_before", F.coalesce("_before", F.lit(0)))
-        .withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("int"))
-        .select(*df.columns, out)
+    keys = list(keys)
+    table = placed(df, keys, order, parts)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        table.groupBy(*keys, "_part")
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .drop("_n")
     )
+    number = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return join_null_safe(table, pieces, [*keys, "_part"]).withColumn(out, number.cast("int")).select(*df.columns, out)
 
 
 def seeded_order(
@@ -94,13 +55,12 @@ def seeded_order(
     item: str,
     seed: str,
     out: str = "presentation",
-    hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Reproducible random order of the items of each worker."""
     text = F.concat_ws(":", F.col(worker).cast("string"), F.col(item).cast("string"), F.lit(seed))
     hashed = df.withColumn("_digest", F.md5(text))
-    bucket = F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int")
-    return number_within(hashed, [worker], ["_digest", item], out, hot_rows, bucket).drop("_digest")
+    return number_within(hashed, [worker], ["_digest", item], out, parts).drop("_digest")
 
 
 def assigned_list(worker: Column, n_lists: int, seed: str) -> Column:

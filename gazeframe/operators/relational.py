@@ -71,8 +71,8 @@ def left_join_renamed(df: DataFrame, dim: DataFrame, key: str, dim_key: str) ->
     return df.join(dim.withColumnRenamed(dim_key, key), key, "left")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
     named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.operators.ranking import BUCKETS, add_bucket
+from gazeframe.operators.ranking import placed
 from gazeframe.operators.relational import join_null_safe
 
-DISTINCT_LIMIT = 1_000_000
-
 
 def counts(df: DataFrame, *cols: str, keep_null: bool = False) -> DataFrame:
     """Rows per value; rows with a NULL do not count unless asked for."""
@@ -62,45 +60,24 @@ def quantiles(
     probs: Sequence[float],
     out: str = "quantiles",
     mean: str | None = None,
-    distinct_limit: int = DISTINCT_LIMIT,
-    buckets: int = BUCKETS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per key as an array, and the mean if it is named.
 
-    Spark's ``percentile`` keeps every distinct value of a group in one buffer,
-    which is fine up to ``distinct_limit``. Beyond that the wanted ranks are
-    found by counting buckets first, and only the buckets that hold them are
-    ordered.
+    Rows are reduced to distinct values with their counts and sorted into ranges; counts per (key, range) tell
+    which range holds a wanted rank, and only these ranges are added up value by value. So no buffer or task
+    grows with a key. A NULL key is a key; NULL values do not count. The sorted table is written when this is
+    called.
     """
-    keys = list(keys)
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    cells = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    widest = known.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_k"))
-    most = widest.agg(F.max("_k")).first()[0] or 0
-    if most <= distinct_limit:
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        found = [F.percentile("_v", points, F.col("_c")).alias(out)]
-        if mean:
-            found.append(_cell_mean().alias(mean))
-        return cells.groupBy(*keys).agg(*found)
-    return _selected_quantiles(cells, keys, probs, out, mean, buckets)
-
-
-def _cell_mean():
-    return F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
-
-
-def _selected_quantiles(
-    cells: DataFrame, keys: list[str], probs: Sequence[float], out: str, mean: str | None, buckets: int
-) -> DataFrame:
-    if not keys:
-        cells = cells.withColumn("_all", F.lit(1))
-    group = keys or ["_all"]
-    binned = add_bucket(cells, "_v", "_b", buckets)
-    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    group = list(keys) or ["_all"]
+    known = df.where(F.col(value).isNotNull()).select(
+        *(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v")
+    )
+    cells = placed(known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), group, ["_v"], parts)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     sizes = (
-        binned.groupBy(*group, "_b")
+        cells.groupBy(*group, "_part")
         .agg(F.sum("_c").alias("_in"))
         .withColumn("_lo", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
         .withColumn("_n", F.sum("_in").over(whole))
@@ -115,25 +92,25 @@ def _selected_quantiles(
         .where((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_in")))
         .distinct()
     )
-    needed = wanted.groupBy(*group, "_b", "_lo").agg(
+    needed = wanted.groupBy(*group, "_part", "_lo").agg(
         F.collect_set(F.struct("_i", "_pos", "_rank")).alias("_asked")
     )
-    upto = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        join_null_safe(binned, needed, [*group, "_b"])
+    upto = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        join_null_safe(cells, needed, [*group, "_part"])
         .withColumn("_end", F.col("_lo") + F.sum("_c").over(upto))
         .select(*group, "_v", "_c", "_end", F.inline("_asked"))
         .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
     )
     low = F.min("_v")
-    value = low + (F.max("_v") - low) * (F.first("_pos") - F.floor(F.first("_pos")))
-    each = placed.groupBy(*group, "_i").agg(value.alias("_q"))
+    between = low + (F.max("_v") - low) * (F.first("_pos") - F.floor(F.first("_pos")))
+    each = found.groupBy(*group, "_i").agg(between.alias("_q"))
     result = each.groupBy(*group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(out)
     )
     if not mean:
         return result.select(*keys, out)
-    means = cells.groupBy(*group).agg(_cell_mean().alias(mean))
+    means = cells.groupBy(*group).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias(mean))
     return join_null_safe(result, means, group).select(*keys, out, mean)
 
 

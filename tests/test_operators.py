@@ -61,11 +61,11 @@ def hot_rows(n=3000, seed=3):
     return [(0 if rng.random() < 1 / 3 else rng.randrange(1, 40), i * 7 % n, i) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [10**6, 20, 0])
-def test_numbers_within_hot_workers(spark, limit):
+@pytest.mark.parametrize("parts", [None, 1, 40])
+def test_numbers_within_hot_workers(spark, parts):
     data = hot_rows()
     df = spark.createDataFrame(data, "w int, o int, id int").repartition(5)
-    got = {row.id: row.trial_number for row in ranking.number_within(df, ["w"], ["o"], hot_rows=limit).collect()}
+    got = {row.id: row.trial_number for row in ranking.number_within(df, ["w"], ["o"], parts=parts).collect()}
     seen, want = Counter(), {}
     for w, _, i in sorted(data):
         seen[w] += 1
@@ -76,14 +76,15 @@ def test_numbers_within_hot_workers(spark, limit):
 def test_numbers_with_null_key_and_order(spark):
     data = [(None, 5), (None, 2), (None, None), (1, None), (1, 9), (1, 3)]
     df = spark.createDataFrame(data, "w int, o int")
-    plain = rows(ranking.number_within(df, ["w"], ["o"]).na.fill(-1))
-    assert rows(ranking.number_within(df, ["w"], ["o"], hot_rows=1).na.fill(-1)) == plain
+    want = rows(spark.createDataFrame([(-1, -1, 1), (-1, 2, 2), (-1, 5, 3), (1, -1, 1), (1, 3, 2), (1, 9, 3)]))
+    for parts in (None, 1, 6):
+        assert rows(ranking.number_within(df, ["w"], ["o"], parts=parts).na.fill(-1)) == want
 
 
 def test_seeded_order_is_a_permutation(spark):
     df = spark.createDataFrame([(w, i) for w in range(3) for i in range(20)], "w int, i int")
     first = ranking.seeded_order(df, "w", "i", "a").collect()
-    again = ranking.seeded_order(df.repartition(7), "w", "i", "a", hot_rows=5).collect()
+    again = ranking.seeded_order(df.repartition(7), "w", "i", "a", parts=20).collect()
     other = ranking.seeded_order(df, "w", "i", "b").collect()
     order = lambda found: sorted((r.w, r.presentation, r.i) for r in found)
     assert order(first) == order(again)
@@ -91,17 +92,17 @@ def test_seeded_order_is_a_permutation(spark):
     assert sorted(r.presentation for r in first if r.w == 1) == list(range(1, 21))
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_quantiles(spark, limit):
+@pytest.mark.parametrize("parts", [None, 1, 50])
+def test_quantiles(spark, parts):
     rng = np.random.default_rng(1)
     groups = {"a": rng.normal(size=501), "b": np.array([4.0]), "c": rng.integers(0, 5, 400).astype(float)}
     data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = (0, 0.025, 0.25, 0.5, 0.75, 1)
-    got = {r.g: r.quantiles for r in stats.quantiles(df, ["g"], "v", probs, distinct_limit=limit, buckets=16).collect()}
+    got = {r.g: r.quantiles for r in stats.quantiles(df, ["g"], "v", probs, parts=parts).collect()}
     for key, found in groups.items():
         assert got[key] == pytest.approx(np.quantile(found, probs).tolist())
-    whole = stats.quantiles(df, [], "v", probs, distinct_limit=limit, buckets=16).first()[0]
+    whole = stats.quantiles(df, [], "v", probs, parts=parts).first()[0]
     assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), probs).tolist())
 
 
@@ -192,12 +193,12 @@ def test_binomial_interval_matches_standard_error(spark):
     assert rows(again) == rows(bootstrap.binomial_intervals(df, ["g"], {"t": ("k", "n")}))
 
 
-@pytest.mark.parametrize("limit", [10**6, 10])
-def test_bootstrap_of_means(spark, limit):
+@pytest.mark.parametrize("size", [4096, 10])
+def test_bootstrap_of_means(spark, size):
     rng = np.random.default_rng(2)
     groups = {"a": rng.normal(3, 2, 600), "b": np.full(50, 7.0)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "g string, v double")
-    got = {r.g: r for r in bootstrap.bootstrap_mean(df, ["g"], "v", distinct_limit=limit).collect()}
+    got = {r.g: r for r in bootstrap.bootstrap_mean(df, ["g"], "v", part_values=size).collect()}
     a = groups["a"]
     error = 1.96 * a.std(ddof=1) / len(a) ** 0.5
     assert (got["a"].mean, got["a"].n) == (pytest.approx(a.mean()), 600)
@@ -269,15 +270,20 @@ def test_window_and_box_lookup(spark):
 
 def test_centring_and_contrasts(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 3), ("b", 8.0, 1)], "g string, v double, n int")
-    levels = coding.alphabetical_levels(df, "g")
-    out = coding.centre(df, {"cv": "v", "cg": coding.category_code("g", levels)})
+    coded = coding.with_alphabetical_code(df, "g", "code")
+    out = coding.centre(coded, {"cv": "v", "cg": "code"})
     assert [round(r.cv, 9) for r in out.orderBy("v").collect()] == [-3.0, -1.0, 4.0]
     assert [round(r.cg, 9) for r in out.orderBy("v").collect()] == [round(1 - 4 / 3, 9)] * 2 + [round(2 - 4 / 3, 9)]
     keyed = coding.centre(df, {"cv": "v"}, ["g"], weight="n")
     assert sorted(r.cv for r in keyed.collect()) == [-1.5, 0.0, 0.5]
-    assert list(coding.dummies("g", levels, "a")) == ["g_b"]
-    with pytest.raises(ValueError):
-        coding.alphabetical_levels(df, "g", limit=1)
+    assert list(coding.dummies("g", ["a", "b"], "a")) == ["g_b"]
+    assert rows(coding.centre(coded, {"x": coding.category_code("g", ["a", "b"]) - F.col("code")}).select("x")) == [(0.0,)] * 3
+    some = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert sorted(r.cv for r in coding.centre(some, {"cv": "v"}, ["g"]).collect()) == [-1.0, 0.0, 1.0]
+    many = spark.range(20_000).select(F.format_string("k%05d", "id").alias("g")).unionByName(some.select("g"))
+    found = coding.with_alphabetical_code(many, "g", "code")
+    assert found.where("g IS NOT NULL AND g <> 'a' AND code <> cast(substring(g, 2) AS int) + 2").count() == 0
+    assert {(r.g, r.code) for r in found.where("g IS NULL OR g = 'a'").collect()} == {(None, None), ("a", 1)}
 
 
 def test_least_squares_against_numpy(spark):
@@ -377,11 +383,11 @@ def test_models_without_rows_or_errors(spark):
     assert all(r.vif > 1e6 for r in inflation)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_quantiles_keep_the_null_group(spark, limit):
+@pytest.mark.parametrize("parts", [None, 9])
+def test_quantiles_keep_the_null_group(spark, parts):
     data = [("a", float(i)) for i in range(9)] + [(None, float(i)) for i in range(0, 50, 2)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = stats.quantiles(df, ["g"], "v", (0.25, 0.5), mean="m", distinct_limit=limit, buckets=4).collect()
+    got = stats.quantiles(df, ["g"], "v", (0.25, 0.5), mean="m", parts=parts).collect()
     assert {r.g: (*r.quantiles, r.m) for r in got} == {"a": (2.0, 4.0, 4.0), None: (12.0, 24.0, 24.0)}
 
 
@@ -395,5 +401,44 @@ def test_hot_numbering_by_other_types(spark, kind):
         "boolean": F.col("id") >= 20,
     }[kind]
     df = base.withColumn("o", order)
-    got = ranking.number_within(df, ["w"], ["o", "id"], hot_rows=1).collect()
+    got = ranking.number_within(df, ["w"], ["o", "id"], parts=7).collect()
     assert all(r.trial_number == r.id + 1 for r in got) and len(got) == 40
+
+
+def test_bootstrap_has_one_law_at_every_size(spark):
+    """Variances of replicate means follow from drawing n rows with replacement, in one part and in very many."""
+    rng = np.random.default_rng(8)
+    groups = {"few": rng.exponential(2, 100), "many": rng.exponential(2, 100_000), None: rng.normal(5, 1, 5_000)}
+    df = spark.createDataFrame(
+        spark.sparkContext.parallelize([(k, float(v)) for k, vs in groups.items() for v in vs], 4), "g string, v double"
+    )
+    for size in (64, 200_000):
+        got = {r.g: r for r in bootstrap.bootstrap_mean(df, ["g"], "v", part_values=size).collect()}
+        assert set(got) == set(groups)
+        for key, values in groups.items():
+            error = 1.96 * values.std() / len(values) ** 0.5
+            assert got[key].n == len(values) and got[key].mean == pytest.approx(values.mean())
+            assert got[key].CILow == pytest.approx(error, rel=0.2) and got[key].CIHigh == pytest.approx(error, rel=0.2)
+    once = {tuple(r) for r in bootstrap.bootstrap_mean(df, ["g"], "v", part_values=64).collect()}
+    again = {tuple(r) for r in bootstrap.bootstrap_mean(df.repartition(3), ["g"], "v", part_values=64).collect()}
+    assert {r[0]: pytest.approx(r[1:], rel=1e-9) for r in once} == {r[0]: r[1:] for r in again}
+    whole = bootstrap.bootstrap_mean(df, [], "v", part_values=64).first()
+    assert whole.n == 105_100
+
+
+def test_replicates_draw_exactly_as_many_rows(spark):
+    """Values of a constant group add up to n in every replicate, over all parts of the tree."""
+    df = spark.range(3000).select((F.col("id") % 2000).cast("double").alias("v"))
+    cells = df.groupBy("v").agg(F.count("*").alias("_c")).select(F.lit(1).alias("_all"), F.col("v").alias("_v"), "_c")
+    found = bootstrap._group_sizes(cells, ["_all"], 16).first()
+    assert (found.n, found._depth) == (3000, 7)
+    moved = bootstrap.bootstrap_mean(df.withColumn("v", F.col("v") * 0 + 1), [], "v", part_values=1).first()
+    assert (moved.mean, moved.CILow, moved.CIHigh) == (1.0, 0.0, 0.0)
+    wide = bootstrap.bootstrap_mean(df.withColumn("v", 1e6 + F.col("v") / 1e6), [], "v", part_values=16).first()
+    assert abs(wide.CILow) < 1e-3 and abs(wide.CIHigh) < 1e-3
+
+
+def test_no_plan_orders_a_whole_key(spark):
+    df = spark.createDataFrame(hot_rows(200), "w int, o int, id int")
+    plan = ranking.number_within(df, ["w"], ["o"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rank(" not in plan
