@@ -24,6 +24,33 @@ def _stream(spark, sf, batches: int = 4):
     return G.read_samples(spark, folder, events.schema, files // batches)
 
 
+def _slices(spark, sf, number: int = 4):
+    """The whole event table in ``number`` stretches of time, to arrive one after the other."""
+    events = S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    micros = F.unix_micros("ts")
+    shares = [i / number for i in range(1, number)]
+    cuts = events.agg(F.percentile_approx(micros, shares, 10_000)).first()[0] or []
+    place = sum((F.coalesce(micros >= cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    placed = events.withColumn("_slice", place)
+    return [placed.where(F.col("_slice") == i).drop("_slice") for i in range(number)]
+
+
+def _end_of_recording(slices):
+    """A single row ten days after the last sample: it closes all trials and bins but its own."""
+    latest = slices[-1].agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).where("ts IS NOT NULL")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in slices[-1].schema if f.name != "ts"]
+    return latest.select(*rest, "ts").select(*slices[-1].columns)
+
+
+def _arrive(spark, slices, run):
+    """Append the slices to a folder one by one; ``run`` continues the same query after each. All its progress."""
+    folder, progress = work_dir(spark, "arrivals"), []
+    for rows in slices:
+        rows.write.mode("append").parquet(folder)
+        progress += run(G.read_samples(spark, folder, rows.schema))
+    return progress
+
+
 _EPOCH_MS = "epoch_us(ts) // 1000"
 
 
@@ -57,10 +84,19 @@ def _bin_table(found):
 
 @query("J2", _BIN_SQL)
 def streamed_look_bins(spark, sf):
-    """Hourly look shares of the stream; each batch writes only the bins it changed."""
-    table, checkpoint = work_dir(spark, "bins"), work_dir(spark, "bins-checkpoint")
-    bins = G.look_bins(_stream(spark, sf), "ts", "1 hour", [], _hits())
-    return _bin_table(G.upsert_results(bins, table, checkpoint, ["bin"]))
+    """Hourly look shares of the stream; each batch writes only the bins it changed, closed ones leave the state."""
+    table, checkpoint, schema = work_dir(spark, "bins"), work_dir(spark, "bins-checkpoint"), None
+
+    def run(stream):
+        nonlocal schema
+        bins = G.look_bins(stream, "ts", "1 hour", [], _hits(), late_by="10 minutes")
+        schema = bins.schema
+        progress = G.upsert(bins, table, checkpoint)
+        G.compact(spark, table, schema, ["bin"])
+        return progress
+
+    _arrive(spark, _slices(spark, sf), run)
+    return _bin_table(G.keyed_rows(spark, table, schema, ["bin"]))
 
 
 @query("J2", _BIN_SQL)
@@ -96,10 +132,16 @@ def trial_sessions_batch(spark, sf):
     f"SELECT user_id, min(t) AS start_ms, count(*) AS n_samples FROM ({_SESSION_SQL}) GROUP BY user_id, session_no",
 )
 def streamed_trial_sessions(spark, sf):
-    """The same sessions from the stream; the session column is grouped whole."""
+    """The same sessions from the stream, each written once when the watermark has passed it."""
     table, checkpoint = work_dir(spark, "sessions"), work_dir(spark, "sessions-checkpoint")
-    sessions = G.trial_windows(_stream(spark, sf), "ts", "2 hours", ["user_id"])
-    found = G.complete_results(sessions, table, checkpoint)
+    slices = _slices(spark, sf)
+
+    def run(stream):
+        sessions = G.trial_windows(stream, "ts", "2 hours", ["user_id"], late_by="10 minutes")
+        return G.append_results(sessions, table, checkpoint)
+
+    _arrive(spark, [*slices, _end_of_recording(slices)], run)
+    found = spark.read.parquet(table)
     return found.select("user_id", F.expr("unix_micros(session.start) div 1000").alias("start_ms"), "n_samples")
 
 
@@ -121,3 +163,71 @@ def closed_stream_bins(spark, sf):
     return spark.read.parquet(table).select(
         F.expr("unix_micros(bin.start) div 1000").alias("bin_ms"), "event_type", "n"
     )
+
+
+_RELATIVE_SQL = f"""SELECT user_id, event_id, event_type, CAST(floor((us - min(us) OVER (PARTITION BY user_id, session_no)) / 1000) AS BIGINT) AS since_first_ms
+    FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS session_no FROM (
+        SELECT user_id, event_id, event_type, us,
+            CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) < {_GAP_MS * 1000} THEN 0 ELSE 1 END AS new
+        FROM (SELECT *, epoch_us(ts) AS us FROM events)))"""
+
+
+def _relative(spark, sf):
+    table, checkpoint = work_dir(spark, "relative"), work_dir(spark, "relative-checkpoint")
+    slices = _slices(spark, sf)
+
+    def run(stream):
+        samples = G.relative_samples(stream, "ts", "2 hours", ["user_id"], "10 minutes", ["event_id", "event_type"])
+        return G.append_results(samples, table, checkpoint)
+
+    _arrive(spark, [*slices, _end_of_recording(slices)], run)
+    return spark.read.parquet(table)
+
+
+@query("J2 J3 F14 D9", _RELATIVE_SQL)
+def streamed_relative_samples(spark, sf):
+    """Samples of the stream timed from the first sample of their trial."""
+    return _relative(spark, sf).select("user_id", "event_id", "event_type", "since_first_ms")
+
+
+@query(
+    "J2 D10",
+    f"""SELECT CAST(floor(since_first_ms / 600000) * 600000 AS BIGINT) AS bin_ms, count(*) AS n, {r("avg(CAST(event_type = 'click' AS INT))")} AS click_prop,
+        {r("avg(CAST(event_type = 'view' AS INT))")} AS view_prop FROM ({_RELATIVE_SQL}) GROUP BY 1""",
+)
+def streamed_relative_bins(spark, sf):
+    """Look shares in ten-minute bins since the first sample of the trial."""
+    found = _relative(spark, sf).withColumn("bin_ms", (F.floor(F.col("since_first_ms") / 600000) * 600000).cast("bigint"))
+    shares = [F.avg(hit.cast("int")).alias(f"{name}_prop") for name, hit in _hits().items()]
+    return rounded(found.groupBy("bin_ms").agg(F.count(F.lit(1)).alias("n"), *shares))
+
+
+@query(
+    "J4",
+    f"""SELECT bin_ms, event_type, count(*) FILTER (NOT held) AS n, CAST(any_value(dropped) AS BIGINT) AS dropped FROM (
+        SELECT *, sum(CAST(held AS INT)) OVER () AS dropped FROM (
+            SELECT event_type, {_EPOCH_MS} // 3600000 * 3600000 AS bin_ms,
+                ts < (SELECT quantile_disc(ts, 0.125) FROM events) AND event_id % 10 = 3 AS held FROM events))
+    GROUP BY bin_ms, event_type HAVING count(*) FILTER (NOT held) > 0""",
+)
+def late_samples(spark, sf):
+    """Samples that arrive long after their time are in no bin, and the stream's progress counts them.
+
+    A tenth of the first eighth of the samples is held back and arrives with the last slice.
+    """
+    slices = _slices(spark, sf)
+    table, checkpoint = work_dir(spark, "late"), work_dir(spark, "late-checkpoint")
+    early = S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    until = early.agg(F.expr("percentile_disc(0.125) WITHIN GROUP (ORDER BY unix_micros(ts))")).scalar()
+    held = F.coalesce((F.unix_micros("ts") < until) & (F.col("event_id") % 10 == 3), F.lit(False))
+    late = slices[0].where(held)
+    arriving = [slices[0].where(~held), *slices[1:-1], slices[-1].unionByName(late), _end_of_recording(slices)]
+
+    def run(stream):
+        once = G.unique_samples(stream, "ts", "10 minutes", ["event_id"])
+        return G.append_results(G.look_bins(once, "ts", "1 hour", ["event_type"], _hits()), table, checkpoint)
+
+    dropped = G.dropped_late(_arrive(spark, arriving, run))
+    return spark.read.parquet(table).select(
+        F.expr("unix_micros(bin.start) div 1000").alias("bin_ms"), "event_type", "n", F.lit(dropped).cast("bigint").alias("dropped")
+    )
