@@ -13,7 +13,7 @@ from gazeframe.functions import aoi, scores, timebins
 from gazeframe.operators import alignment
 from gazeframe.operators.calibration import calibration_accuracy
 from gazeframe.operators.coding import centre, dummies, interactions, with_alphabetical_code
-from gazeframe.operators.lookup import lookup_box, lookup_window
+from gazeframe.operators.lookup import lookup_box, lookup_cell, lookup_interval, lookup_window
 from gazeframe.operators.proportions import region_counts
 from gazeframe.operators.reshape import melt_measures
 from gazeframe.operators.stats import counts
@@ -230,6 +230,15 @@ _WINDOW_CASE = """CASE WHEN time_rel_click_onset < 0 THEN 'preview' WHEN time_re
     WHEN time_rel_noun_onset < 0 THEN 'name' ELSE 'noun' END"""
 
 
+@query(
+    "D9",
+    sql("aligned", "SELECT workerid, slide_number, webgazer_time, unixtlist, relative_time, unixtlist - first_unix AS relative_time_unix FROM aligned"),
+)
+def relative_unix_times(spark, sf):
+    """Milliseconds since the first sample by both of a sample's clocks."""
+    return aligned(spark, sf).select(*SAMPLE, "relative_time", "relative_time_unix")
+
+
 @query("D11", sql("aligned", f'SELECT workerid, slide_number, webgazer_time, unixtlist, {_WINDOW_CASE} AS "window" FROM aligned'))
 def window_labels(spark, sf):
     return alignment.label_windows(aligned(spark, sf)).select(*SAMPLE, "window")
@@ -250,6 +259,47 @@ def window_lookup(spark, sf):
     return lookup_window(timed, long, ["audio"], list(onset_of), "since_preview").select(*SAMPLE, "window")
 
 
+@query(
+    "E7",
+    """SELECT s.event_id, i.event_id AS interval FROM (
+        SELECT *, epoch_us(ts) AS t FROM events WHERE event_id % 3 <> 0) s
+    ASOF LEFT JOIN (SELECT max(event_id) AS event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 3 = 0 GROUP BY user_id, epoch_us(ts)) i
+        ON s.user_id = i.user_id AND s.t >= i.t""",
+)
+def interval_lookup(spark, sf):
+    """Events in stretches that begin at every third event of their user: any number of intervals per key."""
+    events = S.table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    starts = events.where("event_id % 3 = 0").select("user_id", F.col("t").alias("start"), F.col("event_id").alias("name"))
+    found = lookup_interval(events.where("event_id % 3 <> 0"), starts, ["user_id"], "t", "start", "name")
+    return found.select("event_id", "interval")
+
+
+_BOXES_OF = """SELECT p_partkey AS box, p_size % 5 AS layout, p_partkey * 37 % 1500 - 100.0 AS x_min, p_partkey * 53 % 900 - 50.0 AS y_min,
+    CASE WHEN p_partkey % 500 = 7 THEN 5000.0 ELSE 10.0 + p_partkey % 90 END AS side FROM part"""
+
+
+@query(
+    "E8",
+    sql(
+        "gaze_samples",
+        f"""SELECT workerid, slide_number, webgazer_time, unixtlist, min(box) AS look
+        FROM (SELECT row_number() OVER () AS id, * FROM gaze_samples) s LEFT JOIN (
+            SELECT box, layout, CAST(x_min AS DOUBLE) AS x_min, CAST(y_min AS DOUBLE) AS y_min, CAST(side AS DOUBLE) AS side FROM ({_BOXES_OF})) b
+            ON s.workerid % 5 = b.layout AND s.x > x_min AND s.x < x_min + side AND s.y > y_min AND s.y < y_min + side
+        GROUP BY id, workerid, slide_number, webgazer_time, unixtlist""",
+    ),
+)
+def cell_lookup(spark, sf):
+    """Samples in any number of overlapping boxes per layout, some wider than the screen."""
+    S.table(spark, sf, "part").createOrReplaceTempView("_parts")
+    boxes = spark.sql(_BOXES_OF.replace("FROM part", "FROM _parts"))
+    sides = {c: F.col(c).cast("double") for c in ("x_min", "y_min", "side")}
+    ends = {"x_max": F.col("x_min") + F.col("side"), "y_max": F.col("y_min") + F.col("side")}
+    gaze_ = S.gaze_samples(spark, sf).withColumn("layout", F.col("workerid") % 5)
+    found = lookup_cell(gaze_, boxes.withColumns(sides).withColumns(ends), ["layout"], cell=64)
+    return found.select(*SAMPLE, "look")
+
+
 @query("E8", sql("looks", "SELECT workerid, slide_number, webgazer_time, unixtlist, look FROM looks"))
 def box_lookup(spark, sf):
     """The same looks from a table of boxes per window size."""

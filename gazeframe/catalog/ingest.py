@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from gazeframe.catalog import standins as S
 from gazeframe.catalog.registry import query
 from gazeframe.catalog.standins import sql
+from gazeframe.operators.explode import explode_parallel
 from gazeframe.operators.relational import left_join_renamed
 from gazeframe.session import work_dir
 from gazeframe.sources import schemas
@@ -71,7 +72,7 @@ def onset_dimension(spark, sf):
 
 
 _SUBMISSION = (
-    "trials array<struct<slide_number: bigint, trial_type: string, response: string, trial_start: bigint>>,"
+    "trials array<struct<slide_number: bigint, trial_type: string, condition: string, response: string, trial_start: bigint>>,"
     "system struct<Browser: string, windowW: int, windowH: int>, condition string,"
     "subject_information struct<age: int, accuracy: int, camblock: string>, time_in_minutes double"
 )
@@ -85,6 +86,7 @@ def _submissions(spark, sf):
         return F.struct(
             (F.col("trial") * 2 + step).alias("slide_number"),
             F.col("ExpFiller").alias("trial_type"),
+            F.concat("condition", F.lit(str(step))).alias("condition"),
             F.get(F.split(F.regexp_replace("response", r"[\[\]' ]", ""), ","), F.lit(step)).alias("response"),
             (F.lit(1600000000000) + F.col("trial") * 1000 + step).alias("trial_start"),
         )
@@ -116,7 +118,7 @@ def _submissions(spark, sf):
     sql(
         "choice_trials",
         """SELECT workerid, 'Firefox' AS system_Browser,
-            CAST(1280 + workerid % 4 * 10 AS INT) AS system_windowW, 750 AS system_windowH, condition,
+            CAST(1280 + workerid % 4 * 10 AS INT) AS system_windowW, 750 AS system_windowH, condition AS submission_condition, concat(condition, step) AS condition,
             CAST(20 + workerid % 50 AS INT) AS subject_information_age,
             CAST(trial % 101 AS INT) AS subject_information_accuracy, 'No' AS subject_information_camblock,
             trial % 40 / 2 AS time_in_minutes, trial * 2 + step AS slide_number, ExpFiller AS trial_type,
@@ -130,6 +132,34 @@ def nested_submissions(spark, sf):
     return flatten_submissions(parse_submissions(_submissions(spark, sf), "submission", _SUBMISSION))
 
 
+@query(
+    "A6",
+    """SELECT 'c_custkey,name' AS line UNION ALL
+    SELECT concat(c_custkey, ',', CASE WHEN c_custkey % 3 = 0 THEN chr(34) || 'a, ' || chr(34) || chr(34) || c_name || chr(34) || chr(34) || chr(34) WHEN c_custkey % 3 = 1 THEN c_name ELSE 'NA' END) FROM customer""",
+)
+def csv_lines_quoted(spark, sf):
+    """CSV text with a header, of cells with separators and quotes in them."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('a, "'), "c_name", F.lit('"'))).when(
+        F.col("c_custkey") % 3 == 1, F.col("c_name")
+    )
+    return csv_lines(S.table(spark, sf, "customer").select("c_custkey", name.alias("name")), header=True)
+
+
+@query(
+    "C3 C1",
+    """SELECT o_orderkey, unnest([CAST(o_orderkey AS BIGINT), 2, o_custkey, 7]) AS a,
+        unnest([o_orderkey + 0.5, 2.25, CAST(o_custkey AS DOUBLE), NULL]) AS b FROM orders""",
+)
+def broken_gaze_lists(spark, sf):
+    """List text of several brackets, fractions in a whole-number list, and an item that is no number."""
+    orders = S.table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.format_string("[%d, 2.75], [%d.0,7]", F.col("o_orderkey"), F.col("o_custkey")).alias("a"),
+        F.format_string("[%d.5, 2.25], [%d, NaT]", F.col("o_orderkey"), F.col("o_custkey")).alias("b"),
+    )
+    return explode_parallel(orders, {"a": "bigint", "b": "double"}, sep=",")
+
+
 @query(
     "A4",
     """WITH part1 AS (SELECT c_custkey AS workerid, 'A' AS speaker_cond FROM customer),

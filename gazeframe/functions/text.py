@@ -26,16 +26,17 @@ def split_fixed(text: Column, names: Sequence[str], sep: str = ",") -> list[Colu
 def parse_list(text: Column, type_name: str, sep: str = ",") -> Column:
     """Bracketed list text to a typed array; an item that is no number becomes NULL.
 
-    Numbers are read as a JSON array where the text is one. Other text is split;
-    casts ignore blanks around an item, so one character is enough for ``sep``.
+    Brackets anywhere in the text are ignored, so lists that were put together item by item lose nothing. Whole
+    numbers are read as decimals first: a fraction in an integer list is cut off, not lost. Casts ignore blanks
+    around an item, so one character is enough for ``sep``.
     """
-    body = F.btrim(text, F.lit("[] "))
-    items = F.transform(F.split(body, sep), lambda item: item.try_cast(type_name))
-    array = f"array<{type_name}>"
-    split = F.when(body == "", F.array().cast(array)).otherwise(items)
-    if sep != "," or type_name == "string":
-        return split
-    return F.coalesce(F.from_json(text, array), split)
+    body = F.btrim(F.translate(text, "[]", ""))
+    whole = type_name in ("tinyint", "smallint", "int", "bigint")
+
+    def item(part: Column) -> Column:
+        return part.try_cast("decimal(38,9)").try_cast(type_name) if whole else part.try_cast(type_name)
+
+    return F.when(body == "", F.array().cast(f"array<{type_name}>")).otherwise(F.transform(F.split(body, sep), item))
 
 
 def to_number(text: Column, type_name: str = "double") -> Column:

@@ -46,14 +46,19 @@ def align(
     preview_ms: float = PREVIEW_MS,
     units: Mapping[str, float] = {},
     onsets: Sequence[str] = ONSETS,
+    unix: tuple[str, str] = ("unixtlist", "first_unix"),
 ) -> DataFrame:
-    """Add ``relative_time`` and ``time_rel_<onset>_onset`` columns.
+    """Add ``relative_time`` and ``time_rel_<onset>_onset`` columns, and ``relative_time_unix``.
+
+    The last is by the other clock of the samples, where ``unix`` names columns of ``df``.
 
     ``shift=200`` reads the shifted onset columns; ``units`` gives a factor for
     onsets that are kept in seconds.
     """
     suffix = f"_{shift}shift" if shift else ""
     added = {"relative_time": F.col(elapsed) - F.col(first)}
+    if set(unix) <= set(df.columns):
+        added["relative_time_unix"] = F.col(unix[0]) - F.col(unix[1])
     for onset in onsets:
         added[f"time_rel_{onset}_onset"] = since_onset(
             F.col(elapsed),

@@ -1,18 +1,21 @@
 """Samples against interval and box tables.
 
-Both tables hold a few named entries per key (words of an audio file, boxes of a
-layout). They are first brought to one wide row per key, so a sample meets one
-row by an equi-join: no theta join, no row per pair, no sample id needed.
+A sample always meets one row by an equi-join: no theta join, no row per pair, no
+sample id needed. ``lookup_window`` and ``lookup_box`` bring a few named entries per
+key (words of an audio file, boxes of a layout) to one wide row. For any number of
+entries, ``lookup_interval`` searches a key's sorted starts by halving, and
+``lookup_cell`` brings boxes to the cells of a grid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.functions.aoi import first_box
+from gazeframe.operators.relational import join_null_safe, settle
 
 
 def lookup_window(
@@ -68,3 +71,100 @@ def lookup_box(
     return joined.withColumn(out, first_box(F.col(x), F.col(y), columns)).drop(
         *[f"_box_{name}" for name in names]
     )
+
+
+def _last_not_above(starts: Column, at: Column) -> Column:
+    """Place of the last of the sorted ``starts`` that is not above ``at``, -1 if there is none."""
+
+    def halve(s: Column, _: Column) -> Column:
+        half = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.get(starts, half) > at
+        done = s["lo"] >= s["hi"]
+        return F.struct(
+            F.when(done | above, s["lo"]).otherwise(half + 1).alias("lo"),
+            F.when(done | ~above, s["hi"]).otherwise(half).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
+    begin = F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi"))
+    return F.aggregate(steps, begin, halve)["lo"] - 1
+
+
+def lookup_interval(
+    samples: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    start: str,
+    name: str,
+    end: str | None = None,
+    out: str = "interval",
+) -> DataFrame:
+    """Add the ``name`` of the interval that holds each sample's time, NULL if none does.
+
+    ``intervals`` has any number of rows per key. An interval begins at ``start`` and lasts to the next start of
+    its key, or before ``end`` if that is named and not NULL. Of intervals with one start the largest name counts.
+    A NULL key is a key; intervals without start are left out; a sample without time is in none. A key's starts
+    are gathered in one sorted row, and a sample looks at as many of them as its number has binary digits.
+    """
+    entry = F.struct(
+        F.col(start).alias("s"), F.col(name).alias("n"), (F.col(end) if end else F.lit(None).cast("double")).alias("e")
+    )
+    gathered = (
+        intervals.where(F.col(start).isNotNull())
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+        .select(*keys, "_entries", F.col("_entries.s").alias("_starts"))
+    )
+    joined = join_null_safe(samples, gathered, keys, "left")
+    placed = settle(joined, {"_at": _last_not_above(F.col("_starts"), F.col(time))})
+    found = F.when(F.col("_at") >= 0, F.get("_entries", F.col("_at")))
+    inside = found["e"].isNull() | (F.col(time) < found["e"])
+    return placed.withColumn(out, F.when(F.col(time).isNotNull() & inside, found["n"])).drop("_at", "_entries", "_starts")
+
+
+def lookup_cell(
+    samples: DataFrame,
+    boxes: DataFrame,
+    keys: Sequence[str],
+    cell: float,
+    x: str = "x",
+    y: str = "y",
+    name: str = "box",
+    order: str = "box",
+    out: str = "look",
+    most_cells: int = 1024,
+) -> DataFrame:
+    """Add the ``name`` of the first box by ``order`` that strictly contains each point, NULL if none does.
+
+    ``boxes`` has x_min, x_max, y_min and y_max and any number of rows per key. Boxes are brought to the cells of
+    a grid with sides of ``cell``, best about the size of a common box, and a point is held against the boxes of
+    its own cell. A box over more than ``most_cells`` cells is kept once for its key, and every point of the key
+    is held against it. A NULL key is a key; boxes without a side and points without a place meet nothing.
+    """
+    sides = ("x_min", "x_max", "y_min", "y_max")
+
+    def at(column: Column) -> Column:
+        return F.floor(column / cell).cast("long")
+
+    spans = (at(F.col("x_max")) - at(F.col("x_min")) + 1.0) * (at(F.col("y_max")) - at(F.col("y_min")) + 1.0)
+    entry = F.struct(F.col(order).alias("o"), F.col(name).alias("n"), *sides)
+    whole = boxes.where("x_min < x_max AND y_min < y_max").select(*keys, *sides, entry.alias("_box"), spans.alias("_cells"))
+    across = F.explode(F.sequence(at(F.col("x_min")), at(F.col("x_max")))).alias("_cx")
+    small = whole.where(F.col("_cells") <= most_cells).select(*keys, "_box", "y_min", "y_max", across)
+    down = F.explode(F.sequence(at(F.col("y_min")), at(F.col("y_max")))).alias("_cy")
+    listed = F.array_sort(F.collect_list("_box"))
+    cells = small.select(*keys, "_box", "_cx", down).groupBy(*keys, "_cx", "_cy").agg(listed.alias("_near"))
+    wide = whole.where(F.col("_cells") > most_cells).groupBy(*keys).agg(listed.alias("_wide"))
+
+    def first(found: str) -> Column:
+        def holds(b: Column) -> Column:
+            px, py = F.col(x), F.col(y)
+            return (px > b["x_min"]) & (px < b["x_max"]) & (py > b["y_min"]) & (py < b["y_max"])
+
+        return F.get(F.filter(found, holds), F.lit(0))
+
+    placed = samples.withColumns({"_cx": at(F.col(x)), "_cy": at(F.col(y))})
+    met = join_null_safe(join_null_safe(placed, cells, [*keys, "_cx", "_cy"], "left"), wide, keys, "left")
+    least = settle(met, {"_hit": F.array_min(F.array_compact(F.array(first("_near"), first("_wide"))))})
+    return least.withColumn(out, F.col("_hit.n")).drop("_cx", "_cy", "_near", "_wide", "_hit")

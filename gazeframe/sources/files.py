@@ -56,10 +56,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def csv_lines(df: DataFrame, sep: str = ",") -> DataFrame:
-    """The rows as CSV text, one ``line`` each, for a text sink or a console."""
-    cells = [F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NA")) for name in df.columns]
-    return df.select(F.concat_ws(sep, *cells).alias("line"))
+def csv_lines(df: DataFrame, sep: str = ",", header: bool = False) -> DataFrame:
+    """The rows as CSV text, one ``line`` each, for a text sink or a console; NULL is ``NA``.
+
+    Cells with separators, quotes or line breaks are quoted, quotes in them doubled. ``header`` puts a line of the
+    column names in front, in a partition of its own.
+    """
+    options = {"sep": sep, "nullValue": "NA", "escape": '"', "emptyValue": ""}
+    cells = [F.col(f"`{name}`").cast("string").alias(f"c{i}") for i, name in enumerate(df.columns)]
+    lines = df.select(F.to_csv(F.struct(*cells), options).alias("line"))
+    if not header:
+        return lines
+    names = F.struct(*[F.lit(name).alias(f"c{i}") for i, name in enumerate(df.columns)])
+    return df.sparkSession.range(1).select(F.to_csv(names, options).alias("line")).unionByName(lines)
 
 
 def read_onsets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

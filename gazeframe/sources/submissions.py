@@ -20,8 +20,10 @@ def flatten_submissions(
 ) -> DataFrame:
     """One row per trial; fields of each struct in ``prefixed`` repeat with its name in front.
 
-    A submission without trials keeps one row, with NULL trial fields.
+    A submission without trials keeps one row, with NULL trial fields. A field of the submission that its trials
+    have too, such as ``condition``, becomes ``submission_<name>``; the trial's keeps its name.
     """
+    own = set(df.schema[trials].dataType.elementType.names)
     columns = []
     for field in df.schema.fields:
         if field.name == trials:
@@ -32,5 +34,5 @@ def flatten_submissions(
                 for sub in field.dataType.names
             ]
         else:
-            columns.append(F.col(field.name))
+            columns.append(F.col(field.name).alias(f"submission_{field.name}" if field.name in own else field.name))
     return df.select(*columns, F.inline_outer(trials))
