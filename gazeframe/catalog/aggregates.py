@@ -14,6 +14,7 @@ from gazeframe.functions import scores
 from gazeframe.functions.aoi import Layout
 from gazeframe.operators import bootstrap, exclusions, proportions, stats
 from gazeframe.operators.alignment import bin_time, mean_onsets
+from gazeframe.operators.ranking import number_within
 from gazeframe.operators.reshape import melt_measures
 from gazeframe.plans import belief, choice, gaze
 
@@ -359,6 +360,12 @@ def selection_proportions_two_regions(spark, sf):
     return rounded(melt_measures(found, keys, _TWO, {"proportion": "{}_prop"}))
 
 
+def _clicks_by_half(spark, sf):
+    numbered = number_within(scored_trials(spark, sf), ["workerid"], ["trial"])
+    halves = numbered.withColumn("trial_group", F.when(F.col("trial_number") < 6, "first").otherwise("second"))
+    return choice.long_clicks(halves.where(F.col("ExpFiller") == "Exp"), ["condition", "size", "trial_group"])
+
+
 @query(
     "F11 D14 G1",
     sql(
@@ -372,13 +379,8 @@ def selection_proportions_two_regions(spark, sf):
 )
 def selection_proportions_by_half(spark, sf):
     """By half of a worker's log; the stand-in has about ten trials per worker."""
-    from gazeframe.operators.ranking import number_within
-
-    numbered = number_within(scored_trials(spark, sf), ["workerid"], ["trial"])
-    halves = numbered.withColumn("trial_group", F.when(F.col("trial_number") < 6, "first").otherwise("second"))
     keys = ["condition", "size", "click_number", "trial_group"]
-    rows = choice.long_clicks(halves.where(F.col("ExpFiller") == "Exp"), ["condition", "size", "trial_group"])
-    found = proportions.look_proportions(rows, keys, _TWO)
+    found = proportions.look_proportions(_clicks_by_half(spark, sf), keys, _TWO)
     return rounded(found.select(*keys, "target_prop", "competitor_prop"))
 
 
@@ -606,3 +608,102 @@ def proportions_compatible_mode(spark, sf):
     found = bin_time(gaze.aligned_looks(gaze.add_onsets(flipped, S.onsets(spark, sf))))
     counted = proportions.look_proportions(found, ["condition"], _TWO)
     return rounded(counted.select("condition", "target_prop", "competitor_prop"))
+
+
+def _limits(found, keys, regions):
+    """Proportions with the limits of their bootstrap bands, one row per key and region."""
+    banded = bootstrap.binomial_intervals(found, keys, {g: (f"k_{g}", f"n_{g}") for g in regions}, resamples=None)
+    measures = {"n": "n_{}", "proportion": "{}_prop", "low": "{}_CILow", "high": "{}_CIHigh"}
+    long = melt_measures(banded, keys, regions, measures)
+    ymin, ymax = scores.band(F.col("proportion"), F.col("low"), F.col("high"))
+    named = [F.col(k).cast("double").alias(k) if k == "binned_time_relative" else F.col(k) for k in keys]
+    return rounded(long.select(*named, "region", "n", "proportion", ymin.alias("ymin"), ymax.alias("ymax")))
+
+
+def _limits_sql(view, keys, regions, where="TRUE", suffix="_look", source=None) -> str:
+    """The same by adding up the binomial law of every cell until a tail is reached."""
+    head = ", ".join(f'"{k}"' for k in keys)
+    cells = " UNION ALL ".join(
+        f"""SELECT {head}, '{g}' AS region, count({g}{suffix}) AS n, CAST(sum({g}{suffix}) AS BIGINT) AS k
+            FROM {source or view} WHERE {where} GROUP BY {head}"""
+        for g in regions
+    )
+    chance = """CASE WHEN k = 0 THEN CAST(i = 0 AS INT) WHEN k = n THEN CAST(i = n AS INT)
+        ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln(1 - k / n)) END"""
+    law = f"""(SELECT *, sum({chance}) OVER (PARTITION BY {head}, region ORDER BY i) AS c
+        FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM ({cells})))"""
+    return sql(
+        view,
+        f"""SELECT {head}, region, n, {r('k / n')} AS proportion, {r('min(i) FILTER (c >= 0.025) / n')} AS ymin,
+            {r('min(i) FILTER (c >= 0.975) / n')} AS ymax FROM {law} GROUP BY {head}, region, n, k""",
+    )
+
+
+_BIN_KEYS = ("condition", "size", "binned_time_relative")
+
+
+@query("F10 D20 F9", _limits_sql("binned", _BIN_KEYS, _ALL, _ANY_ALL))
+def look_proportions_with_limits(spark, sf):
+    """Bands that ever more resamples tend to: binomial quantiles."""
+    return _limits(proportions.look_proportions(binned(spark, sf), list(_BIN_KEYS), _ALL, _ALL), list(_BIN_KEYS), _ALL)
+
+
+@query("F10 D20 F9 B9", _limits_sql("binned", ("condition", "binned_time_relative"), _TWO, _ANY_TWO))
+def look_proportions_two_regions_with_limits(spark, sf):
+    """Looks at target and competitor per condition and bin, with bands."""
+    keys = ["condition", "binned_time_relative"]
+    return _limits(proportions.look_proportions(binned(spark, sf), keys, _TWO, _TWO), keys, _TWO)
+
+
+@query("F10 D20 F9 B9", _limits_sql("binned", ("condition", "camview", "binned_time_relative"), _ALL, _ANY_TWO))
+def look_proportions_camera_with_limits(spark, sf):
+    """All regions by whether the camera view covered one, with bands."""
+    keys = ["condition", "camview", "binned_time_relative"]
+    return _limits(proportions.look_proportions(binned(spark, sf), keys, _ALL, _TWO), keys, _ALL)
+
+
+_TRACKED_THREE = ("target", "competitor", "residue")
+
+
+@query(
+    "F10 D20 F9 B9",
+    _limits_sql(
+        "tracker", ("condition", "size", "time"), _TRACKED_THREE, "(targetlook = 1 OR competitorlook = 1 OR residuelook = 1)", "look"
+    ),
+)
+def tracker_proportions_with_limits(spark, sf):
+    """Tracker looks per sample index at target, competitor and residue, with bands."""
+    keys = ["condition", "size", "time"]
+    found = proportions.look_proportions(S.tracker(spark, sf), keys, _TRACKED_THREE, _TRACKED_THREE, "look")
+    return _limits(found, keys, _TRACKED_THREE)
+
+
+@query("F10 D20 F9 B9", _limits_sql("tracker", ("condition", "size", "time"), _TWO, "(targetlook = 1 OR competitorlook = 1)", "look"))
+def tracker_proportions_two_regions_with_limits(spark, sf):
+    """The same at target and competitor alone."""
+    keys = ["condition", "size", "time"]
+    return _limits(proportions.look_proportions(S.tracker(spark, sf), keys, _TWO, _TWO, "look"), keys, _TWO)
+
+
+@query("F11 F10 D20", _limits_sql("long_clicks", ("condition", "size", "click_number"), _TWO))
+def selection_proportions_with_limits(spark, sf):
+    """Selections per condition, size and step, with bands."""
+    keys = ["condition", "size", "click_number"]
+    return _limits(proportions.look_proportions(long_clicks(spark, sf), keys, _TWO), keys, _TWO)
+
+
+@query(
+    "F11 F10 D14 D20 G1",
+    _limits_sql(
+        "long_clicks",
+        ("condition", "size", "click_number", "trial_group"),
+        _TWO,
+        source="""(SELECT * FROM long_clicks JOIN (
+            SELECT trial, CASE WHEN row_number() OVER (PARTITION BY workerid ORDER BY trial) < 6 THEN 'first' ELSE 'second' END AS trial_group
+            FROM choice_trials) USING (trial))""",
+    ),
+)
+def selection_proportions_by_half_with_limits(spark, sf):
+    """Selections by half of a worker's log, with bands."""
+    keys = ["condition", "size", "click_number", "trial_group"]
+    return _limits(proportions.look_proportions(_clicks_by_half(spark, sf), keys, _TWO), keys, _TWO)

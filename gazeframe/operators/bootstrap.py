@@ -32,11 +32,25 @@ def _generator(*parts: int) -> np.random.Generator:
     return np.random.default_rng([part & 0xFFFFFFFFFFFFFFFF for part in parts])
 
 
+def binomial_quantiles(size: int, ones: int, tails: Sequence[float] = TAILS) -> np.ndarray:
+    """Quantiles of the number of ones in ``size`` draws with replacement from rows of which ``ones`` are ones."""
+    if ones in (0, size):
+        return np.full(len(tails), float(ones))
+    p = ones / size
+    # All but some 1e-30 of the draws lie this near; weights follow from one another.
+    reach = math.ceil(12 * math.sqrt(size * p * (1 - p))) + 50
+    low = max(0, ones - reach)
+    at = np.arange(low, min(size, ones + reach) + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((size - at[:-1]) / at[1:]) + math.log(p / (1 - p)))])
+    shares = np.cumsum(np.exp(logs - logs.max()))
+    return low + np.searchsorted(shares / shares[-1], tails).astype(float)
+
+
 def binomial_intervals(
     counts: DataFrame,
     keys: Sequence[str],
     hits: Mapping[str, tuple[str, str]],
-    resamples: int = RESAMPLES,
+    resamples: int | None = RESAMPLES,
     seed: int = 1,
 ) -> DataFrame:
     """Add ``<name>_CILow`` and ``<name>_CIHigh`` for 0/1 columns given as counts.
@@ -45,7 +59,8 @@ def binomial_intervals(
     number of known flags. The
     resampled mean of a 0/1 group is Binomial(n, p)/n exactly. Rows are
     independent, so this adds no shuffle. The generator starts from the key,
-    hence a recomputed row gives the same interval.
+    hence a recomputed row gives the same interval. ``resamples=None`` gives the
+    bounds that more and more resamples tend to, the quantiles of that law.
     """
     names = list(hits)
     schema = T.StructType(list(counts.schema.fields))
@@ -67,8 +82,11 @@ def binomial_intervals(
                         continue
                     size = int(size)
                     p = ones / size
-                    means = _generator(seed, number, int(key)).binomial(size, p, resamples) / size
-                    bounds = np.quantile(means, TAILS)
+                    if resamples is None:
+                        bounds = binomial_quantiles(size, int(ones)) / size
+                    else:
+                        means = _generator(seed, number, int(key)).binomial(size, p, resamples) / size
+                        bounds = np.quantile(means, TAILS)
                     low[i], high[i] = p - bounds[0], bounds[1] - p
                 out[f"{name}_CILow"], out[f"{name}_CIHigh"] = low, high
             yield out

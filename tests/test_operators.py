@@ -193,6 +193,24 @@ def test_binomial_interval_matches_standard_error(spark):
     assert rows(again) == rows(bootstrap.binomial_intervals(df, ["g"], {"t": ("k", "n")}))
 
 
+def test_limits_of_binomial_intervals(spark):
+    """The bounds are the quantiles of the law that resampled means follow, at any size."""
+    from math import comb
+
+    for n, k in ((1, 1), (5, 0), (7, 3), (60, 59), (400, 100)):
+        p = k / n
+        law = np.cumsum([comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
+        want = [int(np.argmax(law >= t - 1e-12)) for t in bootstrap.TAILS]
+        assert bootstrap.binomial_quantiles(n, k).tolist() == want
+    far = bootstrap.binomial_quantiles(10**9, 250_000_000)
+    assert (250_000_000 - far[0]) / (0.25 * 0.75 * 10**9) ** 0.5 == pytest.approx(1.96, rel=1e-3)
+    df = spark.createDataFrame([("x", 100, 400), ("z", None, 3), ("w", 0, 0)], "g string, k bigint, n bigint")
+    got = {r.g: r for r in bootstrap.binomial_intervals(df, ["g"], {"t": ("k", "n")}, resamples=None).collect()}
+    drawn = {r.g: r for r in bootstrap.binomial_intervals(df, ["g"], {"t": ("k", "n")}, resamples=20_000).collect()}
+    assert got["x"].t_CILow == pytest.approx(drawn["x"].t_CILow, abs=0.004)
+    assert got["z"].t_CILow is None and got["w"].t_CIHigh is None
+
+
 @pytest.mark.parametrize("size", [4096, 10])
 def test_bootstrap_of_means(spark, size):
     rng = np.random.default_rng(2)
