@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gazeframe.llm.text import hashes, let, paired, windows, words
 
 BUCKETS = 1 << 16
+#: Counts that each bucket has on either side before any text is read.
+PRIOR = 20.0
 #: Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
 FEWEST_WORDS = 20
@@ -21,11 +23,9 @@ MOST_REPEATED_PERCENT = 30
 
 
 def grams(words_: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of every word, and of the characters around every gap between two words."""
-    ends = paired(words_, 1, lambda a, b: F.xxhash64(F.substring(a, -2, 2), F.substring(b, 1, 2)))
-    return F.transform(
-        F.concat(hashes(words_), ends), lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    )
+    """Bucket of every word and of every two words in a row."""
+    both = let(hashes(words_), lambda h: F.concat(h, paired(h, 1, lambda a, b: F.xxhash64(a, b))))
+    return F.transform(both, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def repeated_words(hashed: Column, window: int = WINDOW) -> Column:
@@ -97,10 +97,12 @@ def trusted_sample(labels: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = 1.0) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row with the array ``w`` of log p(target) - log p(raw) per bucket, smoothed by ``prior`` counts.
 
-    Rows are summed per bucket before the shuffle; what is left is ``buckets`` rows at any input size.
+    A bucket's target count is held against the count that the raw share gives as many target n-grams, and both
+    get ``prior`` counts more. So a bucket without evidence has ratio 0, however few trusted texts there are:
+    rare words, and languages with few labels, are not held against a document. Rows are summed per bucket before the shuffle; what is left is ``buckets`` rows at any input size.
     """
     flagged = docs.select("doc_id", words(F.col("text")).alias("words")).join(
         F.broadcast(trusted), "doc_id", "left"
@@ -120,10 +122,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
         F.sum("target").alias("all_target"),
     )
 
-    def share(n: Column, total: str) -> Column:
-        return F.log((n + prior) / (F.col(total) + prior * buckets))
-
-    ratio = F.transform("rows", lambda r: share(r.target, "all_target") - share(r.raw, "all_raw"))
+    # As many target n-grams as there are, dealt by raw shares.
+    factor = F.col("all_target") / F.greatest(F.col("all_raw"), F.lit(1))
+    ratio = F.transform("rows", lambda r: F.log((r.target + prior) / (r.raw * factor + prior)))
     neutral = F.transform("rows", lambda r: F.lit(0.0))
     return rows.select(F.when(F.col("all_target") > 0, ratio).otherwise(neutral).alias("w"))
 

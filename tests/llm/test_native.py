@@ -47,7 +47,8 @@ def test_quality_against_brute_force(spark):
     raw, target, grams = Counter(), Counter(), {}
     for doc, text in docs:
         words = WORD.findall(text)
-        found = [h(w) for w in words] + [h(b[:2], h(a[-2:])) for a, b in zip(words, words[1:])]
+        single = [h(w) for w in words]
+        found = single + [h(b, h(a)) for a, b in zip(single, single[1:])]
         grams[doc] = [g % quality.BUCKETS for g in found]
         raw.update(grams[doc])
         if doc in good:
@@ -59,7 +60,7 @@ def test_quality_against_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
         failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
         ratio = [
-            math.log((target[g] + 1) / (t + quality.BUCKETS)) - math.log((raw[g] + 1) / (n + quality.BUCKETS))
+            math.log((target[g] + quality.PRIOR) / (raw[g] * t / n + quality.PRIOR))
             for g in grams[doc]
         ]
         llr = sum(ratio) / max(1, len(ratio))
@@ -74,6 +75,25 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert share[1, 0] > 0.93 and share[0, 0] < 0.1
 
 
+def test_quality_keeps_good_documents_of_every_language(spark):
+    """By language with all labels, and with 50 and 400 of them against ten times as many documents."""
+    for sf, most, least in (("sf0.01", 20_000, 0.9), ("sf0.1", 50, 0.9), ("sf0.1", 400, 0.9)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        made = quality.assess(docs, labels, trusted_rows=most).select("doc_id", "lang", "base_failed", "kept")
+        good = made.where("NOT base_failed").join(labels.where("quality = 1 AND toxic = 0"), "doc_id")
+        share = {r.lang: r.kept for r in good.groupBy("lang").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+        assert len(share) == 4 and min(share.values()) >= least
+
+
+def test_ngrams_without_evidence_are_neutral(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "some other rare words"), (3, None)], "doc_id long, text string")
+    trusted = docs.where("doc_id = 1").select("doc_id", F.lit(1).alias("trusted"))
+    for rows in (trusted, trusted.limit(0)):
+        weights = quality.log_ratios(docs, rows).first().w
+        assert max(map(abs, weights)) < 0.15 and sum(w == 0 for w in weights) >= quality.BUCKETS - 13
+
+
 def test_fingerprints_against_brute_force(spark):
     made = {r.doc_id: r for r in queries.QUERIES["op9_fingerprints"](spark, SF).collect()}
     docs = sorted(documents(spark))
