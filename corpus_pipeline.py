@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gazeframe.llm import jaccard, mixing, packing, private, quality
 from gazeframe.llm.components import written
 from gazeframe.llm.tokens import default_path
+from gazeframe.operators.relational import settle
 from gazeframe.session import prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.assess(docs, labels).where("kept").select(*COLUMNS)
+    # Settled, so that the filter does not work the verdict out a second time.
+    assessed = quality.assess(docs, labels).select(*COLUMNS, "kept")
+    return settle(assessed, {"kept": F.col("kept")}).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
