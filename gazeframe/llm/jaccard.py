@@ -231,43 +231,6 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, schema)
 
 
-def _own_keys(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """(key, doc, need) of every set of (doc_id, text), one row per key and set."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
-        for batch in batches:
-            for at, count in portions(batch.column(1), 8 << 20):
-                some = batch.slice(at, count)
-                ids = some.column(0).to_numpy()
-                sets, _ = shingle_sets(some.column(1), length)
-                found, owner, least = keys(sets, sizes)
-                for part in range(0, len(found), 100_000):
-                    own = owner[part : part + 100_000]
-                    rows = [found[part : part + 100_000].view(np.int64), ids[own], least[own]]
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "doc", "need"])
-
-    return docs.select("doc_id", "text").mapInArrow(make, "key long, doc long, need long")
-
-
-def _rare_links(own: DataFrame) -> DataFrame:
-    """Links (a, b) of sets that share one of their rare keys, chained along each key.
-
-    Sets that are alike share at least ``need`` keys. Of a set's shared keys, commonest last, all but the last
-    ``need`` - 1 are its rare ones: the rarest key that two alike sets share is a rare one of both. Keys that very
-    many sets have, such as those of a common passage, so tie nothing together on their own.
-    """
-    common = own.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    order = Window.partitionBy("doc").orderBy("sets", "key")
-    # A set has no more keys than parts of the hash range, so its window is bounded by its own size.
-    ranked = own.join(common, "key").select(
-        "key", "doc", "need", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("doc")).alias("all")
-    )
-    rare = ranked.where("rank <= all - need + 1")
-    last = F.lag("doc").over(Window.partitionBy("key").orderBy("doc"))
-    return rare.select(F.col("doc").alias("a"), last.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
-
-
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     names = ["doc_id", "n", "d1", "d2", "need", "a", "b", "times", "key", "doc"]
@@ -308,19 +271,6 @@ def _tree_links(placed: DataFrame, length: int, percent: int) -> DataFrame:
     return together.select("place", "doc_id", "text").mapInArrow(join, "a long, b long")
 
 
-def _regrouped(grouped: DataFrame, texts: DataFrame, length: int, percent: int, slice_rows: int) -> DataFrame:
-    """``grouped`` (node, component) with the groups of more than one slice formed again by their rare keys."""
-    large = grouped.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows).select("component")
-    many = written(grouped.join(large, "component"), "large")
-    if many.isEmpty():
-        return grouped
-    few = grouped.join(large, "component", "left_anti").select("node", "component")
-    held = texts.join(many.select(F.col("node").alias("doc_id")), "doc_id")
-    links = written(_rare_links(written(_own_keys(held, length, percent), "keys")), "rare")
-    # A set that no rare key ties to another has no partner and is in no group.
-    return written(few.unionByName(components(links)), "regrouped")
-
-
 def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int = SLICE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
@@ -368,7 +318,6 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         .select("node")
     )
     grouped = written(components(sharing.select("a", "b")).join(able, "node"), "grouped")
-    grouped = _regrouped(grouped, plain.where("text IS NOT NULL"), length, percent, slice_rows)
     counted = grouped.groupBy("component").agg(F.count("*").alias("rows"))
     slices = F.ceil(F.col("rows") / slice_rows).cast("long")
     members = written(

@@ -1,4 +1,4 @@
-"""Groups that a common passage ties together are formed again by rare keys, and no link is lost."""
+"""No link is lost in a group that a common passage ties together, cut into small slices."""
 
 import random
 
@@ -47,12 +47,3 @@ def test_common_passage_with_near_copies(spark, length, percent):
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     made = jaccard.classes(frame, length=length, percent=percent, slice_rows=6)
     assert {r.doc_id: r.component_id for r in made.collect()} == plain(texts, length, percent)
-
-
-def test_sets_that_share_only_common_keys_part(spark):
-    """Seven sets hang together by one key that all have; only those that share a rarer one too stay tied."""
-    rows = [(1, doc, 2) for doc in range(6)] + [(100 + doc, doc, 2) for doc in range(6)]
-    rows += [(7, 0, 2), (7, 1, 2), (8, 2, 1), (8, 3, 1), (1, 9, 2)]
-    own = spark.createDataFrame(rows, "key long, doc long, need long")
-    links = {tuple(sorted((r.a, r.b))) for r in jaccard._rare_links(own).collect()}
-    assert links == {(0, 1), (2, 3)}
