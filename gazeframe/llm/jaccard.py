@@ -9,8 +9,8 @@
    the similarity. Sets already known to hang together are not compared again.
 
 Groups are cut into slices of bounded size. Each slice also gets a few anchors of its group, which tie the slices
-together; what does not hang on the group's largest part is then compared with every slice. So no pair is lost,
-and a group of any size is many small tasks.
+together; what does not hang on the group's largest part is then compared with every other slice that holds as many
+of its keys as it shares with any set alike. So no pair is lost, and a group of any size is many small tasks.
 """
 
 from __future__ import annotations
@@ -271,6 +271,28 @@ def _tree_links(placed: DataFrame, length: int, percent: int) -> DataFrame:
     return together.select("place", "doc_id", "text").mapInArrow(join, "a long, b long")
 
 
+def _held_keys(sides: DataFrame, length: int, percent: int) -> DataFrame:
+    """(doc_id, component, slice, need, key) for every key of every text of (doc_id, component, slice, need, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(percent)
+        for batch in batches:
+            for at, count in portions(batch.column(4)):
+                some = batch.slice(at, count)
+                sets, _ = shingle_sets(some.column(4), length)
+                found, owner, _ = keys(sets, sizes)
+                for part in range(0, len(found), 100_000):
+                    of = pa.array(owner[part : part + 100_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(some.column(i).take(of) for i in range(4)), pa.array(found[part : part + 100_000].view(np.int64))],
+                        ["doc_id", "component", "slice", "need", "key"],
+                    )
+
+    return sides.select("doc_id", "component", "slice", "need", "text").mapInArrow(
+        make, "doc_id long, component long, slice long, need long, key long"
+    )
+
+
 def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int = SLICE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
@@ -315,7 +337,7 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         ends.groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times"))
         .join(led.where("doc_id = lead").select(F.col("doc_id").alias("node"), "need"), "node")
         .where("times >= need")
-        .select("node")
+        .select("node", "need")
     )
     grouped = written(components(sharing.select("a", "b")).join(able, "node"), "grouped")
     counted = grouped.groupBy("component").agg(F.count("*").alias("rows"))
@@ -324,6 +346,7 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         grouped.join(counted, "component").select(
             F.col("node").alias("doc_id"),
             "component",
+            "need",
             slices.alias("slices"),
             F.pmod(F.xxhash64("node"), slices).alias("slice"),
         ),
@@ -349,20 +372,35 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         label = many.join(tied.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         sized = label.groupBy("component", "label").agg(F.count("*").alias("n"))
         main = sized.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        loose = written(label.join(main, "component").where("label <> main"), "loose")
-        # Loose sets go in lots of bounded size, every lot to every slice, so a place never holds much more than
-        # a slice and a lot however many sets are loose.
-        lots = loose.groupBy("component").agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("lots"))
-        dealt = loose.join(lots, "component").select(
-            "doc_id",
-            "component",
-            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-            F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("lots")).alias("lot"),
+        # Loose sets are those with a need here.
+        sides = written(
+            label.join(main, "component").select(
+                "doc_id", "component", "slice", F.when(F.col("label") != F.col("main"), F.col("need")).alias("need")
+            ),
+            "sides",
+        )
+        asking = sides.where("need IS NOT NULL").select("component").distinct()
+        held = written(_held_keys(sides.join(asking, "component", "left_semi").join(texts, "doc_id"), length, percent), "held")
+        offered = held.select("component", F.col("slice").alias("other"), "key").distinct()
+        dealt = written(
+            held.where("need IS NOT NULL")
+            .join(offered, ["component", "key"])
+            .where("slice <> other")
+            .groupBy("doc_id", "component", F.col("other").alias("slice"))
+            .agg(F.count("*").alias("times"), F.max("need").alias("need"))
+            .where("times >= need"),
+            "dealt",
+        )
+        # The sets dealt to a slice go in lots of bounded size, so a place never holds much more than a slice and a
+        # lot however many sets are loose.
+        lots = dealt.groupBy("component", "slice").agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("lots"))
+        dealt = dealt.join(lots, ["component", "slice"]).select(
+            "doc_id", "component", "slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("lots")).alias("lot")
         )
-        met = many.join(lots, "component").select(
-            "doc_id", "component", "slice", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
+        met = many.join(lots, ["component", "slice"]).select(
+            "doc_id", "component", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot")
         )
-        again = dealt.unionByName(met).distinct()
+        again = dealt.unionByName(met)
         once = once.unionByName(_tree_links(place(again, "lot").join(texts, "doc_id"), length, percent))
     found = components(once.unionByName(copies)).toDF("doc_id", "component_id")
     return info.join(found, "doc_id", "left").select(
