@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with numbers, dates, addresses and secrets replaced, and ``n_chars`` to match."""
     prepare(spark)
-    changed = private.protect(docs.select(*COLUMNS))
+    changed = private.protect(docs.select(*COLUMNS), private.configured_key(spark))
     return changed.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.llm.text import let
@@ -18,17 +18,42 @@ ROUNDS = 8
 
 #: What the kinds look like. The order decides where two could match at one place.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-#: A secret is the whole run behind its label; a match holds the label too, and a dot at the end is none of it.
+#: A secret with a digit is the whole run behind its label, up to a blank, quote or angle bracket; one without is of
+#: eight plain signs or more. A match holds the label too, and punctuation at the end is none of it.
 LABEL = r"\b(?i:token|password|passwd|secret|api_key|apikey)\s*+[=:]\s*+[\"']?"
-SECRET = LABEL + r"(?!" + EMAIL + r")[\w+/.=-]{7,}[\w+/=-]"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+RUN = r"[^\s\"'<>]"
+SECRET = LABEL + r"(?!" + EMAIL + r")(?:(?=" + RUN + r"*\d)" + RUN + r"{5,}[^\s\"'<>.,;:!?)\]]|[\w+/.=-]{7,}[\w+/=-])"
+#: Account numbers have one length per country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    whole, rest = divmod(length - 4, 4)
+    tail = rf"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}{tail}(?![A-Za-z0-9])"
+
+
+#: Countries without a known length take the longest match.
+IBAN = (
+    r"\b(?:" + "|".join(_iban_of(*x) for x in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+)
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: A phone number of three, three and four digits is no part of a card number.
+LOCAL = r"\d{3}[.-]\d{3}[.-]\d{4}(?!-?\d)"
+CARD = r"(?<!\d)(?!" + LOCAL + r")\d(?:[ -]?(?!" + LOCAL + r")\d){12,18}(?!\d)"
 PHONE = (
-    r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}"
-    r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4})(?![-]?\d)"
+    r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}"
+    r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])1[.-]\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4})(?![-]?\d))"
 )
 ANY = "|".join([EMAIL, SECRET, IBAN, DATE, ADDRESS, SOCIAL, CARD, PHONE])
 #: A text without any of these characters can hold no match of the patterns.
@@ -108,24 +133,28 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def card(value: Column, key: str) -> Column:
-    """A card number with its first digit kept, the rest permuted and a new check digit; NULL if invalid."""
+    """A card number with its first digit kept, the rest permuted and a new check digit; NULL if invalid.
+
+    Where the whole value is not valid, the longest valid beginning of whole groups is taken; the rest stays.
+    """
+
+    def changed(printed: Column) -> Column:
+        def payload(d: Column) -> Column:
+            return F.concat(F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
 
-    def changed(d: Column) -> Column:
-        n = F.length(d)
-        payload = F.concat(
-            F.substring(d, 1, 1), permuted_digits(F.substring(d, F.lit(2), n - 2), key, "card")
-        )
         check = lambda p: F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")
-        return F.when(
-            F.pmod(luhn_sum(d), F.lit(10)) == 0, let(payload, lambda p: refilled(value, F.concat(p, check(p))))
-        )
+        new = let(let(digits_of(printed), payload), lambda p: refilled(printed, F.concat(p, check(p))))
+        rest = F.substring(value, F.length(printed) + 1, F.length(value) - F.length(printed))
+        return F.when(printed.isNotNull(), F.concat(new, rest))
 
-    return let(digits_of(value), changed)
+    beginnings = F.array(*[F.regexp_extract(value, rf"\A(\d(?:[ -]?\d){{{n - 1}}})(?!\d)", 1) for n in range(19, 12, -1)])
+    valid = F.filter(beginnings, lambda p: (p != "") & (F.pmod(luhn_sum(digits_of(p)), F.lit(10)) == 0))
+    return let(F.get(valid, 0), changed)
 
 
 def phone(value: Column, key: str) -> Column:
     """A phone number of 7 to 15 digits with its country code kept; NULL if it has another length."""
-    code = F.regexp_extract(value, r"^\+(\d{1,3})(?!\d)", 1)
+    code = F.when(value.rlike(r"\A1[.-]"), "1").otherwise(F.regexp_extract(value, r"^\+(\d{1,3})(?!\d)", 1))
 
     def changed(d: Column) -> Column:
         rest = F.substring(d, F.length(code) + 1, F.length(d) - F.length(code))
@@ -280,11 +309,17 @@ def pseudonymised(text: Column, key: str) -> Column:
     ).otherwise(text)
 
 
-def protect(docs: DataFrame, key: str = "change-me", text: str = "text") -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key in ``spark.gazeframe.pseudonym.key``; unset, the open key of the test tables, which hides nothing."""
+    return spark.conf.get("spark.gazeframe.pseudonym.key", "open-test-key")
+
+
+def protect(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the values in ``text`` replaced by pseudonyms, all other columns and rows as they are.
 
     Cards (Luhn), phones, IPv4 addresses, social security numbers, account numbers (mod 97) and dates are
     validated and permuted within their format; numbers that fail stay. E-mail addresses and assigned secrets
-    have no numeric range and get keyed letters and digits of the same shape. NULL and empty texts stay.
+    have no numeric range and get keyed letters and digits of the same shape. NULL and empty texts stay; repeated
+    rows change alike; a table without rows gives none. Whoever knows ``key`` can undo the permutations.
     """
     return docs.withColumn(text, pseudonymised(F.col(f"`{text}`"), key))

@@ -65,7 +65,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.protect(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return private.protect(table(spark, sf_dir, "documents"), private.configured_key(spark)).select("doc_id", "text")
 
 
 @query()
