@@ -1,11 +1,12 @@
 """LM scoring: context-tree weighting over bytes.
 
-A byte is eight binary decisions, each in the context of the bytes before it: those of the running text in
-``score_running``, those of its word in ``score``. In every context of every depth a Krichevsky-Trofimov estimator predicts a decision; context-tree weighting mixes the estimators of
+A byte is eight binary decisions, each in the context of the bytes of the running text before it. In every context
+of every depth a Krichevsky-Trofimov estimator predicts a decision; context-tree weighting mixes the estimators of
 all depths, each weighed by how well it has coded the training texts. Counts are those of the training corpus.
 
 The corpus enters as distinct words and n-grams of bytes with counts, so all work after the first pass is on
-these. They meet the documents in buckets of documents, where each comes once.
+these. They meet the documents in buckets of a bounded number of bytes: a task reads the facts of a bucket, then
+its documents, one compressed pack at a time.
 """
 
 from __future__ import annotations
@@ -17,87 +18,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.llm.components import written
+from gazeframe.llm.shingles import portions
 
 DEPTH = 5
 TOP = 2
 END = b"\n"
-BUCKET_DOCS = 8_000
-CHUNK_WORDS = 200_000
-HELD_WORDS = 1_500_000
-RUNNING_BUCKET_DOCS = 8_000
-PORTION = 1_000_000
+BUCKET_BYTES = 48 << 20
+HELD_WORDS = 500_000
+HELD_GRAMS = 2_400_000
+PORTION = 500_000
+PACK_BYTES = 1 << 20
+MOST_PARTS = 20_000
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _cells(docs: DataFrame) -> DataFrame:
-    """(bucket, word, n): the distinct words of a bucket within a task and their training tokens.
-
-    Reads (bucket, trains, text); the end of a text is the word ``END``, which no text can hold.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, int]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for bucket, counts in held.items():
-                words, numbers = list(counts), list(counts.values())
-                for at in range(0, len(words), 50_000):
-                    part = words[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([bucket] * len(part), pa.int32()),
-                            pa.array(part, pa.binary()),
-                            pa.array(numbers[at : at + 50_000], pa.int64()),
-                        ],
-                        ["bucket", "word", "n"],
-                    )
-
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for bucket, trains, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                counts = held.setdefault(bucket, {})
-                words = _words(text)
-                words.append(END)
-                if trains:
-                    for word in words:
-                        counts[word] = counts.get(word, 0) + 1
-                else:
-                    for word in words:
-                        counts.setdefault(word, 0)
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from out()
-                held.clear()
-        yield from out()
-
-    return docs.mapInArrow(count, "bucket int, word binary, n long")
-
-
-def grams(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context bytes, then the byte) of all bytes of words, each ended by a blank, and the word of each."""
-    ended = [w if w == END else w + b" " for w in words]
-    lengths = np.array([len(w) for w in ended], np.int64)
-    if not len(lengths):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(ended), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(ended)), lengths)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = data.copy()
-    for back in range(1, depth + 1):
-        before = np.zeros(len(data), np.int64)
-        before[back:] = data[:-back]
-        # Before its first byte a word has a blank, and nothing before that.
-        before = np.where(place >= back, before, np.where(place == back - 1, 32, 0))
-        key |= before << (8 * back)
-    return key, owner
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function from 1/2 on, by Stirling's series eight steps up."""
     shift = np.zeros_like(x)
@@ -184,97 +126,6 @@ def _log_probabilities(ngrams: DataFrame, depth: int = DEPTH) -> DataFrame:
     return near.groupBy("near").cogroup(top.groupBy("near")).applyInPandas(fall, "key long, lp double")
 
 
-def _word_scores(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, c, lp) of (chunk, word, c): each word's log10 probability as bytes and its end."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, owner = grams(batch.column(1).to_pylist(), depth)
-            weight = np.array(batch.column(2), np.float64)[owner]
-            chunk = np.array(batch.column(0), np.int64)[owner]
-            both, up = np.unique(np.column_stack([chunk, keys]), axis=0, return_inverse=True) if len(keys) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            total = np.bincount(up.ravel(), weight, len(both)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0].astype(np.int32)), pa.array(both[:, 1]), pa.array(total)], ["chunk", "key", "n"]
-            )
-
-    spelled = words.select("chunk", "word", "c").mapInArrow(spell, "chunk int, key long, n long")
-    ngrams = written(spelled.groupBy("chunk", "key").agg(F.sum("n").alias("n")), "ngrams")
-    known = _log_probabilities(ngrams.groupBy("key").agg(F.sum("n").alias("n")), depth)
-
-    def add(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["key"].to_numpy())
-        have, value = table["key"].to_numpy()[order], table["lp"].to_numpy()[order]
-        keys, owner = grams(rows["word"].tolist(), depth)
-        lp = value[np.searchsorted(have, keys)] if len(have) else np.zeros(0)
-        return pd.DataFrame({"word": rows["word"], "c": rows["c"], "lp": np.bincount(owner, lp, len(rows))})
-
-    wanted = ngrams.select("chunk", "key").join(known, "key")
-    return words.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(add, "word binary, c long, lp double")
-
-
-def score(docs: DataFrame, trains: str, depth: int = DEPTH, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Scores of (doc_id, text, and a boolean column ``trains``) under models of the rows that train.
-
-    Returns doc_id, ``trains``, n_tokens, n_known, train_tokens, base_score and score. Tokens are words with A-Z
-    as a-z and one end per text; base_score is the smoothed unigram log10 probability, score that of the context
-    tree: bytes of each word and a blank, then the end. NULL and empty texts are one end. A row whose ``trains``
-    is NULL does not train. Repeated rows are scored and counted each; a NULL doc_id is scored like any other.
-    Without training rows every estimate is that of empty counts. An empty table gives no row.
-    """
-    spark = docs.sparkSession
-    buckets = max(1, -(-docs.count() // bucket_docs))
-    dealt = docs.select(
-        "doc_id",
-        F.coalesce(trains, F.lit(False)).alias("trains"),
-        F.col("text").cast("binary").alias("text"),
-        # The text deals rows that share an id apart.
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    cells = _cells(dealt.select("bucket", "trains", "text"))
-    found = written(cells.groupBy("bucket", "word").agg(F.sum("n").alias("n")), "words")
-    totals = found.groupBy("word").agg(F.sum("n").alias("c"))
-    chunks = max(1, -(-found.agg(F.approx_count_distinct("word")).first()[0] // CHUNK_WORDS))
-    words = written(
-        totals.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int")).repartition("chunk"), "lexicon"
-    )
-    size = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = size["n"] or 0, size["v"]
-    scored = _word_scores(words, depth)
-    facts = found.select("bucket", "word").join(scored, "word")
-
-    def read(rows: pa.Table, table: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-        c, lp = np.array(table.column("c"), np.float64), np.array(table.column("lp"), np.float64)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        out: list[list] = [[], [], [], []]
-        for text in rows.column("text").to_pylist():
-            words = _words(text)
-            words.append(END)
-            at = np.array([place[w] for w in words])
-            values = (len(words), int(np.count_nonzero(c[at] > 0)), float(base[at].sum()), float(lp[at].sum()))
-            for column, value in zip(out, values):
-                column.append(value)
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "trains": rows.column("trains"),
-                "n_tokens": pa.array(out[0], pa.int64()),
-                "n_known": pa.array(out[1], pa.int64()),
-                "train_tokens": pa.array([n] * len(rows), pa.int64()),
-                "base_score": pa.array(out[2], pa.float64()),
-                "score": pa.array(out[3], pa.float64()),
-            }
-        )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    result = dealt.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(
-        read,
-        f"doc_id {kind}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
-    return result.withColumnRenamed("trains", trains)
-
-
 def normalised(words: list[bytes]) -> bytes:
     """The words of a text, each and a blank, then the end."""
     return b"".join(w + b" " for w in words) + END
@@ -315,120 +166,205 @@ def running_grams(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.n
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and their numbers, of several of such pairs."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at.ravel(), np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
+    if not len(keys):
+        return keys, keys
+    # The parts are in order each, which a stable sort merges.
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(np.concatenate([n for _, n in parts])[order], new)
+
+
+def _packs(bucket_bytes: int):
+    """(bucket, pack): documents (doc_id, trains, text) in packs of some ``PACK_BYTES`` of text, compressed.
+
+    Consecutive packs of a task are a bucket until it holds ``bucket_bytes``.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        bucket, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at, rows in portions(batch.column(2), PACK_BYTES):
+                some = batch.slice(at, rows)
+                size = (pc.sum(pc.binary_length(some.column(2))).as_py() or 0) + 64 * rows
+                if held and held + size > bucket_bytes:
+                    bucket, held = bucket + 1, 0
+                held += size
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=options) as out:
+                    out.write_batch(some)
+                blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), blob], ["bucket", "pack"])
+
+    return pack
+
+
+def _unpacked(pack: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(pack).read_next_batch()
 
 
 def _bucket_counts(depth: int):
-    """(bucket, word, key, n) of a bucket's rows: its distinct words, and its distinct n-grams, as often as they train."""
+    """(bucket, word, key, n): the words and n-grams of each bucket of (bucket, pack), as often as they train.
 
-    def count(rows: pa.Table) -> pa.Table:
-        held: dict[bytes, int] = {}
-        sides: tuple[list[bytes], list[bytes]] = ([], [])
-        for trains, text in zip(rows.column("trains").to_pylist(), rows.column("text").to_pylist()):
-            words = _words(text)
-            sides[trains].append(normalised(words))
-            words.append(END)
-            for word in words:
-                held[word] = held.get(word, 0) + trains
+    A bucket that is read in parts, or has very many words or n-grams, gives some of them more than once, with
+    numbers that add up.
+    """
+
+    def cells(bucket: int, words: dict[bytes, int], grams: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        spelled, often = list(words), list(words.values())
+        for at in range(0, len(spelled), 100_000):
+            some = spelled[at : at + 100_000]
+            yield _cell_rows(bucket, pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), often[at : at + 100_000])
+        for at in range(0, len(grams[0]), 100_000):
+            some = grams[0][at : at + 100_000]
+            yield _cell_rows(bucket, pa.nulls(len(some), pa.binary()), pa.array(some), grams[1][at : at + 100_000])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for trains, texts in enumerate(sides):
-            for keys, _ in running_grams(texts, depth):
-                found, n = np.unique(keys, return_counts=True)
-                parts.append((found, n * trains))
-                if sum(len(k) for k, _ in parts) > 2 * PORTION:
-                    parts = [_summed(parts)]
-        keys, n = _summed(parts)
-        bucket, w, k = rows.column("bucket")[0].as_py(), len(held), len(keys)
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(w + k, bucket, np.int32)),
-                "word": pa.chunked_array([pa.array(list(held), pa.binary()), pa.nulls(k, pa.binary())]),
-                "key": pa.chunked_array([pa.nulls(w, pa.int64()), pa.array(keys, pa.int64())]),
-                "n": pa.chunked_array([pa.array(list(held.values()), pa.int64()), pa.array(n, pa.int64())]),
-            }
-        )
+        for bucket, pack in ((b.as_py(), p.as_py()) for batch in batches for b, p in zip(*batch.columns)):
+            if bucket != at:
+                if at is not None:
+                    yield from cells(at, held, _summed(parts))
+                at, held, parts = bucket, {}, []
+            docs, sides = _unpacked(pack), ([], [])
+            for trains, text in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist()):
+                words = _words(text)
+                sides[trains].append(normalised(words))
+                words.append(END)
+                for word in words:
+                    held[word] = held.get(word, 0) + trains
+                if len(held) > HELD_WORDS:
+                    yield from cells(at, held, _summed([]))
+                    held = {}
+            for trains, texts in enumerate(sides):
+                for keys, _ in running_grams(texts, depth):
+                    found, n = np.unique(keys, return_counts=True)
+                    parts.append((found, n * trains))
+                    if sum(len(k) for k, _ in parts) > HELD_GRAMS:
+                        parts = [_summed(parts)]
+                        if 3 * len(parts[0][0]) > 2 * HELD_GRAMS:
+                            yield from cells(at, {}, parts[0])
+                            parts = []
+        if at is not None:
+            yield from cells(at, held, _summed(parts))
 
     return count
 
 
-def score_running(
-    docs: DataFrame, trains: str, depth: int = DEPTH, bucket_docs: int = RUNNING_BUCKET_DOCS
-) -> DataFrame:
-    """As ``score``, with contexts that run across blanks: the order of the words counts in ``score``.
+def _cell_rows(bucket: int, word: pa.Array, key: pa.Array, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(word), bucket, np.int64)), word, key, pa.array(n, pa.int64())], ["bucket", "word", "key", "n"]
+    )
+
 
-    The context tree predicts the bytes of the running text, its words each with one blank behind, then the end.
-    The counts are those of all n-grams of ``depth`` bytes and one more in all training rows.
+def _reader(n: int, v: int, depth: int):
+    """Scores of documents from rows (bucket, kind, key, lp, data) in order of bucket and kind.
+
+    Kind 0 is a word (data) with its count (key), unless that is 1; kind 1 an n-gram with its log10 probability,
+    kind 2 a pack of documents.
     """
-    buckets = max(1, -(-docs.count() // bucket_docs))
-    dealt = docs.select(
-        "doc_id",
-        F.coalesce(trains, F.lit(False)).alias("trains"),
-        F.col("text").cast("binary").alias("text"),
-        # The text deals rows that share an id apart.
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    counted = dealt.select("bucket", "trains", "text").groupBy("bucket")
-    cells = written(counted.applyInArrow(_bucket_counts(depth), "bucket int, word binary, key long, n long"), "cells")
-    words, ngrams = cells.where("word IS NOT NULL"), cells.where("key IS NOT NULL")
-    lexicon = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
-    size = lexicon.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = size["n"] or 0, size["v"]
-    model = written(ngrams.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
-    none = F.lit(None)
-    facts = (
-        words.select("bucket", "word")
-        .join(lexicon, "word")
-        .select("bucket", "word", "c", none.cast("long").alias("key"), none.cast("double").alias("lp"))
-        .unionByName(
-            ngrams.select("bucket", "key")
-            .join(_log_probabilities(model, depth), "key")
-            .select("bucket", none.cast("binary").alias("word"), none.cast("long").alias("c"), "key", "lp")
-        )
-    )
 
-    def read(rows: pa.Table, table: pa.Table) -> pa.Table:
-        known = table.filter(pc.is_valid(table.column("word")))
-        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        c = np.array(known.column("c"), np.float64)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        grams_of = table.filter(pc.is_valid(table.column("key"))).select(["key", "lp"])
-        have, value = np.array(grams_of.column("key"), np.int64), np.array(grams_of.column("lp"), np.float64)
-        order = np.argsort(have)
-        have, value = have[order], value[order]
+    def scored(docs: pa.RecordBatch, count: dict[bytes, int], have: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        look = count.get
         tokens, seen, unigram, texts = [], [], [], []
-        for text in rows.column("text").to_pylist():
+        for text in docs.column(2).to_pylist():
             words = _words(text)
             texts.append(normalised(words))
             words.append(END)
-            at = np.array([place[w] for w in words])
+            c = np.array([look(w, 1) for w in words], np.float64)
             tokens.append(len(words))
-            seen.append(int(np.count_nonzero(c[at] > 0)))
-            unigram.append(float(base[at].sum()))
+            seen.append(int(np.count_nonzero(c)))
+            unigram.append(float(np.log10((c + 0.1) / (n + 0.1 * (v + 1))).sum()))
         total = np.zeros(len(texts))
-        for keys, owner in running_grams(texts, depth):
-            found, at = np.unique(keys, return_inverse=True)
-            lp = value[np.searchsorted(have, found)][at.ravel()]
-            first = int(owner[0])
-            part = np.bincount(owner - first, lp)
-            total[first : first + len(part)] += part
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "trains": rows.column("trains"),
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(seen, pa.int64()),
-                "train_tokens": pa.array([n] * len(rows), pa.int64()),
-                "base_score": pa.array(unigram, pa.float64()),
-                "score": pa.array(total),
-            }
+        for found, owner in running_grams(texts, depth):
+            grams, of = np.unique(found, return_inverse=True)
+            lead = int(owner[0])
+            part = np.bincount(owner - lead, value[np.searchsorted(have, grams)][of.ravel()])
+            total[lead : lead + len(part)] += part
+        return pa.RecordBatch.from_arrays(
+            [
+                docs.column(0),
+                docs.column(1),
+                pa.array(tokens, pa.int64()),
+                pa.array(seen, pa.int64()),
+                pa.array([n] * len(texts), pa.int64()),
+                pa.array(unigram, pa.float64()),
+                pa.array(total),
+            ],
+            ["doc_id", "trains", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    result = dealt.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(
-        read,
-        f"doc_id {kind}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            buckets, kinds = (np.array(batch.column(i)) for i in (0, 1))
+            edges = np.flatnonzero((buckets[1:] != buckets[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), len(buckets)]):
+                if first == end:
+                    continue
+                some = batch.slice(first, end - first)
+                if buckets[first] != at:
+                    at, count, keys, lps, have = buckets[first], {}, [], [], None
+                if kinds[first] == 0:
+                    count.update(zip(some.column(4).to_pylist(), some.column(2).to_pylist()))
+                elif kinds[first] == 1:
+                    # Copies, so that the batch's own memory is free again.
+                    keys.append(np.array(some.column(2), np.int64, copy=True))
+                    lps.append(np.array(some.column(3), np.float64, copy=True))
+                else:
+                    if have is None:
+                        have, value = np.concatenate(keys), np.concatenate(lps)
+                        keys, lps = [], []
+                        order = np.argsort(have)
+                        have, value = have[order], value[order]
+                    for pack in some.column(4):
+                        yield scored(_unpacked(pack.as_py()), count, have, value)
+
+    return read
+
+
+def score_running(docs: DataFrame, trains: str, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Scores of (doc_id, text, and a boolean column ``trains``) under models of the rows that train.
+
+    Returns doc_id, ``trains``, n_tokens, n_known, train_tokens, base_score and score; other columns are left out.
+    Tokens are words with A-Z as a-z and one end per text; base_score is the smoothed unigram log10 probability.
+    score is that of the context tree: it predicts the bytes of the running text, its words each with one blank
+    behind, then the end, from counts of all n-grams of ``depth`` bytes and one more in all training rows.
+
+    NULL and empty texts are one end. A row whose ``trains`` is NULL does not train. Repeated rows are scored and
+    counted each; a NULL doc_id is scored like any other. Without training rows every estimate is that of empty
+    counts. An empty table gives no row. Buckets hold some ``bucket_bytes`` of consecutive texts; a longer text is
+    a bucket of its own, read in portions.
+    """
+    dealt = docs.select(
+        "doc_id", F.coalesce(trains, F.lit(False)).alias("trains"), F.col("text").cast("binary").alias("text")
+    )
+    packs = written(dealt.mapInArrow(_packs(bucket_bytes), "bucket long, pack binary"), "packs")
+    parts = max(1, min(2 * packs.select("bucket").distinct().count(), MOST_PARTS))
+    cells = written(packs.mapInArrow(_bucket_counts(depth), "bucket long, word binary, key long, n long"), "cells")
+    words, ngrams = cells.where("word IS NOT NULL"), cells.where("key IS NOT NULL")
+    lexicon = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
+    total = lexicon.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    model = written(ngrams.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+
+    def rows(df: DataFrame, kind: int, key: str, lp: str, data: str) -> DataFrame:
+        return df.selectExpr("bucket", f"{kind} AS kind", f"CAST({key} AS long) AS key", f"CAST({lp} AS double) AS lp", f"CAST({data} AS binary) AS data")
+
+    # Most words come once in the corpus, so a word without a row has the count 1.
+    often = words.select("bucket", "word").join(lexicon.where("c <> 1"), "word")
+    known = ngrams.select("bucket", "key").join(_log_probabilities(model, depth), "key")
+    together = (
+        rows(often, 0, "c", "NULL", "word")
+        .unionByName(rows(known, 1, "key", "lp", "NULL"))
+        .unionByName(rows(packs, 2, "NULL", "NULL", "pack"))
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket", "kind")
     )
-    return result.withColumnRenamed("trains", trains)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return together.mapInArrow(
+        _reader(total["n"] or 0, total["v"], depth),
+        f"doc_id {id_type}, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    ).withColumnRenamed("trains", trains)

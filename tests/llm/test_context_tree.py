@@ -1,10 +1,13 @@
-"""Findings of the second review."""
+"""Context-tree scores against plain versions."""
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gazeframe.llm import context_tree
@@ -16,20 +19,21 @@ def test_word_order_counts_in_the_context_tree(spark):
     words = texts[0].split()
     shuffled = sorted(words)
     rows = [(i, t, True) for i, t in enumerate(texts)] + [(100, " ".join(words), False), (101, " ".join(shuffled), False)]
-    made = {r.doc_id: r for r in context_tree.score_running(spark.createDataFrame(rows, "doc_id long, text string, trains boolean"), "trains", bucket_docs=7).collect()}
+    made = {r.doc_id: r for r in context_tree.score_running(spark.createDataFrame(rows, "doc_id long, text string, trains boolean"), "trains", bucket_bytes=1500).collect()}
     assert made[100].score > made[101].score + 5 and abs(made[100].base_score - made[101].base_score) < 1e-9
     assert abs(made[100].score - made[0].score) < 1e-9
 
 
-def test_running_context_tree_against_plain_recursion(spark):
+@pytest.mark.parametrize("depth", [4, 5])
+def test_running_context_tree_against_plain_recursion(spark, depth):
     docs = [(1, "abba ab"), (2, "Ab  ba\nab"), (3, "zz ab"), (4, None)]
     df = spark.createDataFrame([(*d, d[0] != 3) for d in docs], "doc_id long, text string, trains boolean")
-    made = {r.doc_id: r for r in context_tree.score_running(df, "trains", depth=4).collect()}
+    made = {r.doc_id: r for r in context_tree.score_running(df, "trains", depth=depth).collect()}
 
     def letters(text):
         body = b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
-        led = b"\0\0\0 " + body
-        yield from ((tuple(led[i : i + 4]), led[i + 4]) for i in range(len(body)))
+        led = b"\0" * (depth - 1) + b" " + body
+        yield from ((tuple(led[i : i + depth]), led[i + depth]) for i in range(len(body)))
 
     counts = defaultdict(lambda: [0, 0])
 
@@ -41,8 +45,8 @@ def test_running_context_tree_against_plain_recursion(spark):
         if doc != 3:
             for context, byte in letters(text):
                 for node, bit in decisions(byte):
-                    for d in range(5):
-                        counts[context[4 - d :], node][bit] += 1
+                    for d in range(depth + 1):
+                        counts[context[depth - d :], node][bit] += 1
     children = defaultdict(set)
     for context, node in list(counts):
         if context:
@@ -53,16 +57,16 @@ def test_running_context_tree_against_plain_recursion(spark):
 
     def weighted(context, node):
         own = kt(*counts.get((context, node), (0, 0)))
-        if len(context) == 4:
+        if len(context) == depth:
             return own
         below = sum(weighted(c, node) for c in children[context, node])
         return math.log(0.5 * math.exp(own) + 0.5 * math.exp(below))
 
     def one(context, node, d=0):
-        here = context[4 - d :] if d else ()
+        here = context[depth - d :] if d else ()
         a, b = counts.get((here, node), (0, 0))
         p = (b + 0.5) / (a + b + 1)
-        if d == 4:
+        if d == depth:
             return p
         share = 0.5 * math.exp(kt(a, b) - weighted(here, node))
         return share * p + (1 - share) * one(context, node, d + 1)
@@ -93,3 +97,55 @@ def test_running_odd_rows(spark):
     made = context_tree.score_running(df, "t").collect()
     assert len(made) == 5 and all(r.score < 0 for r in made)
     assert context_tree.score_running(df.limit(0), "t").collect() == []
+
+
+def scores(df, **options):
+    made = context_tree.score_running(df, "trains", **options).collect()
+    return sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in made)
+
+
+def test_buckets_and_portions_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, trains boolean")
+    whole = scores(df)
+    assert scores(df, bucket_bytes=900) == whole
+    # What tasks read from this module they read again in the driver's own process.
+    docs = pa.RecordBatch.from_arrays(
+        [pa.array(range(60)), pa.array([i % 4 > 0 for i in range(60)]), pa.array([t.encode() for t in texts])], ["doc_id", "trains", "text"]
+    )
+    monkeypatch.setattr(context_tree.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(context_tree, "PACK_BYTES", 600)
+    packs = list(context_tree._packs(1 << 30)(iter([docs.slice(0, 20), docs.slice(20)])))
+    assert len(packs) > 5
+
+    def counts():
+        total = Counter()
+        for out in context_tree._bucket_counts(5)(iter(packs)):
+            for r in out.to_pylist():
+                total[r["word"], r["key"]] += r["n"]
+        return total
+
+    plain = counts()
+    monkeypatch.setattr(context_tree, "HELD_WORDS", 20)
+    monkeypatch.setattr(context_tree, "HELD_GRAMS", 100)
+    monkeypatch.setattr(context_tree, "PORTION", 64)
+    assert counts() == plain and len(plain) > 500
+
+
+def test_a_long_text_is_as_its_parts(spark):
+    long = "lorem ipsum dolor sit amet " * 200_000
+    df = spark.createDataFrame([(1, long, False), (2, long[:27], False), (3, "lorem amet sit", True), (4, None, None)], "doc_id long, text string, trains boolean")
+    made = {r.doc_id: r for r in context_tree.score_running(df, "trains").collect()}
+    assert made[1].n_tokens == 1_000_001 and made[2].n_tokens == 6 and made[4].n_tokens == 1
+    end = made[4].base_score
+    assert abs((made[1].base_score - end) - 200_000 * (made[2].base_score - end)) < 1e-3
+    # After the first "l" every further copy begins in the same context, and none is better known than another.
+    assert 190_000 < made[1].score / made[2].score < 210_000
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", True, 7, 8, 9)], "doc_id long, text string, trains boolean, bucket int, key int, score int")
+    made = context_tree.score_running(df, "trains")
+    assert made.columns == ["doc_id", "trains", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert made.first().score < 0

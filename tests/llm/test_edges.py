@@ -48,7 +48,7 @@ OPERATORS = {
     "urls": lambda d: urls.judge(d.withColumn("url", F.col("text")).withColumn("host", F.lit(1)), urls.labelled_urls(d.sparkSession)),
     "packing": lambda d: packing.pack_documents(d, default_path(), length=64),
     "private": lambda d: private.protect(d, "k"),
-    "context_tree": lambda d: context_tree.score(d.withColumn("t", F.col("doc_id") > 1), "t"),
+    "context_tree": lambda d: context_tree.score_running(d.withColumn("t", F.col("doc_id") > 1), "t"),
     "fingerprint": lambda d: fingerprint.edited(d),
     "token_rows": lambda d: token_rows.packed_rows(d, default_path(), length=64),
 }

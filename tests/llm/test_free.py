@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gazeframe.llm import components, context_tree, jaccard, language, mixing, packing, queries, shingles, token_rows
+from gazeframe.llm import components, jaccard, language, mixing, packing, queries, shingles, token_rows
 from gazeframe.llm.tokens import default_path
 
 SF = "/root/testdata/sf0.001"
@@ -208,62 +208,6 @@ def _folded(text):
     return shown, [a or i > 0 and letters[i - 1] for i, a in enumerate(letters)]
 
 
-def test_context_tree_against_plain_recursion(spark):
-    docs = [(1, "abba ab"), (2, "Ab  ba"), (3, "zz ab"), (4, None)]
-    df = spark.createDataFrame([(*d, d[0] != 3) for d in docs], "doc_id long, text string, trains boolean")
-    made = {r.doc_id: r for r in context_tree.score(df, "trains", depth=4).collect()}
-
-    def letters(text):
-        for word in (text or "").encode().lower().split():
-            yield from (((0, 0, 0, 32, *word[:i])[-4:], (*word, 32)[i]) for i in range(len(word) + 1))
-        yield (0, 0, 0, 32), 10
-
-    counts = defaultdict(lambda: [0, 0])
-
-    def decisions(context, byte):
-        for j in range(8):
-            yield (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-
-    for doc, text in docs:
-        if doc != 3:
-            for context, byte in letters(text):
-                for node, bit in decisions(context, byte):
-                    for d in range(5):
-                        counts[context[4 - d :], node][bit] += 1
-    children = defaultdict(set)
-    for context, node in list(counts):
-        if context:
-            children[context[1:], node].add(context)
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-
-    def weighted(context, node):
-        own = kt(*counts.get((context, node), (0, 0)))
-        if len(context) == 4:
-            return own
-        below = sum(weighted(c, node) for c in children[context, node])
-        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(below))
-
-    def one(context, node, d=0):
-        here = context[4 - d :] if d else ()
-        a, b = counts.get((here, node), (0, 0))
-        p = (b + 0.5) / (a + b + 1)
-        if d == 4:
-            return p
-        share = 0.5 * math.exp(kt(a, b) - weighted(here, node))
-        return share * p + (1 - share) * one(context, node, d + 1)
-
-    for doc, text in docs:
-        total = sum(
-            math.log10(p if bit else 1 - p)
-            for context, byte in letters(text)
-            for node, bit in decisions(context, byte)
-            for p in [one(context, node)]
-        )
-        assert abs(made[doc].score - total) < 1e-6
-
-
 def test_base_scores_against_plain_counts(spark):
     made = {r.doc_id: r for r in queries.QUERIES["op8_context_tree"](spark, SF).collect()}
     counts = Counter()
