@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gazeframe.session import work_dir
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: what is built on it can be made again from there."""
     at = work_dir(df.sparkSession, purpose)
-    df.write.parquet(at)
+    df.write.parquet(at, **options)
     return df.sparkSession.read.parquet(at)
 
 

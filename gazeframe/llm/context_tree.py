@@ -33,6 +33,7 @@ HELD_WORDS = 500_000
 HELD_GRAMS = 2_400_000
 PORTION = 500_000
 PACK_BYTES = 1 << 20
+PACK_LEVEL = 6
 MOST_PARTS = 20_000
 
 
@@ -183,7 +184,7 @@ def _packs(bucket_bytes: int):
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACK_LEVEL))
         bucket, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for at, rows in portions(batch.column(2), PACK_BYTES):
@@ -344,7 +345,8 @@ def score_running(docs: DataFrame, trains: str, depth: int = DEPTH, bucket_bytes
     )
     packs = written(dealt.mapInArrow(_packs(bucket_bytes), "bucket long, pack binary"), "packs")
     parts = max(1, min(2 * packs.select("bucket").distinct().count(), MOST_PARTS))
-    cells = written(packs.mapInArrow(_bucket_counts(depth), "bucket long, word binary, key long, n long"), "cells")
+    counted = packs.mapInArrow(_bucket_counts(depth), "bucket long, word binary, key long, n long")
+    cells = written(counted, "cells", compression="zstd")
     words, ngrams = cells.where("word IS NOT NULL"), cells.where("key IS NOT NULL")
     lexicon = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
     total = lexicon.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
