@@ -143,7 +143,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end: int =
     """Token pieces of all documents with their places: the piece columns, sequence_id and offset.
 
     The pieces, some 40 bytes a document, are written once to the shared folder, so that the histogram and the
-    ranks see the same rows and a lost executor costs no second tokenising.
+    ranks see the same rows and a lost executor costs no second tokenising. NULL and empty texts are ``end`` alone,
+    a NULL doc_id stays NULL, repeated rows are packed each, other columns are left out; doc_id is cast to long. An
+    empty table gives no row.
     """
     at = work_dir(docs.sparkSession, "pieces")
     token_pieces(docs, path, length, end).write.parquet(at)
