@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gazeframe.functions.aoi import first_box
 from gazeframe.operators.relational import join_null_safe, settle
+from gazeframe.session import stored
 
 
 def lookup_window(
@@ -134,37 +135,75 @@ def lookup_cell(
     order: str = "box",
     out: str = "look",
     most_cells: int = 1024,
+    most_near: int = 16,
 ) -> DataFrame:
     """Add the ``name`` of the first box by ``order`` that strictly contains each point, NULL if none does.
 
     ``boxes`` has x_min, x_max, y_min and y_max and any number of rows per key. Boxes are brought to the cells of
     a grid with sides of ``cell``, best about the size of a common box, and a point is held against the boxes of
-    its own cell. A box over more than ``most_cells`` cells is kept once for its key, and every point of the key
-    is held against it. A NULL key is a key; boxes without a side and points without a place meet nothing.
+    its own cell. A box over more than ``most_cells`` cells is brought only to the cells where points of its key
+    lie, for which ``samples`` is read twice. Of a cell's boxes, those behind the first that covers the whole cell
+    are left out, as no point of the cell meets one of them first. A cell that still has more than ``most_near``
+    boxes is cut into 16, up to three times; so where boxes lie over each other a point is held against few. The
+    cells are written to the shared folder. A NULL key is a key; boxes without a side and points without a place
+    meet nothing.
     """
     sides = ("x_min", "x_max", "y_min", "y_max")
+    cell_keys = [*keys, "_cx", "_cy"]
 
-    def at(column: Column) -> Column:
-        return F.floor(column / cell).cast("long")
+    def at(column: Column, level: int) -> Column:
+        return F.floor(column / (cell / 4**level)).cast("long")
 
-    spans = (at(F.col("x_max")) - at(F.col("x_min")) + 1.0) * (at(F.col("y_max")) - at(F.col("y_min")) + 1.0)
+    def bounds(level: int) -> dict[str, Column]:
+        return {f"_{side}": at(F.col(f"_box.{side}"), level) for side in sides}
+
+    def ahead(met: DataFrame) -> DataFrame:
+        """Boxes of cells up to the first that covers its cell: a point of a later cell lies above a bound."""
+        across = (F.col("_x_min") < F.col("_cx")) & (F.col("_cx") < F.col("_x_max"))
+        down = (F.col("_y_min") < F.col("_cy")) & (F.col("_cy") < F.col("_y_max"))
+        covered = met.where(across & down).groupBy(*cell_keys).agg(F.min("_box").alias("_least"))
+        kept = join_null_safe(met, covered, cell_keys, "left").where("_least IS NULL OR _box <= _least")
+        return stored(kept.select(*cell_keys, "_box"), "cells")
+
+    x_low, x_high, y_low, y_high = (at(F.col(side), 0).cast("double") for side in sides)
+    spans = (x_high - x_low + 1) * (y_high - y_low + 1)
     entry = F.struct(F.col(order).alias("o"), F.col(name).alias("n"), *sides)
-    whole = boxes.where("x_min < x_max AND y_min < y_max").select(*keys, *sides, entry.alias("_box"), spans.alias("_cells"))
-    across = F.explode(F.sequence(at(F.col("x_min")), at(F.col("x_max")))).alias("_cx")
-    small = whole.where(F.col("_cells") <= most_cells).select(*keys, "_box", "y_min", "y_max", across)
-    down = F.explode(F.sequence(at(F.col("y_min")), at(F.col("y_max")))).alias("_cy")
-    listed = F.array_sort(F.collect_list("_box"))
-    cells = small.select(*keys, "_box", "_cx", down).groupBy(*keys, "_cx", "_cy").agg(listed.alias("_near"))
-    wide = whole.where(F.col("_cells") > most_cells).groupBy(*keys).agg(listed.alias("_wide"))
-
-    def first(found: str) -> Column:
-        def holds(b: Column) -> Column:
-            px, py = F.col(x), F.col(y)
-            return (px > b["x_min"]) & (px < b["x_max"]) & (py > b["y_min"]) & (py < b["y_max"])
-
-        return F.get(F.filter(found, holds), F.lit(0))
-
-    placed = samples.withColumns({"_cx": at(F.col(x)), "_cy": at(F.col(y))})
-    met = join_null_safe(join_null_safe(placed, cells, [*keys, "_cx", "_cy"], "left"), wide, keys, "left")
-    least = settle(met, {"_hit": F.array_min(F.array_compact(F.array(first("_near"), first("_wide"))))})
-    return least.withColumn(out, F.col("_hit.n")).drop("_cx", "_cy", "_near", "_wide", "_hit")
+    whole = boxes.where("x_min < x_max AND y_min < y_max").select(*keys, entry.alias("_box"), spans.alias("_cells"))
+    whole = whole.withColumns(bounds(0))
+    small = whole.where(F.col("_cells") <= most_cells).drop("_cells")
+    small = small.withColumn("_cx", F.explode(F.sequence("_x_min", "_x_max")))
+    small = small.withColumn("_cy", F.explode(F.sequence("_y_min", "_y_max")))
+    placed = samples.withColumns({"_cx": at(F.col(x), 0), "_cy": at(F.col(y), 0), "_level": F.lit(0)})
+    looked_at = placed.where("_cx IS NOT NULL AND _cy IS NOT NULL").select(*cell_keys).distinct()
+    wide = join_null_safe(looked_at, whole.where(F.col("_cells") > most_cells).drop("_cells"), keys).where(
+        "_cx BETWEEN _x_min AND _x_max AND _cy BETWEEN _y_min AND _y_max"
+    )
+    entries = ahead(small.unionByName(wide))
+    cells = None
+    for level in range(4):
+        counted = entries.groupBy(*cell_keys).agg(F.count("*").alias("_n"))
+        # Far from the origin four times a cell's number would not be a long.
+        dense = counted.where(F.col("_n") > most_near).where("abs(_cx + 0D) < 1e15 AND abs(_cy + 0D) < 1e15")
+        last = level == 3 or (dense := stored(dense.select(*cell_keys, F.lit(True).alias("_cut")), "dense")).isEmpty()
+        listed = entries if last else join_null_safe(entries, dense, cell_keys, "left").where("_cut IS NULL")
+        near = listed.groupBy(*cell_keys).agg(F.array_sort(F.collect_list("_box")).alias("_near"))
+        near = near.withColumn("_level", F.lit(level))
+        cells = near if cells is None else cells.unionByName(near)
+        if last:
+            break
+        cut = join_null_safe(entries, dense, cell_keys).withColumns(bounds(level + 1))
+        for c, low, high in (("_cx", "_x_min", "_x_max"), ("_cy", "_y_min", "_y_max")):
+            first, end = F.greatest(F.col(low), F.col(c) * 4), F.least(F.col(high), F.col(c) * 4 + 3)
+            cut = cut.withColumn(c, F.explode(F.sequence(first, end)))
+        entries = ahead(cut.drop("_cut"))
+        finer = {"_cx": at(F.col(x), level + 1), "_cy": at(F.col(y), level + 1), "_level": F.lit(level + 1)}
+        here = join_null_safe(placed, dense.withColumn("_level", F.lit(level)), [*cell_keys, "_level"], "left")
+        placed = here.withColumns({c: F.when(F.col("_cut"), v).otherwise(F.col(c)) for c, v in finer.items()}).drop("_cut")
+
+    def holds(b: Column) -> Column:
+        px, py = F.col(x), F.col(y)
+        return (px > b["x_min"]) & (px < b["x_max"]) & (py > b["y_min"]) & (py < b["y_max"])
+
+    met = join_null_safe(placed, cells, [*cell_keys, "_level"], "left")
+    hit = settle(met, {"_hit": F.get(F.filter("_near", holds), F.lit(0))})
+    return hit.withColumn(out, F.col("_hit.n")).drop("_cx", "_cy", "_level", "_near", "_hit")

@@ -64,6 +64,32 @@ def test_boxes_in_grid_cells(spark):
     assert made.columns == ["id", "k", "x", "y", "look"]
 
 
+def test_boxes_piled_over_each_other(spark, monkeypatch):
+    """A point meets few boxes however many lie over its cell: those behind one that covers the cell are left out."""
+    rng = random.Random(3)
+    boxes = []
+    for i in range(3000):
+        x, y, w = rng.randrange(-80, 120), rng.randrange(-80, 120), rng.choice([5.0, 30.0, 64.0, 7000.0])
+        boxes.append((rng.choice([1, None]), rng.randrange(2500), float(x), x + w, float(y), y + w))
+    boxes += [(2, 5, 0.0, 0.5, 0.0, 0.5), (2, 6, float("-inf"), float("inf"), 1.0, 2.0)]
+    points = [(i, rng.choice([1, None, None]), rng.randrange(-400, 600) / 4, rng.randrange(-400, 600) / 4) for i in range(2000)]
+    points += [(5000, 2, -1e300, 1.5), (5001, 2, 64.0, 2.0), (5002, 2, 0.25, 0.25), (5003, 2, None, 1.5)]
+    frames, stored = [], lookup.stored
+    monkeypatch.setattr(lookup, "stored", lambda df, purpose: frames.append((purpose, stored(df, purpose))) or frames[-1][1])
+    made = lookup.lookup_cell(
+        spark.createDataFrame(points, "id int, k int, x double, y double"),
+        spark.createDataFrame(boxes, "k int, box int, x_min double, x_max double, y_min double, y_max double"),
+        ["k"], cell=32, most_cells=100, most_near=8,
+    )
+    got = {r.id: r.look for r in made.collect()}
+    for i, k, x, y in points:
+        hits = [b for q, b, x0, x1, y0, y1 in boxes if q == k and x is not None and x0 < x < x1 and y0 < y < y1]
+        assert got[i] == min(hits, default=None)
+    levels = [df for purpose, df in frames if purpose == "cells"]
+    most = [df.groupBy("k", "_cx", "_cy").count().agg(F.max("count")).first()[0] for df in levels]
+    assert len(levels) > 1 and most[-1] < most[0] < 700
+
+
 def test_lists_of_several_brackets_and_fractions(spark):
     df = spark.createDataFrame([("[1, 2], [3, 4]", "[1, 2.5, 3, x]", "[]", None)], "a string, b string, c string, d string")
     out = df.select(*[text.parse_list(F.col(c), "bigint").alias(c) for c in "abcd"], text.parse_list(F.col("b"), "double").alias("e")).first()
