@@ -1,5 +1,8 @@
 """N-gram Jaccard join: sets of word shingles, linked where they are alike enough, by a prefix tree.
 
+0. Candidates. Two alike sets share all but a known share of their shingles. Of the shingles in a fixed part of the
+   hash range, those that no other set has are counted; a set with more of them than that share allows has no
+   partner. All later steps work on the sets that are left.
 1. Keys. Two sets that are alike differ in at most D shingles, D following from their sizes. The hash range is cut
    into more than D parts, so alike sets agree in whole parts; a part's shingles hash to a key. Sets that share
    fewer keys than parts must agree, with all others together, cannot be alike with any.
@@ -28,6 +31,7 @@ from gazeframe.llm.shingles import mix, portions, shingle_sets
 
 SLICE = 256
 ANCHORS = 4
+MARKS = 1 << 25
 
 
 class Sizes:
@@ -187,8 +191,84 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def _leads(ids: np.ndarray, known: np.ndarray, digests: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the sets that stand for their copies within a batch: the first by id, none without id."""
+    _, first = np.unique(np.column_stack([digests, n]), axis=0, return_inverse=True)
+    by_id = np.lexsort((ids, first.ravel()))
+    by_id = by_id[known[by_id]]
+    lead = known.copy()
+    lead[by_id[1:]] = first.ravel()[by_id[1:]] != first.ravel()[by_id[:-1]]
+    return np.flatnonzero(lead)
+
+
+def _sampled(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """Rows of one of two kinds: a document with size and digest, or a key, a shingle of a fixed part of the hash range.
+
+    ``short`` is how many keys a document must share with other batches, for it to have a partner; NULL for copies
+    within the batch, of which one stands for all. A key of several sets of a batch counts as shared at once and
+    is one row without document.
+    """
+    limit = np.uint64(min(50, 2 * (100 - percent)) * (1 << 64) // 100)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, count in portions(batch.column(1), 8 << 20):
+                some = batch.slice(at, count)
+                named = some.column(0)
+                known = np.array(named.is_valid())
+                ids = named.fill_null(0).to_numpy()
+                sets, digests = shingle_sets(some.column(1), length)
+                n = np.array([len(s) for s in sets], np.int64)
+                # Rows without id count in size and digest alone: they have no keys and lead nothing.
+                mine = _leads(ids, known, digests, n)
+                taken = [sets[i][: int(np.searchsorted(sets[i], limit))] for i in mine]
+                held = np.array([len(t) for t in taken], np.int64)
+                key = np.concatenate([np.zeros(0, np.uint64), *taken])
+                owner = np.repeat(np.arange(len(mine)), held)
+                rank = np.argsort(key, kind="stable")
+                key, owner = key[rank], owner[rank]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                alone = new & np.append(new[1:], True)
+                inside = np.bincount(owner[~alone], minlength=len(mine))
+                short = held - inside - (100 - percent) * n[mine] // 100
+                wanted = pa.array(short).take(pa.array(np.searchsorted(mine, np.arange(count)), mask=~np.isin(np.arange(count), mine)))
+                columns = [named, *(pa.array(c) for c in (n, digests[:, 0], digests[:, 1])), wanted, pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "short", "key", "doc"])
+                doc = pa.array(ids[mine][owner][new] if len(key) else np.zeros(0, np.int64), mask=~alone[new])
+                key = pa.array(key[new].view(np.int64))
+                for part in range(0, len(key), 100_000):
+                    some_keys = key.slice(part, 100_000)
+                    empty = pa.nulls(len(some_keys), pa.int64())
+                    columns = [empty] * 5 + [some_keys, doc.slice(part, 100_000)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "short", "key", "doc"])
+
+    schema = "doc_id long, n long, d1 long, d2 long, short long, key long, doc long"
+    return docs.select("doc_id", "text").mapInArrow(make, schema)
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with a doc_id of ``ids``, and a few others, without a shuffle of the texts.
+
+    The ids are marks in a bitmap that is never larger than 4 MB and so goes to every task.
+    """
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    marks = (
+        ids.select(mark.alias("mark"))
+        .groupBy(F.bitmap_bucket_number("mark").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    )
+    at = F.bitmap_bit_position(mark)
+    byte = F.conv(F.hex(F.substr("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        docs.join(F.broadcast(marks), F.bitmap_bucket_number(mark) == F.col("bucket"))
+        .where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+        .select(*docs.columns)
+    )
+
+
 def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """Rows of one of three kinds: a document with size and digest, a link, or a key with one document of its batch.
+    """Rows of one of three kinds: a document with what it needs, a link, or a key with one document of its batch.
 
     Documents of a batch that share a key are linked at once (``a``, ``b``, for how many keys), so that a key
     that very many documents have is few rows. Of copies within a batch one has keys; the others need 0.
@@ -200,18 +280,12 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
             for at, count in portions(batch.column(1), 8 << 20):
                 some = batch.slice(at, count)
                 named = some.column(0)
-                # Rows without id count in size and digest alone: they have no keys and lead nothing.
                 known = np.array(named.is_valid())
                 ids = named.fill_null(0).to_numpy()
                 sets, digests = shingle_sets(some.column(1), length)
                 n = np.array([len(s) for s in sets], np.int64)
-                _, first = np.unique(np.column_stack([digests, n]), axis=0, return_inverse=True)
                 # Copies within the batch: only the first, by id, has keys; the digest ties them later.
-                by_id = np.lexsort((ids, first.ravel()))
-                by_id = by_id[known[by_id]]
-                lead = known.copy()
-                lead[by_id[1:]] = first.ravel()[by_id[1:]] != first.ravel()[by_id[:-1]]
-                mine = np.flatnonzero(lead)
+                mine = _leads(ids, known, digests, n)
                 found, owner, least = keys([sets[i] for i in mine], sizes)
                 need = np.zeros(len(ids), np.int64)
                 need[mine] = least
@@ -222,18 +296,18 @@ def _keyed(docs: DataFrame, length: int, percent: int) -> DataFrame:
                 new[1:] = found[1:] != found[:-1]
                 pairs = np.column_stack([doc[1:], doc[:-1]])[~new[1:]]
                 pairs, times = np.unique(pairs.reshape(-1, 2), axis=0, return_counts=True)
-                yield _rows(doc_id=named, n=n, d1=digests[:, 0], d2=digests[:, 1], need=need)
+                yield _rows(doc_id=named, need=need)
                 yield _rows(a=pairs[:, 0], b=pairs[:, 1], times=times)
                 for part in range(0, int(new.sum()), 100_000):
                     yield _rows(key=found[new][part : part + 100_000].view(np.int64), doc=doc[new][part : part + 100_000])
 
-    schema = "doc_id long, n long, d1 long, d2 long, need long, a long, b long, times long, key long, doc long"
+    schema = "doc_id long, need long, a long, b long, times long, key long, doc long"
     return docs.select("doc_id", "text").mapInArrow(make, schema)
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    names = ["doc_id", "n", "d1", "d2", "need", "a", "b", "times", "key", "doc"]
+    names = ["doc_id", "need", "a", "b", "times", "key", "doc"]
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names
     )
@@ -303,9 +377,21 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     a NULL component_id. An empty table gives no row.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = _keyed(plain, length, percent)
-    made = written(keyed.where("key IS NULL").drop("key", "doc"), "sets")
-    info = made.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2", "need")
+    sampled = _sampled(plain, length, percent)
+    info = written(sampled.where("key IS NULL").drop("key", "doc"), "sets")
+    met = (
+        sampled.where("key IS NOT NULL")
+        .select("key", "doc", F.count("*").over(Window.partitionBy("key")).alias("times"))
+        .where("times > 1 AND doc IS NOT NULL")
+        .groupBy("doc")
+        .agg(F.count("*").alias("met"))
+    )
+    hoping = info.where("n > 0 AND short IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("short").alias("short"))
+    hoped = hoping.join(met, "doc", "left").where("short <= coalesce(met, 0)").select(F.col("doc").alias("doc_id"))
+    texts = written(_among(plain.where("text IS NOT NULL"), written(hoped, "candidates")), "texts", compression="zstd")
+    keyed = _keyed(texts, length, percent)
+    made = written(keyed.where("key IS NULL").drop("key", "doc"), "needs")
+    needs = made.where("need IS NOT NULL").select("doc_id", "need")
     near = made.where("a IS NOT NULL").select("a", "b", "times")
     by_key = Window.partitionBy("key").orderBy("doc")
     shared = (
@@ -316,16 +402,16 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     )
     # Copies: the smallest id of a digest stands for all of them.
     whole = info.where("n > 0 AND doc_id IS NOT NULL")
-    lead = whole.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("lead"), F.max("need").alias("need"))
-    led = written(whole.drop("need").join(lead, ["d1", "d2", "n"]).select("doc_id", "lead", "need").distinct(), "copies")
+    lead = whole.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("lead"))
+    led = written(whole.join(lead, ["d1", "d2", "n"]).select("doc_id", "lead").distinct(), "copies")
     copies = led.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    leads = led.select("doc_id", "lead")
+    needed = needs.join(led, "doc_id").groupBy(F.col("lead").alias("node")).agg(F.max("need").alias("need"))
     sharing = written(
         shared.unionByName(near)
         .groupBy("a", "b")
         .agg(F.sum("times").alias("times"))
-        .join(leads.toDF("a", "la"), "a")
-        .join(leads.toDF("b", "lb"), "b")
+        .join(led.toDF("a", "la"), "a")
+        .join(led.toDF("b", "lb"), "b")
         .where("la <> lb")
         .groupBy(F.col("la").alias("a"), F.col("lb").alias("b"))
         .agg(F.sum("times").alias("times")),
@@ -335,7 +421,7 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     ends = sharing.select("a", "times").unionByName(sharing.select(F.col("b").alias("a"), "times"))
     able = (
         ends.groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times"))
-        .join(led.where("doc_id = lead").select(F.col("doc_id").alias("node"), "need"), "node")
+        .join(needed, "node")
         .where("times >= need")
         .select("node", "need")
     )
@@ -352,7 +438,6 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         ),
         "members",
     )
-    texts = plain.where("text IS NOT NULL")
     many = members.where("slices > 1")
     first = Window.partitionBy("component").orderBy(F.xxhash64("doc_id"), "doc_id")
     anchors = (
@@ -366,7 +451,8 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
     def place(rows: DataFrame, *more: str) -> DataFrame:
         return rows.select("doc_id", F.concat_ws(":", "component", "slice", *more).alias("place"))
 
-    once = written(_tree_links(place(own.unionByName(anchors)).join(texts, "doc_id"), length, percent), "tree")
+    grouped_texts = _among(texts, members)
+    once = written(_tree_links(place(own.unionByName(anchors)).join(grouped_texts, "doc_id"), length, percent), "tree")
     if not many.isEmpty():
         tied = components(once)
         label = many.join(tied.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
