@@ -6,19 +6,23 @@
 1. Keys. Two sets that are alike differ in at most D shingles, D following from their sizes. The hash range is cut
    into more than D parts, so alike sets agree in whole parts; a part's shingles hash to a key. Sets that share
    fewer keys than parts must agree, with all others together, cannot be alike with any.
-2. Groups. Components of the graph "shares a key" hold all sets that can be alike, and little else.
+2. Groups. Components of the graph "shares a key" hold all sets that can be alike, and little else. A group that
+   a common passage ties together is taken apart again: of its sets in one order of shingles, rarest first, two alike
+   ones share one among the first shingles of each, and how far in it comes bounds the other's size.
 3. Tree. A group's sets, their shingles in one global order, rarest first, are stored in a prefix tree. Each
    traversal carries the overlap of a whole path at once and leaves subtrees whose remaining lengths cannot reach
    the similarity. Sets already known to hang together are not compared again.
 
-Groups are cut into slices of bounded size. Each slice also gets a few anchors of its group, which tie the slices
-together; what does not hang on the group's largest part is then compared with every other slice that holds as many
-of its keys as it shares with any set alike. So no pair is lost, and a group of any size is many small tasks.
+Groups that stay large are cut into slices of bounded size. Each slice also gets a few anchors of its group, which
+tie the slices together; what does not hang on the group's largest part is then compared with every other slice that
+has one of its first shingles in a set of fitting size. So no pair is lost, and a group of any size is many small
+tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -345,28 +349,94 @@ def _tree_links(placed: DataFrame, length: int, percent: int) -> DataFrame:
     return together.select("place", "doc_id", "text").mapInArrow(join, "a long, b long")
 
 
-def _held_keys(sides: DataFrame, length: int, percent: int) -> DataFrame:
-    """(doc_id, component, slice, need, key) for every key of every text of (doc_id, component, slice, need, text)."""
+def _held_shingles(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, component, d, n, key) for every shingle of every text of (doc_id, component, text).
+
+    ``d`` is the text's digest and ``n`` the size of its set.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in batches:
-            for at, count in portions(batch.column(4)):
+            for at, count in portions(batch.column(2)):
                 some = batch.slice(at, count)
-                sets, _ = shingle_sets(some.column(4), length)
-                found, owner, _ = keys(sets, sizes)
+                sets, digests = shingle_sets(some.column(2), length)
+                n = np.array([len(s) for s in sets], np.int64)
+                owner = np.repeat(np.arange(count), n)
+                found = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 for part in range(0, len(found), 100_000):
-                    of = pa.array(owner[part : part + 100_000])
+                    of = owner[part : part + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [*(some.column(i).take(of) for i in range(4)), pa.array(found[part : part + 100_000].view(np.int64))],
-                        ["doc_id", "component", "slice", "need", "key"],
+                        [
+                            *(some.column(i).take(pa.array(of)) for i in range(2)),
+                            *(pa.array(c[of]) for c in (digests[:, 0], n)),
+                            pa.array(found[part : part + 100_000]),
+                        ],
+                        ["doc_id", "component", "d", "n", "key"],
                     )
 
-    return sides.select("doc_id", "component", "slice", "need", "text").mapInArrow(
-        make, "doc_id long, component long, slice long, need long, key long"
+    return texts.select("doc_id", "component", "text").mapInArrow(
+        make, "doc_id long, component long, d long, n long, key long"
     )
 
 
+def _firsts(held: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component, d, n, key, most): of each set's shingles in one order, the group's rarest first, the first.
+
+    Where the first shingle that two alike sets share is at ``at`` of one, it is among these, and the other set has
+    at most ``most`` shingles. Those of one set only are not returned; they take the first places.
+    """
+    whole = Window.partitionBy("component", "doc_id", "d")
+    n, at = F.col("n"), F.col("at")
+    return (
+        held.withColumn("times", F.count("*").over(Window.partitionBy("component", "key")))
+        .where("times > 1")
+        .withColumn("at", n - F.count("*").over(whole) + F.row_number().over(whole.orderBy("times", "key")) - 1)
+        .where(100 * at <= (100 - percent) * n)
+        .select(
+            "doc_id", "component", "d", "n", "key",
+            F.floor((100 * n - (100 + percent) * at) / percent).alias("most"),
+        )
+    )
+
+
+def _refined(grouped: DataFrame, texts: DataFrame, length: int, percent: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (node, component) within the large groups of (node, component), and the first shingles of their sets.
+
+    Alike sets share one of the first shingles of both in any order that the group's sets have in common, so the
+    sets that a shingle leads to, ordered by size and cut where no set before reaches the next, make new groups.
+    Rounds go on while the sets in groups of more than ``slice_rows`` become fewer by half.
+    """
+    own = _among(texts, grouped.select(F.col("node").alias("doc_id")))
+    found = grouped
+    before, done = grouped.count(), []
+    while True:
+        # Repeated rows of one document are one set.
+        sets = own.join(found.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+        first = written(_firsts(_held_shingles(sets, length), percent), "firsts")
+        by_size = Window.partitionBy("component", "key").orderBy("n", "doc_id", "d")
+        links = (
+            first.select(
+                F.col("doc_id").alias("a"),
+                F.lag("doc_id").over(by_size).alias("b"),
+                "n",
+                F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"),
+            )
+            .where("a <> b AND n <= reach")
+            .select("a", "b")
+        )
+        found = written(components(links), "refined")
+        large = written(
+            found.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows), "large"
+        )
+        left = large.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        if left == 0 or 2 * left > before:
+            done.append(found)
+            return reduce(DataFrame.unionByName, done), first
+        before = left
+        done.append(found.join(large, "component", "left_anti").select("node", "component"))
+        found = found.join(large, "component", "left_semi").select("node", "component")
+
+
 def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int = SLICE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
@@ -425,24 +495,29 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         .where("times >= need")
         .select("node", "need")
     )
-    grouped = written(components(sharing.select("a", "b")).join(able, "node"), "grouped")
+    grouped = written(components(sharing.select("a", "b")).join(able, "node").select("node", "component"), "grouped")
+    large = grouped.groupBy("component").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows)
+    wide = written(grouped.join(large, "component", "left_semi").select("node", "component"), "wide")
+    first = None
+    if not wide.isEmpty():
+        refined, first = _refined(wide, texts, length, percent, slice_rows)
+        grouped = grouped.join(large, "component", "left_anti").select("node", "component").unionByName(refined)
     counted = grouped.groupBy("component").agg(F.count("*").alias("rows"))
     slices = F.ceil(F.col("rows") / slice_rows).cast("long")
     members = written(
         grouped.join(counted, "component").select(
             F.col("node").alias("doc_id"),
             "component",
-            "need",
             slices.alias("slices"),
             F.pmod(F.xxhash64("node"), slices).alias("slice"),
         ),
         "members",
     )
     many = members.where("slices > 1")
-    first = Window.partitionBy("component").orderBy(F.xxhash64("doc_id"), "doc_id")
+    by_hash = Window.partitionBy("component").orderBy(F.xxhash64("doc_id"), "doc_id")
     anchors = (
         many.where("slice = 0")
-        .withColumn("k", F.row_number().over(first))
+        .withColumn("k", F.row_number().over(by_hash))
         .where(F.col("k") <= ANCHORS)
         .select("doc_id", "component", F.explode(F.sequence(F.lit(1), F.col("slices") - 1)).alias("slice"))
     )
@@ -458,23 +533,22 @@ def classes(docs: DataFrame, length: int = 4, percent: int = 85, slice_rows: int
         label = many.join(tied.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         sized = label.groupBy("component", "label").agg(F.count("*").alias("n"))
         main = sized.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        # Loose sets are those with a need here.
-        sides = written(
-            label.join(main, "component").select(
-                "doc_id", "component", "slice", F.when(F.col("label") != F.col("main"), F.col("need")).alias("need")
-            ),
-            "sides",
+        sides = label.join(main, "component").select(
+            "doc_id", "component", "slice", (F.col("label") != F.col("main")).alias("loose")
+        )
+        # A set's first shingles are one row until they are joined.
+        listed = first.groupBy("doc_id", "d", "n").agg(F.collect_list(F.struct("key", "most")).alias("listed"))
+        held = written(listed.join(sides, "doc_id").select("*", F.inline("listed")).drop("listed"), "held")
+        offered = held.groupBy("component", "key", F.col("slice").alias("other")).agg(
+            F.min("n").alias("fewest"), F.max("most").alias("reach")
         )
-        asking = sides.where("need IS NOT NULL").select("component").distinct()
-        held = written(_held_keys(sides.join(asking, "component", "left_semi").join(texts, "doc_id"), length, percent), "held")
-        offered = held.select("component", F.col("slice").alias("other"), "key").distinct()
+        # A loose set has its partners where one of its first shingles is, of a size that both allow.
         dealt = written(
-            held.where("need IS NOT NULL")
+            held.where("loose")
             .join(offered, ["component", "key"])
-            .where("slice <> other")
-            .groupBy("doc_id", "component", F.col("other").alias("slice"))
-            .agg(F.count("*").alias("times"), F.max("need").alias("need"))
-            .where("times >= need"),
+            .where("slice <> other AND fewest <= most AND n <= reach")
+            .select("doc_id", "component", F.col("other").alias("slice"))
+            .distinct(),
             "dealt",
         )
         # The sets dealt to a slice go in lots of bounded size, so a place never holds much more than a slice and a
